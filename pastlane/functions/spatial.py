@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -31,45 +30,53 @@ def _edges(rings: list[Ring]) -> list[tuple[Point, Point]]:
     return [edge for ring in rings for edge in zip(ring, ring[1:]) if edge[0] != edge[1]]
 
 
-def _crosses(x: Column, y: Column, a: Point, b: Point) -> Column:
+def _number(value: float) -> str:
+    return f"{value!r}D"
+
+
+def _crosses(x: str, y: str, a: Point, b: Point) -> str:
     """Does the ray from the point towards larger x cross the edge a-b?"""
     (ax, ay), (bx, by) = a, b
     if ay == by:
-        return F.lit(False)
-    at = F.lit((bx - ax) / (by - ay)) * (y - F.lit(ay)) + F.lit(ax)
-    return ((F.lit(ay) > y) != (F.lit(by) > y)) & (x < at)
+        return "false"
+    slope = _number((bx - ax) / (by - ay))
+    at = f"{slope} * ({y} - {_number(ay)}) + {_number(ax)}"
+    return f"(({y} < {_number(ay)}) <> ({y} < {_number(by)}) AND {x} < {at})"
 
 
-def _on_edge(x: Column, y: Column, a: Point, b: Point) -> Column:
+def _on_edge(x: str, y: str, a: Point, b: Point) -> str:
     (ax, ay), (bx, by) = a, b
-    cross = (x - F.lit(ax)) * F.lit(by - ay) - (y - F.lit(ay)) * F.lit(bx - ax)
+    cross = (
+        f"({x} - {_number(ax)}) * {_number(by - ay)} - ({y} - {_number(ay)}) * {_number(bx - ax)}"
+    )
     return (
-        (cross == 0)
-        & x.between(min(ax, bx), max(ax, bx))
-        & y.between(min(ay, by), max(ay, by))
+        f"({cross} = 0D"
+        f" AND {x} BETWEEN {_number(min(ax, bx))} AND {_number(max(ax, bx))}"
+        f" AND {y} BETWEEN {_number(min(ay, by))} AND {_number(max(ay, by))})"
     )
 
 
-def _fold(terms: list[Column], join: Callable[[Column, Column], Column]) -> Column:
+def _fold(terms: list[str], operator: str) -> str:
     """Joins the terms pairwise, so a polygon of n edges is a tree of depth log n."""
     while len(terms) > 1:
-        pairs = [join(*terms[i : i + 2]) for i in range(0, len(terms) - 1, 2)]
+        pairs = [f"({operator.join(terms[i : i + 2])})" for i in range(0, len(terms) - 1, 2)]
         terms = pairs + terms[len(pairs) * 2 :]
     return terms[0]
 
 
-def polygon_contains(wkt: str, x: str | Column, y: str | Column) -> Column:
+def polygon_contains(wkt: str, x: str, y: str) -> Column:
     """True for points strictly inside; points on an edge or in a hole are out.
 
     A point is inside when the ray crosses the edges of all rings an odd number
     of times. The bounding box comes first: it is cheap and can be pushed down.
     """
     rings = parse_polygon(wkt)
-    x = F.col(x) if isinstance(x, str) else x
-    y = F.col(y) if isinstance(y, str) else y
-    xs, ys = zip(*rings[0])
-    box = (x > min(xs)) & (x < max(xs)) & (y > min(ys)) & (y < max(ys))
     edges = _edges(rings)
-    odd = _fold([_crosses(x, y, *edge) for edge in edges], lambda a, b: a != b)
-    border = _fold([_on_edge(x, y, *edge) for edge in edges], lambda a, b: a | b)
-    return box & odd & ~border
+    xs, ys = zip(*rings[0])
+    box = (
+        f"{x} > {_number(min(xs))} AND {x} < {_number(max(xs))}"
+        f" AND {y} > {_number(min(ys))} AND {y} < {_number(max(ys))}"
+    )
+    odd = _fold([_crosses(x, y, *edge) for edge in edges], " <> ")
+    border = _fold([_on_edge(x, y, *edge) for edge in edges], " OR ")
+    return F.expr(f"{box} AND {odd} AND NOT {border}")

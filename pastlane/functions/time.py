@@ -17,10 +17,22 @@ def slot_start(ts: str, minutes: int) -> Column:
 
 
 def time_of_day(ts: str | Column) -> list[Column]:
-    """``hrs`` and ``mins``, the part of the join key that repeats every day."""
+    """``hrs`` and ``mins`` of a time."""
     return [F.hour(ts).alias("hrs"), F.minute(ts).alias("mins")]
 
 
+def slot_of_day(ts: str, minutes: int) -> list[Column]:
+    """``hrs`` and ``mins`` of the slot's start, the join key that repeats every day."""
+    if 1440 % minutes:
+        raise ValueError(f"slots of {minutes} minutes do not fill a day")
+    if 60 % minutes == 0:
+        first = F.minute(ts) - F.minute(ts) % minutes
+        return [F.hour(ts).alias("hrs"), (first if minutes < 60 else F.lit(0)).alias("mins")]
+    start = minute_of_day(F.hour(ts), F.minute(ts))
+    start = start - start % minutes
+    return [F.floor(start / 60).cast("int").alias("hrs"), (start % 60).alias("mins")]
+
+
 def minute_of_day(hrs: Column, mins: Column) -> Column:
     return hrs * 60 + mins
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pastlane.functions.numeric import narrowed_speed, whole_volume
-from pastlane.functions.time import slot_start, time_of_day
+from pastlane.functions.time import slot_of_day, slot_start
 from pastlane.model import SLOT_KEYS
 
 
@@ -36,23 +36,17 @@ def day_aligned_average(
 
 def slot_aggregate(readings: DataFrame, minutes: int, null_as_zero: bool = False) -> DataFrame:
     """Count and averages by link and time-of-day slot, over all days given."""
-    return (
-        readings.select("link_id", "speed", "volume", slot_start("ts", minutes).alias("slot"))
-        .groupBy("link_id", *time_of_day("slot"))
-        .agg(
-            F.count("*").alias("count_rec"),
-            _mean("volume", null_as_zero).alias("avg_volume"),
-            _mean("speed", null_as_zero).alias("avg_speed"),
-        )
+    return readings.groupBy("link_id", *slot_of_day("ts", minutes)).agg(
+        F.count("*").alias("count_rec"),
+        _mean("volume", null_as_zero).alias("avg_volume"),
+        _mean("speed", null_as_zero).alias("avg_speed"),
     )
 
 
 def all_slots_average(rows: DataFrame, minutes: int) -> DataFrame:
     """The day-aligned average of every slot of the day, in one pass."""
-    return (
-        rows.select("link_id", "speed", "volume", slot_start("ts", minutes).alias("slot"))
-        .groupBy("link_id", *time_of_day("slot"))
-        .agg(F.avg("speed").alias("avg_speed"), F.avg("volume").alias("avg_volume"))
+    return rows.groupBy("link_id", *slot_of_day("ts", minutes)).agg(
+        F.avg("speed").alias("avg_speed"), F.avg("volume").alias("avg_volume")
     )
 
 

@@ -20,19 +20,25 @@ SMALL_INPUT_BYTES = 256 * 1024 * 1024
 SALTS = 64
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate, the one it decides on broadcasts with."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables and files that ``df`` reads, as Spark knows it.
+
+    The planner's estimate of a join is the product of its sides, which says
+    nothing here: filters, averages and look-ups never have more rows than they
+    read. A source of unknown size counts as huge.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= SMALL_INPUT_BYTES
+    return input_bytes(df) <= SMALL_INPUT_BYTES
 
 
-def planner_broadcasts(df: DataFrame) -> bool:
-    """Is ``df`` small enough for the planner to broadcast it by itself?"""
+def fits_broadcast(df: DataFrame) -> bool:
+    """Does ``df`` read no more than Spark would broadcast by itself?"""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
+    return input_bytes(df) <= limit
 
 
 def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
@@ -57,15 +63,17 @@ def keyed_join(
 ) -> DataFrame:
     """Joins ``rows`` with ``keyed``, which has one row per key.
 
-    A small ``keyed`` side is broadcast by the planner and nothing is shuffled.
-    Beyond that size both sides are shuffled by key, and the rows of a hot key
-    are spread over ``salts`` tasks, each with a copy of the one row they look
-    up. The salt comes from the row's values, so a repeated task repeats it.
+    A ``keyed`` side of checked size is broadcast and nothing is shuffled. Beyond
+    that both sides are shuffled by key, and the rows of a hot key are spread over
+    ``salts`` tasks, each with a copy of the one row they look up. The salt comes
+    from the row's values, so a repeated task repeats it.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"inner or left, not {how!r}")
     if split_hot is None:
-        split_hot = not planner_broadcasts(keyed) and not is_small(rows)
+        if fits_broadcast(keyed):
+            return rows.join(F.broadcast(keyed), keys, how)
+        split_hot = not is_small(rows)
     if not split_hot:
         return rows.join(keyed, keys, how)
     hot = hot_keys(rows, keys, share)

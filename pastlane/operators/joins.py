@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pastlane.functions.numeric import bucket_of
-from pastlane.functions.time import slot_start, time_of_day
+from pastlane.functions.time import slot_of_day
 from pastlane.model import JOINED_COLUMNS, SLOT_KEYS
 from pastlane.operators.hot import keyed_join
 
 
 def with_slot_keys(live: DataFrame, minutes: int) -> DataFrame:
-    slotted = live.withColumn("slot", slot_start("ts", minutes))
-    return slotted.select("*", *time_of_day("slot"))
+    return live.select("*", *slot_of_day("ts", minutes))
 
 
 def live_archive_join(
@@ -32,11 +31,12 @@ def live_archive_join(
     ``how="left"`` keeps live rows without history, with nulls for it.
     ``extra`` names live columns to carry along.
     """
-    # The key is gone after a left join without a match, so it is carried apart.
+    # The link of the average is a column of its own: null where nothing matched.
     history = averages.select(
         *SLOT_KEYS, F.col("link_id").alias("hist_link_id"), "avg_speed", "avg_volume"
     )
-    joined = keyed_join(with_slot_keys(live, minutes), history, SLOT_KEYS, how, **hot)
+    needed = live.select("link_id", "speed", "volume", "ts", *extra)
+    joined = keyed_join(with_slot_keys(needed, minutes), history, SLOT_KEYS, how, **hot)
     return joined.select(*JOINED_COLUMNS, *extra)
 
 
@@ -46,7 +46,8 @@ def live_history_lookup(live: DataFrame, history: DataFrame, **hot) -> DataFrame
     Averaging before the join stands for one query per live row.
     """
     keyed = history.select("link_id", F.col("link_id").alias("hist_link"), "hist_avg")
-    joined = keyed_join(live, keyed, ["link_id"], "left", **hot)
+    needed = live.select("link_id", "speed", "ts")
+    joined = keyed_join(needed, keyed, ["link_id"], "left", **hot)
     return joined.select("link_id", "hist_link", "speed", "hist_avg", "ts")
 
 

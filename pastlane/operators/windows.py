@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pastlane.functions.numeric import bucket_of
-from pastlane.functions.time import minute_of_day, ntz, slot_start, time_of_day
+from pastlane.functions.time import minute_of_day, ntz, slot_start
 from pastlane.model import SLOT_KEYS
 from pastlane.operators.hot import with_position
 from pastlane.operators.joins import with_slot_keys

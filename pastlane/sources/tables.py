@@ -34,6 +34,12 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
+EMBEDDINGS_SCHEMA = T.StructType([
+    T.StructField("vec_id", T.LongType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("label", T.IntegerType()),
+])
+
 
 def to_readings(events: DataFrame) -> DataFrame:
     volume = F.get_json_object("props", "$.k").try_cast("int")
@@ -48,7 +54,8 @@ def to_readings(events: DataFrame) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_readings(spark.read.parquet(os.path.join(sf_dir, "events.parquet")))
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(os.path.join(sf_dir, "events.parquet"))
+    return to_readings(events)
 
 
 def archive_of(rows: DataFrame) -> DataFrame:
@@ -68,7 +75,8 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+    path = os.path.join(sf_dir, "embeddings.parquet")
+    vectors = spark.read.schema(EMBEDDINGS_SCHEMA).parquet(path)
     return vectors.select(
         F.col("vec_id").alias("link_id"),
         F.col("embedding")[0].cast("double").alias("x"),
