@@ -27,21 +27,26 @@ def fill_gaps(counts: DataFrame, seconds: int = PERIOD) -> DataFrame:
     """The counts with a 0 for every empty period between the first and last.
 
     The periods are laid out block by block, so a long time span is neither one
-    big array nor the work of one task.
+    big array nor the work of one task. They are added up with the counts, which
+    are thus computed once: for the span and for the sum.
     """
     first, last = F.min("window_start"), F.max("window_start")
-    span = counts.agg(_seconds(first).alias("first"), _seconds(last).alias("last"))
+    span = counts.agg(
+        _seconds(first).alias("first"), _seconds(last).alias("last"), F.sum("n").alias("rows")
+    )
     block = F.lit(_BLOCK * seconds)
-    blocks = span.where(F.col("first").isNotNull()).select(
+    blocks = span.where(F.col("rows") > 0).select(
         "last", F.explode(F.sequence("first", "last", block)).alias("from")
     )
     upto = F.least(F.col("last"), F.col("from") + block - seconds)
     grid = blocks.repartition("from").select(
         F.explode(F.sequence(F.col("from"), upto, F.lit(seconds))).alias("at")
     )
-    periods = grid.select(F.timestamp_seconds("at").cast("timestamp_ntz").alias("window_start"))
-    filled = periods.join(counts, "window_start", "left")
-    return filled.select("window_start", F.coalesce("n", F.lit(0)).alias("n"))
+    empty = grid.select(
+        F.timestamp_seconds("at").cast("timestamp_ntz").alias("window_start"),
+        F.lit(0).cast("long").alias("n"),
+    )
+    return counts.unionByName(empty).groupBy("window_start").agg(F.sum("n").alias("n"))
 
 
 def ingestion_rate(counts: DataFrame, seconds: int = PERIOD) -> DataFrame:
@@ -77,11 +82,11 @@ def latency(
     emit_ts: str = "emit_ts",
     arrival: str = "event_id",
 ) -> DataFrame:
-    """Microseconds from event to output of the row that closes each period."""
+    """Microseconds from event to output of the last row to arrive in each period."""
     taken = F.timestamp_diff("MICROSECOND", F.col(ts), F.col(emit_ts))
     start = F.window(emit_ts, f"{seconds} seconds")["start"]
     return rows.groupBy(start.alias("window_start")).agg(
-        F.max_by(taken, F.struct(emit_ts, arrival)).alias("latency_us")
+        F.max_by(taken, arrival).alias("latency_us")
     )
 
 

@@ -33,6 +33,10 @@ def latest_per_slot(readings: DataFrame, minutes: int) -> DataFrame:
     return latest_per_key(keyed, SLOT_KEYS, ["speed", "volume", "ts"])
 
 
+def batch_number(position: Column, size: int) -> Column:
+    return F.call_function("div", position, F.lit(size))
+
+
 def batch_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and sums of a batch, in a form that can be added up again."""
     return rows.groupBy(*keys).agg(
@@ -70,7 +74,7 @@ def length_batch(
     """
     keyed = with_slot_keys(readings, minutes)
     placed = with_position(keyed, SLOT_KEYS, **hot)
-    batched = placed.withColumn("batch", F.floor(F.col("position") / size))
+    batched = placed.withColumn("batch", batch_number(F.col("position"), size))
     sums = batch_sums(batched, [*SLOT_KEYS, "batch"])
     return batch_averages(sums if partial else sums.where(F.col("count_rec") == size))
 

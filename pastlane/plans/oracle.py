@@ -228,7 +228,7 @@ FROM joined GROUP BY 1""",
 emitted AS (
   SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS emit_ts FROM joined)
 SELECT date_trunc('hour', emit_ts) AS window_start,
-       arg_max(epoch_us(emit_ts) - epoch_us(ts), (emit_ts, event_id)) AS latency_us
+       arg_max(epoch_us(emit_ts) - epoch_us(ts), event_id) AS latency_us
 FROM emitted GROUP BY 1""",
     "time_parts": """SELECT event_id, CAST(hour(ts) AS INTEGER) AS hrs,
        CAST(minute(ts) AS INTEGER) AS mins, CAST(second(ts) AS INTEGER) AS secs FROM events""",

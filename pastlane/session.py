@@ -44,14 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master without the setting gets a folder of its own; a cluster
     without one is an error, since executors do not share a local disk.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="pastlane-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="pastlane-"))
+    return context.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

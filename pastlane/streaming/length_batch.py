@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pastlane.model import SLOT_KEYS
 from pastlane.operators.hot import keyed_join, with_position
 from pastlane.operators.joins import with_slot_keys
-from pastlane.operators.windows import BATCH_ROWS, batch_averages, batch_sums
+from pastlane.operators.windows import BATCH_ROWS, batch_averages, batch_number, batch_sums
 from pastlane.streaming.run import BatchFunction, batch_path, run_batches
 
 _SUMS = ["count_rec", "sum_volume", "n_volume", "sum_speed", "n_speed"]
@@ -64,10 +64,9 @@ def batching(
         still_open = _open_batches(rows.sparkSession, out, batch_id)
         taken = still_open.select(*SLOT_KEYS, F.col("count_rec").alias("_taken"))
         placed = with_position(with_slot_keys(rows, minutes), SLOT_KEYS, **hot)
-        # No hot split here: what a group's rows look up is as rare as its batches.
         located = keyed_join(placed, taken, SLOT_KEYS, "left", **hot)
         place = F.col("position") + F.coalesce("_taken", F.lit(0))
-        batched = located.withColumn("number", F.floor(place / size))
+        batched = located.withColumn("number", batch_number(place, size))
         new = batch_sums(batched, [*SLOT_KEYS, "number"])
         old = still_open.withColumn("number", F.lit(0).cast("long"))
         parts = [*SLOT_KEYS, "number", *_SUMS, "first_ts"]
