@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pastlane.functions.time import time_of_day
+from pastlane.functions.time import slot_of_day
 from pastlane.model import SLOT_KEYS
 from pastlane.operators.filters import in_region
 from pastlane.operators.joins import live_archive_join, live_history_lookup
@@ -26,16 +26,17 @@ def write_profile(averages: DataFrame, path: str) -> str:
     return path
 
 
-def _hours_of(rows: DataFrame) -> list[int]:
-    """The hours of the day that occur, at most 24."""
-    return [row.hrs for row in rows.select("hrs").distinct().collect()]
+def _slot_hours(rows: DataFrame, minutes: int) -> list[int]:
+    """The hours of the day at which the rows' slots start, at most 24."""
+    hours = rows.select(*slot_of_day("ts", minutes)).select("hrs").distinct()
+    return [row.hrs for row in hours.collect()]
 
 
 def joining(profile: DataFrame, minutes: int, links: DataFrame | None = None, wkt: str = "") -> BatchFunction:
     """Live rows of a micro-batch, in the region if one is given, with the profile."""
 
     def step(rows: DataFrame, batch_id: int) -> DataFrame:
-        hours = _hours_of(rows.select(*time_of_day("ts")))
+        hours = _slot_hours(rows, minutes)
         live = in_region(rows, links, wkt) if links is not None else rows
         return live_archive_join(live, profile.where(F.col("hrs").isin(hours)), minutes)
 
