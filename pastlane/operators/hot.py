@@ -7,27 +7,30 @@ all rows of a key to one task. The functions here find such keys and split them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key is hot when it has more than 1/HOT_SHARE of all rows, so there are fewer
-# than HOT_SHARE hot keys whatever the data: that is what bounds their broadcast.
-HOT_SHARE = 100_000
+# Keys are counted by hash bucket, so the counts are a small table however many keys
+# there are. A bucket is hot when it has more than 1/HOT_SHARE of all rows, which is
+# some 13 times the mean. There are fewer than HOT_SHARE hot buckets whatever the
+# data: that is what bounds their broadcast.
+BUCKETS = 1 << 18
+HOT_SHARE = 20_000
 
-# Inputs below this size fit into a task even when one key holds all of it.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+# Inputs below this size can be sorted by one task even when one key holds all of it.
+SMALL_INPUT_BYTES = 1 << 30
 
 # Copies of a looked-up row for a hot key, and so tasks its rows are spread over.
 SALTS = 64
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the tables and files that ``df`` reads, as Spark knows it.
+    """Size of the tables, files and cached frames that ``df`` reads, as Spark knows it.
 
     The planner's estimate of a join is the product of its sides, which says
     nothing here: filters, averages and look-ups never have more rows than they
     read. A source of unknown size counts as huge.
     """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    leaves = df._jdf.queryExecution().withCachedData().collectLeaves()
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
@@ -41,15 +44,32 @@ def fits_broadcast(df: DataFrame) -> bool:
     return input_bytes(df) <= limit
 
 
-def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than 1/``share`` of the rows; fewer than ``share`` of them."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+
+
+def hot_buckets(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """Buckets of keys with more than 1/``share`` of the rows; fewer than ``share``.
+
+    A bucket may hold other keys than the hot one. They are split along with it,
+    which changes no result.
+    """
+    counts = rows.groupBy(_bucket(keys)).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).select(*keys)
+    return counts.where(F.col("_n") * share > total).select("_bucket")
 
 
 def _mark_hot(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    return rows.select("*", _bucket(keys)).join(flags, "_bucket", "left").drop("_bucket")
+
+
+def _require_same_types(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> None:
+    """Equal values of different types have different hashes."""
+    for key in keys:
+        left, right = rows.schema[key].dataType, keyed.schema[key].dataType
+        if left != right:
+            raise ValueError(f"{key} is {left.simpleString()} and {right.simpleString()}")
 
 
 def keyed_join(
@@ -70,13 +90,14 @@ def keyed_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"inner or left, not {how!r}")
+    _require_same_types(rows, keyed, keys)
     if split_hot is None:
         if fits_broadcast(keyed):
             return rows.join(F.broadcast(keyed), keys, how)
         split_hot = not is_small(rows)
     if not split_hot:
         return rows.join(keyed, keys, how)
-    hot = hot_keys(rows, keys, share)
+    hot = hot_buckets(rows, keys, share)
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
     no_key = F.greatest(*[F.col(key).isNull() for key in keys], F.lit(False))
     left = _mark_hot(rows, hot, keys).withColumn(
@@ -112,7 +133,7 @@ def with_position(
         return rows.withColumn("position", number.cast("long") - 1)
     cells = [*keys, "_cell"]
     minute = F.date_trunc("minute", F.col(ts)).cast("timestamp")
-    marked = _mark_hot(rows, hot_keys(rows, keys, share), keys).withColumn(
+    marked = _mark_hot(rows, hot_buckets(rows, keys, share), keys).withColumn(
         "_cell", F.when(F.col("_hot"), minute).otherwise(F.timestamp_seconds(F.lit(0)))
     )
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(

@@ -15,6 +15,13 @@ QUERY_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # State of a stream beyond the memory of an executor.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Streams here put out changes, never closed windows, so a micro-batch without
+    # data would have nothing to say.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
@@ -26,6 +33,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # No call sites on every column: they cost more than a small query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in QUERY_SETTINGS.items():
         builder = builder.config(name, value)

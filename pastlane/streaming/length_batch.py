@@ -18,6 +18,9 @@ from pastlane.operators.joins import with_slot_keys
 from pastlane.operators.windows import BATCH_ROWS, batch_averages, batch_number, batch_sums
 from pastlane.streaming.run import BatchFunction, batch_path, run_batches
 
+# Fixed value: the shortest time, in seconds, that an idle group is kept.
+MIN_IDLE_SECONDS = 20
+
 _SUMS = ["count_rec", "sum_volume", "n_volume", "sum_speed", "n_speed"]
 
 BATCH_SCHEMA = T.StructType([
@@ -35,6 +38,11 @@ BATCH_SCHEMA = T.StructType([
 ])
 
 
+def idle_limit_seconds(rate_micros: int, prefetch: float) -> int:
+    """How long a group may be idle, from the stream's rate and prefetch setting."""
+    return max(MIN_IDLE_SECONDS, int(rate_micros * prefetch))
+
+
 def _open_batches(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
     if batch_id == 0:
         return spark.createDataFrame([], BATCH_SCHEMA)

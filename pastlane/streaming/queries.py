@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pastlane.functions.time import slot_of_day
 from pastlane.model import SLOT_KEYS
 from pastlane.operators.filters import in_region
 from pastlane.operators.joins import live_archive_join, live_history_lookup
 from pastlane.operators.windows import latest_per_slot
-from pastlane.streaming.run import BatchFunction, newest, run_batches
+from pastlane.streaming.run import BatchFunction, newest, run_batches, start_query
 
 _LATE = "10 minutes"
 
@@ -62,6 +65,34 @@ def live_join_stream(
     return run_batches(live, out, checkpoint, schema, transform=step).drop("batch")
 
 
+def subscribe_joined(
+    live: DataFrame,
+    profile: DataFrame,
+    subscriber: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    minutes: int,
+    links: DataFrame | None = None,
+    wkt: str = "",
+    once: bool = True,
+) -> StreamingQuery:
+    """Hands the joined rows of every micro-batch to ``subscriber(rows, batch_id)``.
+
+    The rows have the time of evaluation, ``eval_ts``, as their last column. A
+    micro-batch can come twice after a failure, with the same id.
+    """
+    step = joining(profile, minutes, links, wkt)
+
+    def deliver(rows: DataFrame, batch_id: int) -> None:
+        kept = rows.persist()
+        try:
+            kept.count()
+            subscriber(step(kept, batch_id).withColumn("eval_ts", F.current_timestamp()), batch_id)
+        finally:
+            kept.unpersist()
+
+    return start_query(live, deliver, checkpoint, once=once)
+
+
 def _empty_like(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.createDataFrame([], stream.schema)
 

@@ -26,29 +26,42 @@ def start_batches(
     stream: DataFrame,
     out: str,
     checkpoint: str,
-    transform: BatchFunction = lambda batch, _: batch,
+    transform: BatchFunction | None = None,
     mode: str = "append",
     partition_by: tuple[str, ...] = (),
     once: bool = True,
 ) -> StreamingQuery:
-    """Writes ``transform(batch, id)`` of every micro-batch.
+    """Writes every micro-batch, or what ``transform(batch, id)`` makes of it.
 
-    ``once`` takes what there is and ends; otherwise the query goes on. The
-    batch is kept while it is written, as a transform may read it several times.
+    ``once`` takes what there is and ends; otherwise the query goes on. A batch
+    to transform is kept meanwhile, as it may be read several times; counting it
+    first tells the operators its size.
     """
 
-    def deliver(batch: DataFrame, batch_id: int) -> None:
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(batch_path(out, batch_id))
+
+    def write_transformed(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
-            rows = transform(kept, batch_id)
-            rows.write.mode("overwrite").partitionBy(*partition_by).parquet(
-                batch_path(out, batch_id)
-            )
+            kept.count()
+            write(transform(kept, batch_id), batch_id)
         finally:
             kept.unpersist()
 
+    return start_query(stream, write_transformed if transform else write, checkpoint, mode, once)
+
+
+def start_query(
+    stream: DataFrame,
+    subscriber: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+    once: bool = True,
+) -> StreamingQuery:
+    """Hands every micro-batch and its id to ``subscriber``."""
     writer = (
-        stream.writeStream.foreachBatch(deliver)
+        stream.writeStream.foreachBatch(subscriber)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
     )

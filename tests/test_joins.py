@@ -59,8 +59,16 @@ def test_average_without_live_row_makes_no_output(spark):
 
 
 def test_hot_keys_are_found_and_bounded(spark, skewed):
-    assert as_set(hot.hot_keys(skewed, ["link_id"], share=10), "link_id") == {(1,)}
-    assert hot.hot_keys(skewed, ["link_id"], share=100).count() < 100
+    (bucket,) = hot.hot_buckets(skewed, ["link_id"], share=10).collect()
+    keys = skewed.select("link_id", hot._bucket(["link_id"])).distinct()
+    assert as_set(keys.where(F.col("_bucket") == bucket[0]), "link_id") == {(1,)}
+    assert hot.hot_buckets(skewed, ["link_id"], share=100).count() < 100
+
+
+def test_keys_of_different_types_are_refused(spark, skewed):
+    keyed = spark.createDataFrame([(1, 2.0)], "link_id int, a double")
+    with pytest.raises(ValueError, match="link_id is bigint and int"):
+        hot.keyed_join(skewed, keyed, ["link_id"])
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

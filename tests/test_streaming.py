@@ -174,3 +174,27 @@ def test_no_files_give_no_rows(spark, folders, tmp_path):
     source = StreamSource(spark.createDataFrame([], READING).schema, str(tmp_path / "none"))
     got = batches.length_batch_stream(open_stream(spark, source), minutes=60, **folders)
     assert got.count() == 0
+
+
+def test_subscriber_gets_every_joined_row(spark, stream, rows, folders, tmp_path):
+    profile = pipelines.archive_profile(rows, 60)
+    path = streams.write_profile(profile, str(tmp_path / "profile"))
+    stored = spark.read.schema(profile.schema).parquet(path)
+    got = {}
+
+    def subscriber(joined, batch_id):
+        got[batch_id] = (joined.columns, joined.count())
+        per_second = metrics.throughput(joined, 3600)
+        metrics.write_metric(per_second, "rows_per_s", str(tmp_path), "Throughput", 8000, batch_id)
+
+    streams.subscribe_joined(stream, stored, subscriber, folders["checkpoint"], 60).awaitTermination()
+    assert sorted(got) == [0, 1, 2] and sum(n for _, n in got.values()) == 1500
+    assert got[0][0] == [
+        "link_id", "speed", "volume", "hist_link_id", "avg_speed", "avg_volume", "ts", "eval_ts",
+    ]
+    assert spark.read.text(str(tmp_path / "Throughput_8000")).count() > 100
+
+
+def test_idle_limit_has_a_floor():
+    assert batches.idle_limit_seconds(8000, 0.038) == 304
+    assert batches.idle_limit_seconds(100, 0.038) == 20
