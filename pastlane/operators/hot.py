@@ -9,19 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Keys are counted by hash bucket, so the counts are a small table however many keys
-# there are. A bucket is hot when it has more than 1/HOT_SHARE of all rows, which is
-# some 13 times the mean. There are fewer than HOT_SHARE hot buckets whatever the
-# data: that is what bounds their broadcast.
-BUCKETS = 1 << 18
-HOT_SHARE = 20_000
+# Keys are counted by hash bucket: the counts, and so what is broadcast of them, have
+# at most this many rows however many keys and readings there are.
+BUCKETS = 1 << 20
+
+# Rows of one key that a task takes without trouble; a bucket with more is split.
+ROWS_PER_TASK = 1 << 22
 
 # Inputs below this size can be sorted by one task even when one key holds all of it.
 SMALL_INPUT_BYTES = 1 << 30
 
-# Copies of a looked-up row for a hot key, and so tasks its rows are spread over.
-SALTS = 64
-
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the tables, files and cached frames that ``df`` reads, as Spark knows it.
@@ -48,20 +45,20 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
 
 
-def hot_buckets(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Buckets of keys with more than 1/``share`` of the rows; fewer than ``share``.
+def hot_buckets(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Buckets of keys with more rows than a task should take, and the ``_parts`` to make.
 
     A bucket may hold other keys than the hot one. They are split along with it,
     which changes no result.
     """
     counts = rows.groupBy(_bucket(keys)).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).select("_bucket")
+    parts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")
+    return counts.where(F.col("_n") > rows_per_task).select("_bucket", parts)
 
 
-def _mark_hot(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    return rows.select("*", _bucket(keys)).join(flags, "_bucket", "left").drop("_bucket")
+def _with_parts(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_parts``, null where the key is not hot."""
+    return rows.select("*", _bucket(keys)).join(F.broadcast(hot), "_bucket", "left").drop("_bucket")
 
 
 def _require_same_types(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> None:
@@ -78,15 +75,14 @@ def keyed_join(
     keys: list[str],
     how: str = "inner",
     split_hot: bool | None = None,
-    share: int = HOT_SHARE,
-    salts: int = SALTS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Joins ``rows`` with ``keyed``, which has one row per key.
 
     A ``keyed`` side of checked size is broadcast and nothing is shuffled. Beyond
     that both sides are shuffled by key, and the rows of a hot key are spread over
-    ``salts`` tasks, each with a copy of the one row they look up. The salt comes
-    from the row's values, so a repeated task repeats it.
+    as many tasks as they need, each with a copy of the one row they look up. The
+    salt comes from the row's values, so a repeated task repeats it.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"inner or left, not {how!r}")
@@ -97,18 +93,30 @@ def keyed_join(
         split_hot = not is_small(rows)
     if not split_hot:
         return rows.join(keyed, keys, how)
-    hot = hot_buckets(rows, keys, share)
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    no_key = F.greatest(*[F.col(key).isNull() for key in keys], F.lit(False))
-    left = _mark_hot(rows, hot, keys).withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = _mark_hot(keyed, hot, keys).withColumn(
-        "_salt", F.explode(F.coalesce(copies, F.array(F.lit(0))))
+    hot = hot_buckets(rows, keys, rows_per_task)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = _with_parts(rows, hot, keys).withColumn("_salt", salt)
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = _with_parts(keyed, hot, keys).withColumn("_salt", F.explode(copies))
+    return left.drop("_parts").join(right.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
+
+
+def _before(counts: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Adds the running count of the earlier rows of each key."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(name, F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def _cell_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows of a key come before each of its cells, by day and within the day."""
+    cells = rows.groupBy(*keys, F.to_date("_cell").alias("_day"), "_cell").agg(
+        F.count("*").alias("_n")
     )
-    joined = left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    days = cells.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
+    by_day = _before(days, keys, "_day", "_days_before").drop("_n")
+    in_day = _before(cells, [*keys, "_day"], "_cell", "_before").drop("_n")
+    starts = in_day.join(by_day, [*keys, "_day"])
+    return starts.select(*keys, "_cell", (F.col("_days_before") + F.col("_before")).alias("_start"))
 
 
 def with_position(
@@ -117,13 +125,13 @@ def with_position(
     ts: str = "ts",
     tie: str = "event_id",
     split_hot: bool | None = None,
-    share: int = HOT_SHARE,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds ``position``: 0, 1, 2, ... within ``keys`` by (``ts``, ``tie``).
 
     A plain row number sorts a whole group in one task. Here a hot group is cut
-    into its minutes: rows are numbered inside a minute, and the numbers start
-    after the rows of the minutes before, which are counted beforehand.
+    into its seconds: rows are numbered inside a second, and the numbers start
+    after the rows of the seconds before, which are counted beforehand.
     """
     if split_hot is None:
         split_hot = not is_small(rows)
@@ -131,24 +139,16 @@ def with_position(
     if not split_hot:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("position", number.cast("long") - 1)
-    cells = [*keys, "_cell"]
-    minute = F.date_trunc("minute", F.col(ts)).cast("timestamp")
-    marked = _mark_hot(rows, hot_buckets(rows, keys, share), keys).withColumn(
-        "_cell", F.when(F.col("_hot"), minute).otherwise(F.timestamp_seconds(F.lit(0)))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        marked.where("_hot")
-        .groupBy(*cells)
-        .agg(F.count("*").alias("_n"))
-        .select(*cells, F.sum("_n").over(earlier).alias("_before"))
+    second = F.date_trunc("second", F.col(ts)).cast("timestamp")
+    hot = hot_buckets(rows, keys, rows_per_task)
+    celled = _with_parts(rows, hot, keys).withColumn(
+        "_cell", F.when(F.col("_parts").isNull(), F.timestamp_seconds(F.lit(0))).otherwise(second)
     )
+    cells = [*keys, "_cell"]
+    starts = _cell_starts(celled.where(F.col("_parts").isNotNull()), keys)
     number = F.row_number().over(Window.partitionBy(*cells).orderBy(*order))
-    numbered = marked.withColumn("_number", number)
-    joined = numbered.join(starts, cells, "left")
-    position = F.coalesce("_before", F.lit(0)) + F.col("_number") - 1
-    return joined.withColumn("position", position.cast("long")).drop(
-        "_cell", "_hot", "_number", "_before"
+    numbered = celled.withColumn("_number", number).join(starts, cells, "left")
+    position = F.coalesce("_start", F.lit(0)) + F.col("_number") - 1
+    return numbered.withColumn("position", position.cast("long")).drop(
+        "_cell", "_parts", "_number", "_start"
     )

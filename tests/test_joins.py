@@ -59,10 +59,11 @@ def test_average_without_live_row_makes_no_output(spark):
 
 
 def test_hot_keys_are_found_and_bounded(spark, skewed):
-    (bucket,) = hot.hot_buckets(skewed, ["link_id"], share=10).collect()
+    (bucket,) = hot.hot_buckets(skewed, ["link_id"], rows_per_task=300).collect()
     keys = skewed.select("link_id", hot._bucket(["link_id"])).distinct()
-    assert as_set(keys.where(F.col("_bucket") == bucket[0]), "link_id") == {(1,)}
-    assert hot.hot_buckets(skewed, ["link_id"], share=100).count() < 100
+    assert as_set(keys.where(F.col("_bucket") == bucket._bucket), "link_id") == {(1,)}
+    assert bucket._parts == 4
+    assert hot.hot_buckets(skewed, ["link_id"], rows_per_task=1000).count() == 0
 
 
 def test_keys_of_different_types_are_refused(spark, skewed):
@@ -71,11 +72,12 @@ def test_keys_of_different_types_are_refused(spark, skewed):
         hot.keyed_join(skewed, keyed, ["link_id"])
 
 
+@pytest.mark.parametrize("rows_per_task", [1, 30, 300, 5000])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_split_join_equals_plain_join(spark, skewed, how):
+def test_split_join_equals_plain_join(spark, skewed, how, rows_per_task):
     profile = skewed.where("link_id < 30").groupBy("link_id").agg(F.avg("speed").alias("a"))
     plain = skewed.join(profile, "link_id", how)
-    split = hot.keyed_join(skewed, profile, ["link_id"], how, split_hot=True, share=10, salts=8)
+    split = hot.keyed_join(skewed, profile, ["link_id"], how, split_hot=True, rows_per_task=rows_per_task)
     assert as_rows(split) == as_rows(plain.select(*split.columns))
 
 
@@ -84,7 +86,7 @@ def test_split_join_spreads_the_hot_key(spark, skewed):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         profile = skewed.groupBy("link_id").agg(F.avg("speed").alias("a"))
-        split = hot.keyed_join(skewed, profile, ["link_id"], split_hot=True, share=10, salts=64)
+        split = hot.keyed_join(skewed, profile, ["link_id"], split_hot=True, rows_per_task=20)
         parts = split.where("link_id = 1").groupBy(F.spark_partition_id()).count().collect()
         assert len(parts) == 4 and max(row["count"] for row in parts) < 500
     finally:
@@ -95,7 +97,7 @@ def test_split_join_spreads_the_hot_key(spark, skewed):
 def test_rows_without_key_survive_a_split_left_join(spark):
     rows = readings(spark, [(None, float(n), n, LIVE) for n in range(20)] + [(1, 1.0, 1, LIVE)])
     keyed = spark.createDataFrame([(1, 9.0)], "link_id long, a double")
-    split = hot.keyed_join(rows, keyed, ["link_id"], "left", split_hot=True, share=2, salts=4)
+    split = hot.keyed_join(rows, keyed, ["link_id"], "left", split_hot=True, rows_per_task=5)
     assert split.count() == 21 and split.where("a = 9").count() == 1
 
 
@@ -104,10 +106,11 @@ def test_only_lookups_are_joined(spark, skewed):
         hot.keyed_join(skewed, skewed, ["link_id"], "full")
 
 
-def test_split_positions_equal_plain_ones(spark, skewed):
+@pytest.mark.parametrize("rows_per_task", [1, 30, 300, 5000])
+def test_split_positions_equal_plain_ones(spark, skewed, rows_per_task):
     for keys in (["link_id"], ["link_id", "volume"]):
         plain = hot.with_position(skewed, keys, split_hot=False)
-        split = hot.with_position(skewed, keys, split_hot=True, share=20)
+        split = hot.with_position(skewed, keys, split_hot=True, rows_per_task=rows_per_task)
         assert as_rows(split) == as_rows(plain)
 
 

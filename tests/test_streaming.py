@@ -128,7 +128,7 @@ def test_latest_equals_static_latest(stream, rows, folders):
 
 @pytest.mark.parametrize("split", [False, True])
 def test_batches_equal_static_batches(stream, rows, folders, split):
-    options = {"split_hot": split, "share": 20} if split else {}
+    options = {"split_hot": split, "rows_per_task": 20} if split else {}
     got = batches.length_batch_stream(stream, minutes=360, **options, **folders)
     want = windows.length_batch(rows, 360)
     assert batch_count(folders) == 3

@@ -25,7 +25,7 @@ def clock(spark, text):
 @pytest.mark.parametrize("split", [False, True])
 def test_seven_rows_make_a_full_and_a_partial_batch(spark, split):
     rows = readings(spark, [(1, float(n), n, FIRST + timedelta(days=n)) for n in range(7)])
-    options = {"split_hot": split, "share": 2}
+    options = {"split_hot": split, "rows_per_task": 2}
     full = windows.length_batch(rows, 5, **options)
     assert as_set(full, "count_rec", "avg_speed", "avg_volume") == {(6, 2.5, 2.5)}
     every = windows.length_batch(rows, 5, partial=True, **options)
@@ -35,7 +35,7 @@ def test_seven_rows_make_a_full_and_a_partial_batch(spark, split):
 def test_batches_hold_every_row_once(spark):
     rows = readings(spark, [(n % 5, float(n), n, FIRST + timedelta(minutes=7 * n)) for n in range(1000)])
     for split in (False, True):
-        batches = windows.length_batch(rows, 60, partial=True, split_hot=split, share=500)
+        batches = windows.length_batch(rows, 60, partial=True, split_hot=split, rows_per_task=3)
         assert batches.agg(F.sum("count_rec")).collect()[0][0] == 1000
         assert batches.agg(F.max("count_rec")).collect()[0][0] == 6
 
@@ -89,7 +89,7 @@ def test_expiry_over_midnight_needs_the_date(spark):
 @pytest.mark.parametrize("split", [False, True])
 def test_every_nth_row_of_a_bucket(spark, split):
     rows = readings(spark, [(n % 4, float(n), n, FIRST + timedelta(seconds=n)) for n in range(100)])
-    picked = windows.every_nth(rows, 10, 2, split_hot=split, share=100)
+    picked = windows.every_nth(rows, 10, 2, split_hot=split, rows_per_task=10)
     assert as_set(picked, "bucket", "ordinal", "event_id") == {
         (b, n, 2 * (n - 1) + b) for b in (0, 1) for n in (10, 20, 30, 40, 50)
     }
