@@ -25,14 +25,6 @@ LIVE_SCHEMA = _struct(
     ("event_time", T.StringType()),
 )
 
-AVERAGE_SCHEMA = _struct(
-    ("link_id", T.LongType()),
-    ("avg_speed", T.DoubleType()),
-    ("avg_volume", T.DoubleType()),
-    ("hrs", T.IntegerType()),
-    ("mins", T.IntegerType()),
-)
-
 LINK_SCHEMA = _struct(
     ("link_id", T.LongType()),
     ("x", T.DoubleType()),

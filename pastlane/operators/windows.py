@@ -113,12 +113,13 @@ def unexpired(averages: DataFrame, clock: DataFrame, componentwise: bool = False
     ``componentwise`` compares hours and minutes apart, so that 01:00 counts as
     behind 00:55; otherwise the time of day is compared as a whole.
     """
-    hours = clock.select(F.hour("clock")).scalar()
-    minutes = clock.select(F.minute("clock")).scalar()
+    now = clock.select("clock").scalar()
+    hours, minutes = F.hour(now), F.minute(now)
     if componentwise:
         return averages.where((minutes <= F.col("mins")) & (hours <= F.col("hrs")))
-    now = clock.select(minute_of_day(F.hour("clock"), F.minute("clock"))).scalar()
-    return averages.where(now <= minute_of_day(F.col("hrs"), F.col("mins")))
+    return averages.where(
+        minute_of_day(hours, minutes) <= minute_of_day(F.col("hrs"), F.col("mins"))
+    )
 
 
 def unexpired_dated(averages: DataFrame, clock: DataFrame, slot: str = "slot") -> DataFrame:

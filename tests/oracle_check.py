@@ -7,7 +7,7 @@ import math
 import os
 
 import duckdb
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def duckdb_rows(sql: str, sf_dir: str) -> tuple[list[str], list[tuple]]:

@@ -4,6 +4,7 @@ import pytest
 from frames import LINKS, as_set, at, plan_text, readings
 
 from pastlane.functions.time import day_aligned_instants, ntz, slot_start
+from pastlane.model import ARCHIVE_SCHEMA
 from pastlane.operators import averages, filters
 from pastlane.sources import archive
 from pastlane.sources.links import read_links, unique_links
@@ -74,6 +75,24 @@ def test_database_predicates_cover_the_range_once():
     assert all(before[1] == after[0] for before, after in zip(bounds, bounds[1:]))
 
 
+def test_database_rows_take_the_archive_form(spark):
+    """The reader's arguments and the form of its rows, without a database."""
+    asked = {}
+
+    class Reader:
+        def jdbc(self, url, table, predicates, properties):
+            asked.update(url=url, table=table, predicates=predicates, properties=properties)
+            stored = "LINKID int, SPEED float, VOLUME int, TIME_STAMP timestamp_ntz"
+            return spark.createDataFrame([(7, 1.5, 3, FIRST)], stored)
+
+    class Session:
+        read = Reader()
+
+    rows = archive.read_archive_jdbc(Session(), "jdbc:x", FIRST, FIRST + timedelta(days=2), pieces=3)
+    assert rows.schema == ARCHIVE_SCHEMA and rows.collect() == [(7, 1.5, 3, FIRST)]
+    assert len(asked["predicates"]) == 6 and asked["properties"] == {"fetchsize": "10000"}
+
+
 def test_average_of_six_days_in_both_numeric_forms(spark):
     # Six speeds with the sum 233, as behind a logged average.
     rows = readings(spark, six_days([40.0, 39.0, 38.0, 38.0, 39.0, 39.0], 1))

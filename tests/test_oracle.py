@@ -3,9 +3,11 @@
 import os
 
 import pytest
+from frames import plan_text
 from oracle_check import compare
 
 import __spark_entry__ as contract
+from pastlane.operators import hot
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -21,6 +23,23 @@ def test_query_equals_oracle(spark, name):
     assert rows > 0 or name == "fetched_slot_join"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+@pytest.mark.parametrize(
+    "name",
+    ["live_archive_join", "live_history_lookup", "region_readings", "length_batch", "every_nth_sample"],
+)
+def test_large_input_plans_equal_oracle(spark, monkeypatch, name):
+    """The plans for inputs too large to broadcast or to sort in one task."""
+    monkeypatch.setattr(hot, "SMALL_INPUT_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = contract.queries()[name](spark, SF_DIR)
+        assert compare(df, contract.oracle_sql()[name], SF_DIR) > 0
+        assert "_bucket" in plan_text(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.skipif(not os.path.isdir(contract.SMOKE_DIR), reason="no test tables")
 def test_entry_gives_the_flagship(spark):
     df = contract.entry(spark)
