@@ -76,12 +76,30 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+class Lookup:
+    """A set of 64-bit hashes that many others are looked up in."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(np.asarray(values, dtype=np.uint64))
+        self.bits = max(10, int(len(self.values)).bit_length() + 5)
+        self.marks = np.zeros(1 << self.bits, bool)
+        self.marks[self.values >> np.uint64(64 - self.bits)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes are in the set, and which of its values they are."""
+        at = np.flatnonzero(self.marks[hashes >> np.uint64(64 - self.bits)])
+        value = np.searchsorted(self.values, hashes[at])
+        ok = self.values[np.minimum(value, len(self.values) - 1)] == hashes[at] if len(self.values) else np.zeros(0, bool)
+        return at[ok], value[ok]
+
+
 class Words:
     """The words of a slice: ``doc`` (row of each), ``start``, ``end`` (bytes) and ``n`` per row."""
 
     def __init__(self, column: pa.Array, table: np.ndarray = SPACES):
         raw, self.at = utf8(column)
         self.bytes = table[raw]
+        self._sums = None
         inside = self.bytes != 0
         first, last = inside.copy(), inside.copy()
         if len(inside):
@@ -98,14 +116,24 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word's bytes, the same on every machine."""
-        if not len(self.start):
+        return self._hash(self.start, self.end)
+
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the words that are longer, and those words."""
+        at = np.flatnonzero(self.end - self.start > size)
+        return self._hash(self.start[at], self.start[at] + size) ^ _GRAM[1], at
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
             return np.empty(0, np.uint64)
         size = len(self.bytes)
-        terms = (self.bytes.astype(np.uint64) + np.uint64(1)) * _power("up", _PRIME, size)
-        terms[self.bytes == 0] = 0
-        sums = np.add.reduceat(terms, self.start)
-        length = (self.end - self.start).astype(np.uint64)
-        return mix(sums * _power("down", _INVERSE, size)[self.start] + length * _GRAM[0])
+        if self._sums is None:
+            terms = (self.bytes.astype(np.uint64) + np.uint64(1)) * _power("up", _PRIME, size)
+            self._sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(terms, out=self._sums[1:])
+        length = (end - start).astype(np.uint64)
+        sums = self._sums[end] - self._sums[start]
+        return mix(sums * _power("down", _INVERSE, size)[start] + length * _GRAM[0])
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words inside a row, and the word each begins with."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pastlane.llm.arrays import slices
 
 # Short pre-tokens that each of two generations remembers: some 200 bytes for each of them.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 # The bitmap has two levels: words of 256 bits, and one word that says which of them are not empty.
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -187,6 +187,23 @@ def _shared_encoder(ranks, pattern: str) -> Encoder:
     return _encoder[1]
 
 
+def _ids(column: pa.Array, encoder: Encoder) -> Iterator[list[list[int]]]:
+    for start, stop in slices(column, 1 << 20):
+        yield encoder.texts(column.slice(start, stop - start).to_pylist())
+
+
+def _as_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts or [[]]), pa.int32()))
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
                into: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text's tokens, as array<int> in ``into``.
@@ -199,29 +216,40 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _shared_encoder(shared, pattern)
         for column in batches:
-            parts, ends, total = [], [0], 0
-            for start, stop in slices(column, 2 << 20):
-                for ids in encoder.texts(column.slice(start, stop - start).to_pylist()):
-                    parts.append(np.array(ids, dtype=np.int32))
-                    total += len(ids)
-                    ends.append(total)
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            yield _as_lists([np.array(x, np.int32) for part in _ids(column, encoder) for x in part])
 
     return docs.withColumn(into, encode(F.col(text)))
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that its ids stand for, as binary in ``into``."""
+    """``encoded`` with the bytes that its ids stand for, as binary in ``into``; null ids stay null."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens: list[bytes] = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
+        token = _tokens(shared.value).__getitem__
         for column in batches:
-            yield pa.array([None if x is None else b"".join([tokens[i] for i in x])
-                            for x in (y.as_py() for y in column)], pa.binary())
+            yield pa.array([None if x is None else b"".join(map(token, x)) for x in (y.as_py() for y in column)],
+                           pa.binary())
 
     return encoded.withColumn(into, decode(F.col(ids)))
+
+
+def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
+                   ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``bpe_decode`` of ``bpe_encode`` in one Python worker, so that the ids need not go there twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _shared_encoder(shared, pattern)
+        token = _tokens(shared.value).__getitem__
+        for column in batches:
+            found, back = [], []
+            for part in _ids(column, encoder):
+                found.extend(np.array(x, np.int32) for x in part)
+                back.extend(b"".join(map(token, x)) for x in part)
+            yield pa.StructArray.from_arrays([_as_lists(found), pa.array(back, pa.binary())], ["ids", "decoded"])
+
+    made = docs.withColumn(ids, both(F.col(text)))
+    return made.withColumn(decoded, F.col(ids)["decoded"]).withColumn(ids, F.col(ids)["ids"])

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastlane.llm.bpe import bpe_decode, bpe_encode, load_ranks
+from pastlane.llm.bpe import bpe_round_trip, load_ranks
+from pastlane.llm.languages import fit_languages, predict_language
+from pastlane.llm.licenses import licence_scan
+from pastlane.llm.toxicity import fit_toxicity, toxicity_score
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +20,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _part(folds: int) -> Column:
+    """The fold of a row: crc32 of its id as text, modulo ``folds``; a row without id is in none."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit_toxicity(docs.where(_part(5) != 0), labels.where(_part(5) != 0))
+    scored = docs.select("doc_id", F.coalesce(_part(5) == 0, F.lit(False)).alias("held_out"),
+                         toxicity_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", licence_scan(F.col("text")).alias("scan"))
+    base, spans = F.col("scan.base_labels"), F.col("scan.spans")
+    nearest = F.array_max(F.transform(spans, lambda x: 1 - x["edits"] / F.length(x["notice"])))
+    return found.select(
+        "doc_id", "scan.n_words", "scan.n_base", "scan.first_word", "scan.last_word",
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, F.transform(spans, lambda x: x["label"]))), ",").alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(nearest, F.lit(0.0))).alias("score"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(_part(4) != 2))
+    scored = docs.select("doc_id", F.coalesce(_part(4) == 2, F.lit(False)).alias("held_out"),
+                         predict_language(F.col("text"), model).alias("guess"))
+    return scored.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(docs)
@@ -25,8 +63,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Length and digests of the ids of each text and of the bytes they decode to."""
     ranks = load_ranks(public_tokenizers.path(RANKS))
-    encoded = bpe_encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe_decode(encoded, ranks).select(
+    return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"),
@@ -35,6 +72,9 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op5_licence_scan": op5_licence_scan,
+    "op10_language_id": op10_language_id,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
