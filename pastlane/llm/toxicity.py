@@ -371,7 +371,7 @@ def _fit_classifier(docs: DataFrame, gold: DataFrame, voters: Voters, model: Lab
     @F.udf(VectorUDT())
     def sparse(words, votes):  # rows of the bounded sample only
         on = [known + i for i in range(width) if votes >> i & 1]
-        return Vectors.sparse(size, [*words.index, *on], [*words.value, *[1.0] * len(on)])
+        return Vectors.sparse(size, [*words["index"], *on], [*words["value"], *[1.0] * len(on)])
 
     rows_of = sample.select(sparse(counted("text"), "votes").alias("features"), "p")
     # Both labels of a row, each with its probability as weight.
