@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pastlane.llm.arrays import slices
 
 # Short pre-tokens that each of two generations remembers: some 200 bytes for each of them.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 # The bitmap has two levels: words of 256 bits, and one word that says which of them are not empty.
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
