@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastlane.llm.bpe import bpe_round_trip, load_ranks
+from pastlane.llm.decontaminate import contamination
+from pastlane.llm.html import extract_main_text
 from pastlane.llm.languages import fit_languages, predict_language
 from pastlane.llm.licenses import licence_scan
 from pastlane.llm.toxicity import fit_toxicity, toxicity_score
@@ -34,6 +36,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages, into="text").select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", licence_scan(F.col("text")).alias("scan"))
@@ -47,6 +55,13 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = contamination(docs, items).select("doc_id", F.explode("matches").alias("match"))
+    return found.select("doc_id", "match.item_id", "match.score", "match.first_word", "match.last_word")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(docs.where(_part(4) != 2))
@@ -73,6 +88,8 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_main_text": op4_main_text,
+    "op6_decontamination": op6_decontamination,
     "op5_licence_scan": op5_licence_scan,
     "op10_language_id": op10_language_id,
     "op8_bpe_round_trip": op8_bpe_round_trip,
