@@ -13,6 +13,7 @@ from pastlane.llm.decontaminate import contamination
 from pastlane.llm.html import extract_main_text
 from pastlane.llm.languages import fit_languages, predict_language
 from pastlane.llm.licenses import licence_scan
+from pastlane.llm.neighbours import nearest
 from pastlane.llm.toxicity import fit_toxicity, toxicity_score
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +71,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda key: key % 20 == 0)
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(docs)
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op5_licence_scan": op5_licence_scan,
     "op10_language_id": op10_language_id,
+    "op9_neighbours": op9_neighbours,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
