@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pastlane.llm.bpe import bpe_round_trip, load_ranks
 from pastlane.llm.decontaminate import contamination
+from pastlane.llm.fixity import audit_records
 from pastlane.llm.html import extract_main_text
 from pastlane.llm.languages import fit_languages, predict_language
 from pastlane.llm.licenses import licence_scan
@@ -37,6 +38,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages in which some have been changed, lost or stored twice."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = F.pmod(F.col("page_id"), F.lit(97))
+    replica = pages.where(F.coalesce(kind != 5, F.lit(True))).withColumn(
+        "html", F.when(kind == 3, F.concat(F.coalesce("html", F.lit("")), F.lit(" "))).otherwise(F.col("html")))
+    replica = replica.unionByName(pages.where(kind == 7))
+    found = audit_records(pages, replica, "page_id", ["page_id", "url", "html"])
+    return found.select(F.col("node").alias("page_id"), "state", "n_primary", "n_replica")
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages, into="text").select(
@@ -93,6 +105,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_fixity": op3_fixity,
     "op4_main_text": op4_main_text,
     "op6_decontamination": op6_decontamination,
     "op5_licence_scan": op5_licence_scan,
@@ -101,4 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_fixity": """
+        SELECT page_id,
+               CASE ((page_id % 97) + 97) % 97 WHEN 5 THEN 'missing' ELSE 'changed' END AS state,
+               count(*) AS n_primary,
+               CASE ((page_id % 97) + 97) % 97 WHEN 5 THEN 0 WHEN 7 THEN 2 * count(*) ELSE count(*) END AS n_replica
+        FROM pages WHERE ((page_id % 97) + 97) % 97 IN (3, 5, 7) GROUP BY page_id
+    """,
+}
