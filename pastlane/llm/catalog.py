@@ -12,6 +12,7 @@ from pastlane.llm.bpe import bpe_round_trip, load_ranks
 from pastlane.llm.decontaminate import contamination
 from pastlane.llm.fixity import audit_records
 from pastlane.llm.html import extract_main_text
+from pastlane.llm.jaccard import jaccard_components
 from pastlane.llm.languages import fit_languages, predict_language
 from pastlane.llm.licenses import licence_scan
 from pastlane.llm.neighbours import nearest
@@ -83,6 +84,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda key: key % 20 == 0)
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op5_licence_scan": op5_licence_scan,
     "op10_language_id": op10_language_id,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_neighbours": op9_neighbours,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
