@@ -15,6 +15,7 @@ from pastlane.llm.html import extract_main_text
 from pastlane.llm.jaccard import jaccard_components
 from pastlane.llm.languages import fit_languages, predict_language
 from pastlane.llm.licenses import licence_scan
+from pastlane.llm.maxent import maxent_scores
 from pastlane.llm.neighbours import nearest
 from pastlane.llm.toxicity import fit_toxicity, toxicity_score
 
@@ -39,6 +40,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = maxent_scores(docs, _part(10) != 0).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id", F.coalesce(_part(10) == 0, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of all pages in which some have been changed, lost or stored twice."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -112,6 +121,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_score": op2_lm_score,
     "op3_fixity": op3_fixity,
     "op4_main_text": op4_main_text,
     "op6_decontamination": op6_decontamination,
