@@ -80,12 +80,18 @@ def _features(words: Words, wanted: Lookup | None = None) -> tuple[np.ndarray, n
         docs.append(words.doc[at])
         values.append(hashes)
     doc, value = np.concatenate(docs), np.concatenate(values)
+    order, first = _first_of_row(doc, value)
+    keep = order[first]
+    return doc[keep], value[keep], np.diff(np.append(first, len(doc)))
+
+
+def _first_of_row(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by row and value, and where in it another pair begins."""
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], value[first], np.diff(np.append(first, len(doc)))
+    return order, np.flatnonzero(new)
 
 
 class Voters:
@@ -128,7 +134,7 @@ class Voters:
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
-    for start, stop in slices(column, SLICE_BYTES // 2):
+    for start, stop in slices(column, SLICE_BYTES // 4):
         part = column.slice(start, stop - start)
         words = Words(part, _LETTERS)
         yield words, utf8(part)[0]
@@ -154,10 +160,11 @@ def _counted(rows: DataFrame, weight: str) -> DataFrame:
             values, before = batch.column(1).to_numpy(zero_copy_only=False), 0
             for words, _ in _parts(batch.column(0)):
                 for stem, (hashes, at) in enumerate(_families(words)):
-                    both = np.unique(np.stack([words.doc[at].astype(np.int64), hashes.view(np.int64)]), axis=1)
+                    order, first = _first_of_row(words.doc[at], hashes)
+                    keep = order[first]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(both[1]), pa.array(np.full(both.shape[1], stem > 0)), pa.array(values[before + both[0]])],
-                        ["feature", "stem", "bad"])
+                        [pa.array(hashes[keep].view(np.int64)), pa.array(np.full(len(keep), stem > 0)),
+                         pa.array(values[before + words.doc[at[keep]]])], ["feature", "stem", "bad"])
                 before += words.rows
 
     return rows.select("text", F.col(weight).cast("double")).mapInArrow(
