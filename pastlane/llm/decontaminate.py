@@ -2,8 +2,9 @@
 
 The test items are a stated query set. They are taken in blocks of bounded size; each block
 is broadcast and held against all rows. Seeds are the word trigrams of the items. One pass
-counts in how many rows of the corpus each seed stands; of each item the rarest half of the
-seeds joins its passages, so an item whose every seed is frequent still has seeds. Where
+counts in how many rows of the corpus each seed stands. The rare ones join the items' passages:
+those in few rows, and in any case the rarest half of an item's, so that an item whose
+every seed is frequent (many copies make them so) still has seeds. Where
 seeds meet, the item is aligned with the window of the text around them (words; a match
 counts 2, a substitution or gap costs 1), and an edited or paraphrased copy is one whose
 best local alignment reaches ``THRESHOLD`` of what the item reaches with itself.
@@ -28,6 +29,8 @@ from pastlane.llm.arrays import Lookup, Words, byte_table, slices
 # Words of the items of a block: the bound of what is broadcast at once.
 BLOCK_WORDS = 1 << 19
 GRAM = 3
+# A seed is rare in this many rows, or in one row of so many.
+RARE_ROWS, RARE_ONE_IN = 64, 10_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.55
 
@@ -64,14 +67,15 @@ class Items:
         self.begin = np.searchsorted(self.gram, self.lookup.values)
         self.end = np.append(self.begin[1:], len(self.gram))
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Keeps, of each item, the seeds that no more rows have than the item's median seed."""
+    def keep_rare(self, counts: dict[int, int], total: int) -> None:
+        """Keeps the seeds that few of ``total`` rows have, and those no more frequent than their item's median."""
+        few = max(RARE_ROWS, total // RARE_ONE_IN)
         rows = np.array([counts.get(int(x), 0) for x in self.gram.view(np.int64)])
         keep = np.zeros(len(rows), bool)
         order = np.argsort(self.item, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
             if len(part):
-                keep[part] = rows[part] <= np.sort(rows[part])[(len(part) - 1) // 2]
+                keep[part] = rows[part] <= max(few, np.sort(rows[part])[(len(part) - 1) // 2])
         self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
         self.index()
 
@@ -159,23 +163,26 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list, l
         yield [r.id for r in rows], [r.text for r in rows]
 
 
-def _rows_with_seed(docs: DataFrame, text: str, items: Items) -> dict[int, int]:
-    """The rows of the corpus that have each seed: at most one count for each seed of the block."""
+def _rows_with_seed(docs: DataFrame, text: str, items: Items) -> tuple[dict[int, int], int]:
+    """The rows of the corpus that have each seed, and all rows: at most one count for each seed of the block."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         total = np.zeros(len(block.lookup.values), np.int64)
+        seen = 0
         for batch in batches:
+            seen += batch.num_rows
             for words, _, at, seed in block.seeds(batch.column(0)):
                 once = np.unique(np.stack([words.doc[at], seed]), axis=1)[1]
                 total += np.bincount(once, minlength=len(total))
         have = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(block.lookup.values[have].view(np.int64)), pa.array(total[have])],
-                                         ["seed", "rows"])
+        seeds = pa.array([None, *block.lookup.values[have].view(np.int64).tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([seeds, pa.array([seen, *total[have].tolist()], pa.int64())], ["seed", "rows"])
 
     sums = docs.select(text).mapInArrow(count, "seed long, rows long").groupBy("seed").agg(F.sum("rows").alias("rows"))
-    return {row.seed: row.rows for row in sums.collect()}
+    counts = {row.seed: row.rows for row in sums.collect()}
+    return counts, counts.pop(None, 0)
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -184,7 +191,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     found: list[Column] = []
     for ids, texts in _blocks(items, item_id, item_text):
         block = Items(ids, texts)
-        block.keep_rare(_rows_with_seed(docs, text, block))
+        block.keep_rare(*_rows_with_seed(docs, text, block))
         found.append(_matches(docs, block)(F.col(text)))
     return docs.withColumn(into, F.concat(*found) if len(found) > 1 else found[0])
 
