@@ -37,6 +37,7 @@ WORDS = 5
 SIMILARITY = (75, 100)
 # The order is made from one set in SAMPLED; it changes the work but not the result. A shingle
 # is frequent if FREQUENT of those have it; the most frequent FREQUENT_KEPT are remembered.
+# So a shingle that is not remembered as frequent is in few sets, and those can be gathered.
 SAMPLED = 8
 FREQUENT = 8
 FREQUENT_KEPT = 1 << 17
@@ -238,24 +239,43 @@ def _frequent(items: DataFrame) -> np.ndarray:
     return np.array([r.key for r in rows], np.int64).view(np.uint64)
 
 
-def _cells(items: DataFrame) -> DataFrame:
-    """(key, set): the first shingles of each set."""
+def _first_shingles(items: DataFrame) -> DataFrame:
+    """(key, set, frequent): the first shingles of each set."""
     hot = items.sparkSession.sparkContext.broadcast(Lookup(mix(_frequent(items))))  # FREQUENT_KEPT at most
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, frequent = [], [], []
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = mix(unpack(data.as_py()))  # an order that has nothing to do with the groups
                 late = np.zeros(len(values), bool)
                 late[hot.value.find(values)[0]] = True
                 need = -(-SIMILARITY[0] * len(values) // SIMILARITY[1])
-                keys.append(values[np.lexsort((values, late))[:len(values) - need + 1]].view(np.int64))
-                sets.append(np.full(len(keys[-1]), number, np.int64))
+                chosen = np.lexsort((values, late))[:len(values) - need + 1]
+                keys.append(values[chosen].view(np.int64))
+                frequent.append(late[chosen])
+                sets.append(np.full(len(chosen), number, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets))], ["key", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sets, frequent)],
+                                                 ["key", "set", "frequent"])
+
+    return items.select("set", "items").mapInArrow(first, "key long, set long, frequent boolean")
 
-    return items.select("set", "items").mapInArrow(first, "key long, set long")
+
+def _cells(items: DataFrame) -> DataFrame:
+    """(cell, set, size, leader, weight): who meets whom. Cells of the same members are one, with their number as weight.
+
+    Only a shingle that is not frequent has its sets gathered; a frequent one has them counted and joined.
+    """
+    rows = _first_shingles(items)
+    rare = rows.where("not frequent").groupBy("key").agg(F.sort_array(F.collect_set("set")).alias("sets")).where(F.size("sets") > 1)
+    rare = rare.groupBy("sets").agg(F.count(F.lit(1)).alias("weight")).select(
+        F.xxhash64("sets").alias("cell"), F.explode("sets").alias("set"), F.size("sets").cast("long").alias("size"),
+        F.col("sets")[0].alias("leader"), "weight")
+    often = written(rows.where("frequent").select(F.col("key").alias("cell"), "set").distinct(), "frequent")
+    sizes = often.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("leader")).where("size > 1")
+    often = often.join(sizes, "cell").select("cell", "set", "size", "leader", F.lit(1).cast("long").alias("weight"))
+    return written(rare.unionByName(often), "cells")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, items: DataFrame, bound: bool) -> DataFrame:
@@ -290,19 +310,16 @@ def _verified(pairs: DataFrame, vectors: DataFrame, items: DataFrame, bound: boo
 def _units(cells: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
     """(members): what is searched together; members of several components only."""
     rows = cells.join(known, cells["set"] == known["node"], "left").select(
-        "key", "set", "size", F.coalesce("component", "set").alias("component"))
-    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rows = written(rows.join(spread, "key"), "open-cells")
-
-    small = rows.where(F.col("size") <= CELL).groupBy("key").agg(F.sort_array(F.collect_set("set")).alias("sets"))
-    small = small.select("sets").distinct().select(
-        F.xxhash64("sets").alias("unit"), F.explode("sets").alias("set"), F.lit(0).alias("side"))
+        "cell", "set", "size", F.coalesce("component", "set").alias("component"))
+    spread = rows.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
+    rows = written(rows.join(spread, "cell"), "open-cells")
+    small = rows.where(F.col("size") <= CELL).select(F.col("cell").alias("unit"), "set", F.lit(0).alias("side"))
 
     # A cell of s slices has a unit for each slice and for each two slices.
-    large = rows.where(F.col("size") > CELL).select("key", "set", "size").distinct().withColumn(
+    large = rows.where(F.col("size") > CELL).select("cell", "set", "size").withColumn(
         "slices", F.ceil(F.col("size") / SLICE)).withColumn("slice", F.pmod(F.xxhash64("set"), F.col("slices")))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
-        F.xxhash64("key", F.least("slice", "other"), F.greatest("slice", "other")).alias("unit"), "set",
+        F.xxhash64("cell", F.least("slice", "other"), F.greatest("slice", "other")).alias("unit"), "set",
         F.when(F.col("slice") == F.col("other"), 0).when(F.col("slice") < F.col("other"), 1).otherwise(2).alias("side"))
 
     component = known.select(F.col("node").alias("set"), "component")
@@ -329,13 +346,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     vectors = written(rows.where(F.col("vector").isNotNull()).groupBy("set").agg(
         F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
-    cells = written(_cells(items), "first-shingles")
-    shared = cells.groupBy("key").agg(F.min("set").alias("leader"), F.max("set").alias("last"),
-                                      F.count(F.lit(1)).alias("size")).where("leader <> last").drop("last")
-    cells = written(cells.join(shared, "key"), "cells")
+    cells = _cells(items)
 
     # One leader for each set: the one that it shares most cells with.
-    led = cells.where("leader <> set").groupBy("set", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("set").agg(
+    led = cells.where("leader <> set").groupBy("set", "leader").agg(F.sum("weight").alias("n")).groupBy("set").agg(
         F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.col("set").alias("a"), F.col("leader").alias("b"))
     links = written(_verified(led, vectors, items, bound=True), "links")
     known = components(links)

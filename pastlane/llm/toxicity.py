@@ -11,7 +11,7 @@ trained on the posterior labels, from words, stems and the votes.
 
 A null or empty text has no words and no votes and gets the score of such a row. Repeated
 rows are scored each. Without labelled rows the mined lexicons are empty; without any row
-the classifier is the prior.
+every score is low.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastlane.llm.arrays import SLICE_BYTES, Lookup, Words, byte_table, slices, utf8
+from pastlane.llm.arrays import Lookup, Words, byte_table, slices, utf8
 from pastlane.session import fresh_dir
 
 # Insults by language and kind, lower case.
@@ -134,7 +134,7 @@ class Voters:
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
-    for start, stop in slices(column, SLICE_BYTES // 4):
+    for start, stop in slices(column):
         part = column.slice(start, stop - start)
         words = Words(part, _LETTERS)
         yield words, utf8(part)[0]
@@ -324,6 +324,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         known[0] = max(0.0, known[0] - row.n)
         known[1 + (row.toxic == 0)] += row.n
     masks = np.array(sorted(patterns), dtype=np.int64)
+    if not len(masks):
+        return ToxicityModel(voters, LabelModel(0.02, [-1] * len(VOTERS), np.full((len(VOTERS), 2, 2), 0.5)),
+                             Lookup(np.empty(0)), np.zeros(len(VOTERS)), -4.0)
     table = np.array([patterns[int(x)] for x in masks]).reshape(-1, 3)
     model = fit_label_model(masks, table[:, 0], table[:, 1], table[:, 2], len(VOTERS))
     features, weights, bias = _fit_classifier(docs, gold, voters, model, masks, table.sum(axis=1))
@@ -337,8 +340,6 @@ def _fit_classifier(docs: DataFrame, gold: DataFrame, voters: Voters, model: Lab
     The posterior of a row that has a label is that label.
     """
     width = len(VOTERS)
-    if not rows.sum():
-        return Lookup(np.empty(0)), np.zeros(width), 0.0
     posterior = model.posterior(masks)
     spark = docs.sparkSession
     clean_rows, toxic_rows = rows[posterior < 0.5].sum(), rows[posterior >= 0.5].sum()
