@@ -1,7 +1,9 @@
 """Cleans ``documents`` for training in stages; each keeps or changes what the one before it kept.
 
 Between stages the rows are written as Parquet to the shared folder and read again, so no
-stage repeats another's work and a lost executor costs one stage at most.
+stage repeats another's work and a lost executor costs one stage at most. All stages but the last
+return the columns they got. Null and empty texts have no language and go in the first stage; rows
+without id are never near duplicates; rows that share an id count as one document.
 """
 
 from __future__ import annotations
@@ -9,17 +11,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pastlane.llm.catalog import bpe_digests
+from pastlane.llm.components import written
+from pastlane.llm.decontaminate import contamination
+from pastlane.llm.jaccard import jaccard_components
+from pastlane.llm.languages import fit_languages, predict_language
+from pastlane.llm.toxicity import fit_toxicity, toxicity_score
 from pastlane.session import fresh_dir
 
+# A prediction less sure than this names no language.
+SURE = 0.5
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {x.lower() for x in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that are in no language the corpus names."""
+    guess = predict_language(F.col("text"), fit_languages(docs.select("doc_id", "text", "lang")))
+    name = _free(docs, "guess")
+    sure = (F.col(name)["lang"] != "und") & (F.col(name)["score"] >= SURE)
+    return docs.withColumn(name, guess).where(sure).select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = fit_toxicity(docs.select("doc_id", "text"), labels)
+    name = _free(docs, "score")
+    return docs.withColumn(name, toxicity_score(F.col("text"), model)).where(F.col(name) < 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays.
+
+    Only ids are joined to the documents; Spark broadcasts those that go if they are few.
+    """
+    ids = written(jaccard_components(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "component"), "groups")
+    copies = ids.where(F.col("doc_id") != F.col("component")).select("doc_id").distinct()
+    kept = docs.join(written(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(ids.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    first = several.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("row.*"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have a copy of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    name = _free(docs, "matches")
+    return contamination(docs, items, into=name).where(F.size(name) == 0).select(*docs.columns)
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digests of each document's tokens and of what they decode to."""
-    return bpe_digests(docs)
+    return bpe_digests(docs.select("doc_id", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language id", language_id),
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("tokens", tokens),
 ]
 
