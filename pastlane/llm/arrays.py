@@ -77,19 +77,31 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 
 class Lookup:
-    """A set of 64-bit hashes that many others are looked up in."""
+    """A set of 64-bit hashes that many others are looked up in.
+
+    The values are spread evenly, so their first bits say nearly where in their order a hash would be.
+    """
 
     def __init__(self, values: np.ndarray):
         self.values = np.unique(np.asarray(values, dtype=np.uint64))
-        self.bits = max(10, int(len(self.values)).bit_length() + 5)
+        size = int(len(self.values)).bit_length()
+        self.bits, self.near = max(10, size + 5), max(8, size + 1)
         self.marks = np.zeros(1 << self.bits, bool)
         self.marks[self.values >> np.uint64(64 - self.bits)] = True
+        counts = np.bincount((self.values >> np.uint64(64 - self.near)).astype(np.int64), minlength=1 << self.near)
+        self.start = (np.cumsum(counts) - counts).astype(np.int32)
+        self.steps = int(counts.max(initial=0))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the hashes are in the set, and which of its values they are."""
         at = np.flatnonzero(self.marks[hashes >> np.uint64(64 - self.bits)])
-        value = np.searchsorted(self.values, hashes[at])
-        ok = self.values[np.minimum(value, len(self.values) - 1)] == hashes[at] if len(self.values) else np.zeros(0, bool)
+        if not len(at):
+            return at, at
+        hash_, last = hashes[at], len(self.values) - 1
+        value = self.start[hash_ >> np.uint64(64 - self.near)].astype(np.int64)
+        for _ in range(self.steps - 1):
+            value += (self.values[np.minimum(value, last)] < hash_) & (value < last)
+        ok = self.values[value] == hash_
         return at[ok], value[ok]
 
 

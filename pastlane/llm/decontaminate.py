@@ -32,7 +32,7 @@ GRAM = 3
 # A seed is rare in this many rows, or in one row of so many.
 RARE_ROWS, RARE_ONE_IN = 64, 10_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-THRESHOLD = 0.55
+THRESHOLD = 0.5
 
 _WORD = byte_table([x for x in range(128) if not (48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122)])
 

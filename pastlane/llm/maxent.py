@@ -164,9 +164,9 @@ class Learner:
         self.squares = [np.full_like(x, 1e-3) for x in self.weights]
         self.met = [np.zeros(ROWS, np.int64), np.zeros(ROWS, np.int64)]
 
-    def step(self, tokens: Tokens, number: np.ndarray, at: np.ndarray) -> None:
+    def step(self, tokens: Tokens, number: np.ndarray, classes: np.ndarray, at: np.ndarray) -> None:
         model = self.model
-        features, own = tokens.features(at), model.classes(tokens, number)[at]
+        features, own = tokens.features(at), classes[at]
         rows = _weight_rows(features)
         self._update(0, rows, Model._sum(self.weights[0], rows) + model.class_bias, own)
         head = np.flatnonzero(own < HEAD_CLASSES)
@@ -176,8 +176,7 @@ class Learner:
             self._update(1, rows, logits, model.slot[number[at[head]]])
 
     def _update(self, which: int, rows: np.ndarray, logits: np.ndarray, chosen: np.ndarray) -> None:
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
+        np.exp(np.subtract(logits, logits.max(axis=1, keepdims=True), out=logits), out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
         logits[np.arange(len(logits)), chosen] -= 1  # the gradient, the same for all features
         flat = rows.ravel()
@@ -227,7 +226,7 @@ def _classes_of(signature: np.ndarray) -> np.ndarray:
     found = np.zeros(len(points), np.int64)
 
     def cut(rows, low, high):
-        if high - low == 1:
+        if high - low == 1 or len(rows) < 2:
             found[rows] = low
             return
         axis = int(np.argmax(points[rows].var(axis=0)))
@@ -305,12 +304,13 @@ def _round(texts: DataFrame, model: Model, round_: int) -> None:
             for start, stop in slices(batch.column(0)):
                 tokens = Tokens(batch.column(0).slice(start, stop - start))
                 number = shared.value.known(tokens)
+                classes = shared.value.classes(tokens, number)
                 first = (round_ * (STRIDE // ROUNDS) - seen) % STRIDE
                 seen += len(tokens.hash)
                 places = np.arange(first, len(tokens.hash), STRIDE)
                 places = places[np.random.default_rng(len(places)).permutation(len(places))]
                 for begin in range(0, len(places), BATCH):
-                    learner.step(tokens, number, places[begin:begin + BATCH])
+                    learner.step(tokens, number, classes, places[begin:begin + BATCH])
         task = TaskContext.get().partitionId()
         for which in (0, 1):
             met, weights = learner.met[which], learner.weights[which]
