@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pastlane.functions.spatial import polygon_contains
 from pastlane.operators.hot import keyed_join
+from pastlane.sources.links import unique_links
 
 
 def region_links(links: DataFrame, wkt: str) -> DataFrame:
@@ -13,12 +14,23 @@ def region_links(links: DataFrame, wkt: str) -> DataFrame:
     return links.where(polygon_contains(wkt, "x", "y"))
 
 
-def in_region(readings: DataFrame, links: DataFrame, wkt: str) -> DataFrame:
+def in_region(
+    readings: DataFrame, links: DataFrame, wkt: str, latest_by: str | None = None
+) -> DataFrame:
     """Readings of the links inside the polygon, with their coordinates.
 
-    A link that the dimension does not know has no place and is dropped.
+    A link that the dimension does not know has no place and is dropped. A link that it
+    has twice is an error, or takes the place with the largest ``latest_by``.
     """
-    return keyed_join(readings, region_links(links, wkt), ["link_id"])
+    return keyed_join(readings, region_links(unique_links(links, latest_by), wkt), ["link_id"])
+
+
+def of_region(
+    readings: DataFrame, links: DataFrame, wkt: str, latest_by: str | None = None
+) -> DataFrame:
+    """As ``in_region`` without the coordinates: a look at the ids of the links inside."""
+    inside = region_links(unique_links(links, latest_by), wkt).select("link_id")
+    return readings.join(inside, "link_id", "left_semi").select(*readings.columns)
 
 
 def parity_live(live: DataFrame, ts: str = "ts") -> DataFrame:

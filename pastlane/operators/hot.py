@@ -1,64 +1,19 @@
-"""Groups that hold a large share of the rows.
+"""Groups that hold a large share of the rows: joins and numbering that split them.
 
 A sensor can send far more than the others. Averages are safe, since Spark
-aggregates before it shuffles; joins and row numbers are not, since they bring
-all rows of a key to one task. The functions here find such keys and split them.
+aggregates before it shuffles; joins and row numbers bring all rows of a key to
+one task unless they are planned otherwise. There is one plan for every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-# Keys are counted by hash bucket: the counts, and so what is broadcast of them, have
-# at most this many rows however many keys and readings there are.
-BUCKETS = 1 << 20
-
-# Rows of one key that a task takes without trouble; a bucket with more is split.
-ROWS_PER_TASK = 1 << 22
-
-# Inputs below this size can be sorted by one task even when one key holds all of it.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables, files and cached frames that ``df`` reads, as Spark knows it.
-
-    The planner's estimate of a join is the product of its sides, which says
-    nothing here: filters, averages and look-ups never have more rows than they
-    read. A source of unknown size counts as huge.
-    """
-    leaves = df._jdf.queryExecution().withCachedData().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_INPUT_BYTES
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Does ``df`` read no more than Spark would broadcast by itself?"""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return input_bytes(df) <= limit
-
-
-def _bucket(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
-
-
-def hot_buckets(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Buckets of keys with more rows than a task should take, and the ``_parts`` to make.
-
-    A bucket may hold other keys than the hot one. They are split along with it,
-    which changes no result.
-    """
-    counts = rows.groupBy(_bucket(keys)).agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")
-    return counts.where(F.col("_n") > rows_per_task).select("_bucket", parts)
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def _with_parts(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``_parts``, null where the key is not hot."""
-    return rows.select("*", _bucket(keys)).join(F.broadcast(hot), "_bucket", "left").drop("_bucket")
+# Rows from which the borders of the ranges are taken, for each range; the most ranges.
+SAMPLE_PER_RANGE = 32
+MOST_RANGES = 256
 
 
 def _require_same_types(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> None:
@@ -69,86 +24,78 @@ def _require_same_types(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> N
             raise ValueError(f"{key} is {left.simpleString()} and {right.simpleString()}")
 
 
-def keyed_join(
-    rows: DataFrame,
-    keyed: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    split_hot: bool | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+def keyed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Joins ``rows`` with ``keyed``, which has one row per key.
 
-    A ``keyed`` side of checked size is broadcast and nothing is shuffled. Beyond
-    that both sides are shuffled by key, and the rows of a hot key are spread over
-    as many tasks as they need, each with a copy of the one row they look up. The
-    salt comes from the row's values, so a repeated task repeats it.
+    Spark broadcasts a side whose size, known from its files or measured after its
+    shuffle, is below the session's threshold. Otherwise both sides are shuffled by
+    key, and adaptive execution cuts a partition that is much larger than the
+    others into pieces, each with a copy of the rows it looks up. It does so only where a
+    shuffle stands right below each side, so averages, which come already
+    dealt by their keys, are rebalanced first; they are the small side.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"inner or left, not {how!r}")
     _require_same_types(rows, keyed, keys)
-    if split_hot is None:
-        if fits_broadcast(keyed):
-            return rows.join(F.broadcast(keyed), keys, how)
-        split_hot = not is_small(rows)
-    if not split_hot:
-        return rows.join(keyed, keys, how)
-    hot = hot_buckets(rows, keys, rows_per_task)
-    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")
-    left = _with_parts(rows, hot, keys).withColumn("_salt", salt)
-    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    right = _with_parts(keyed, hot, keys).withColumn("_salt", F.explode(copies))
-    return left.drop("_parts").join(right.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
-
-
-def _before(counts: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Adds the running count of the earlier rows of each key."""
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(name, F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-
-
-def _cell_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """How many rows of a key come before each of its cells, by day and within the day."""
-    cells = rows.groupBy(*keys, F.to_date("_cell").alias("_day"), "_cell").agg(
-        F.count("*").alias("_n")
-    )
-    days = cells.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
-    by_day = _before(days, keys, "_day", "_days_before").drop("_n")
-    in_day = _before(cells, [*keys, "_day"], "_cell", "_before").drop("_n")
-    starts = in_day.join(by_day, [*keys, "_day"])
-    return starts.select(*keys, "_cell", (F.col("_days_before") + F.col("_before")).alias("_start"))
+    return rows.join(keyed.hint("rebalance"), keys, how)
+
+
+def _borders(rows: DataFrame, order: list[str], ranges: int) -> list[tuple]:
+    """Values of ``order`` that cut the rows into ranges of about one size.
+
+    They come from the rows with the smallest hashes: a sample of one size whatever
+    the input, and the same one each time.
+    """
+    known = rows.select(*order).dropna()
+    sample = known.orderBy(F.xxhash64(*order)).limit(SAMPLE_PER_RANGE * ranges)
+    values = sorted(tuple(row) for row in sample.collect())
+    picked = [values[len(values) * i // ranges] for i in range(1, ranges)] if values else []
+    return sorted(set(picked))
+
+
+def _not_before(rows: DataFrame, order: list[str], border: tuple) -> Column:
+    """Whether a row is at ``border`` or after it, by the columns of ``order`` in turn."""
+    found = F.lit(True)
+    for name, value in reversed(list(zip(order, border))):
+        at = F.lit(value).cast(rows.schema[name].dataType)
+        found = (F.col(name) > at) | ((F.col(name) == at) & found)
+    return found
+
+
+def _range_of(rows: DataFrame, order: list[str], borders: list[tuple], low: int, high: int) -> Column:
+    """The number of borders that a row is not before: a search by halves. Nulls come first."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(
+        _not_before(rows, order, borders[middle]), _range_of(rows, order, borders, middle + 1, high)
+    ).otherwise(_range_of(rows, order, borders, low, middle))
 
 
 def with_position(
-    rows: DataFrame,
-    keys: list[str],
-    ts: str = "ts",
-    tie: str = "event_id",
-    split_hot: bool | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows: DataFrame, keys: list[str], ts: str = "ts", tie: str | list[str] = "event_id", ranges: int | None = None
 ) -> DataFrame:
     """Adds ``position``: 0, 1, 2, ... within ``keys`` by (``ts``, ``tie``).
 
-    A plain row number sorts a whole group in one task. Here a hot group is cut
-    into its seconds: rows are numbered inside a second, and the numbers start
-    after the rows of the seconds before, which are counted beforehand.
+    A plain row number sorts a whole group in one task. Here all groups are cut by
+    the same ranges of (``ts``, ``tie``), of which each has about as many rows as any
+    other: rows are numbered inside a range, and the numbers start after the
+    group's rows in the ranges before. No task gets more of a group than a range has,
+    also when the group holds most rows or all of them have one time.
     """
-    if split_hot is None:
-        split_hot = not is_small(rows)
-    order = [F.col(ts), F.col(tie)]
-    if not split_hot:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return rows.withColumn("position", number.cast("long") - 1)
-    second = F.date_trunc("second", F.col(ts)).cast("timestamp")
-    hot = hot_buckets(rows, keys, rows_per_task)
-    celled = _with_parts(rows, hot, keys).withColumn(
-        "_cell", F.when(F.col("_parts").isNull(), F.timestamp_seconds(F.lit(0))).otherwise(second)
-    )
-    cells = [*keys, "_cell"]
-    starts = _cell_starts(celled.where(F.col("_parts").isNotNull()), keys)
-    number = F.row_number().over(Window.partitionBy(*cells).orderBy(*order))
-    numbered = celled.withColumn("_number", number).join(starts, cells, "left")
-    position = F.coalesce("_start", F.lit(0)) + F.col("_number") - 1
-    return numbered.withColumn("position", position.cast("long")).drop(
-        "_cell", "_parts", "_number", "_start"
-    )
+    order = [ts, *([tie] if isinstance(tie, str) else tie)]
+    if ranges is None:
+        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = _borders(rows, order, max(1, min(ranges, MOST_RANGES)))
+    cut = rows.withColumn("_range", _range_of(rows, order, borders, 0, len(borders)))
+    counts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(key).alias(f"_at_{key}") for key in keys], F.col("_range").alias("_at_range"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    numbered = cut.withColumn("_number", F.row_number().over(inside))
+    same = [numbered[key].eqNullSafe(starts[f"_at_{key}"]) for key in keys]
+    joined = numbered.join(starts, reduce(lambda a, b: a & b, same, numbered["_range"] == starts["_at_range"]))
+    position = (F.col("_start") + F.col("_number") - 1).cast("long")
+    return joined.select(*rows.columns, position.alias("position"))

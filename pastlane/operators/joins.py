@@ -24,7 +24,6 @@ def live_archive_join(
     minutes: int,
     how: str = "inner",
     extra: tuple[str, ...] = (),
-    **hot,
 ) -> DataFrame:
     """Each live row with the average of its link and time of day.
 
@@ -36,18 +35,18 @@ def live_archive_join(
         *SLOT_KEYS, F.col("link_id").alias("hist_link_id"), "avg_speed", "avg_volume"
     )
     needed = live.select("link_id", "speed", "volume", "ts", *extra)
-    joined = keyed_join(with_slot_keys(needed, minutes), history, SLOT_KEYS, how, **hot)
+    joined = keyed_join(with_slot_keys(needed, minutes), history, SLOT_KEYS, how)
     return joined.select(*JOINED_COLUMNS, *extra)
 
 
-def live_history_lookup(live: DataFrame, history: DataFrame, **hot) -> DataFrame:
+def live_history_lookup(live: DataFrame, history: DataFrame) -> DataFrame:
     """Each live row with the average of its link; no live row is lost.
 
     Averaging before the join stands for one query per live row.
     """
     keyed = history.select("link_id", F.col("link_id").alias("hist_link"), "hist_avg")
     needed = live.select("link_id", "speed", "ts")
-    joined = keyed_join(needed, keyed, ["link_id"], "left", **hot)
+    joined = keyed_join(needed, keyed, ["link_id"], "left")
     return joined.select("link_id", "hist_link", "speed", "hist_avg", "ts")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pastlane.functions.numeric import bucket_of
 from pastlane.functions.time import minute_of_day, ntz, slot_start
@@ -21,16 +21,21 @@ RATE_CHANGE_PERCENT = 20
 def latest_per_key(
     rows: DataFrame, keys: list[str], values: list[str], arrival: str = "event_id"
 ) -> DataFrame:
-    """The row of each key that arrived last replaces those before it."""
+    """The row of each key that arrived last replaces those before it.
+
+    ``arrival`` is any column that orders rows by arrival, and no two rows of a key have
+    the same: of two that have, values may come from either.
+    """
     return rows.groupBy(*keys).agg(
         F.max(arrival).alias(arrival),
         *[F.max_by(value, arrival).alias(value) for value in values],
     )
 
 
-def latest_per_slot(readings: DataFrame, minutes: int) -> DataFrame:
+def latest_per_slot(readings: DataFrame, minutes: int, arrival: str = "event_id") -> DataFrame:
     keyed = with_slot_keys(readings, minutes)
-    return latest_per_key(keyed, SLOT_KEYS, ["speed", "volume", "ts"])
+    values = [name for name in ("speed", "volume", "ts") if name != arrival]
+    return latest_per_key(keyed, SLOT_KEYS, values, arrival)
 
 
 def batch_number(position: Column, size: int) -> Column:
@@ -65,7 +70,8 @@ def length_batch(
     minutes: int,
     size: int = BATCH_ROWS,
     partial: bool = False,
-    **hot,
+    tie: str | list[str] = "event_id",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Averages of every ``size`` successive rows of a link and time of day.
 
@@ -73,38 +79,53 @@ def length_batch(
     limit does when no more rows come.
     """
     keyed = with_slot_keys(readings, minutes)
-    placed = with_position(keyed, SLOT_KEYS, **hot)
+    placed = with_position(keyed, SLOT_KEYS, tie=tie, ranges=ranges)
     batched = placed.withColumn("batch", batch_number(F.col("position"), size))
     sums = batch_sums(batched, [*SLOT_KEYS, "batch"])
     return batch_averages(sums if partial else sums.where(F.col("count_rec") == size))
 
 
-def every_nth(readings: DataFrame, n: int, buckets: int, **hot) -> DataFrame:
+def every_nth(
+    readings: DataFrame, n: int, buckets: int, tie: str | list[str] = "event_id", ranges: int | None = None
+) -> DataFrame:
     """Rows n, 2n, 3n, ... of each bucket of links."""
     bucketed = readings.withColumn("bucket", bucket_of("link_id", buckets).cast("int"))
-    placed = with_position(bucketed, ["bucket"], **hot)
+    placed = with_position(bucketed, ["bucket"], tie=tie, ranges=ranges)
     ordinal = F.col("position") + 1
     return placed.withColumn("ordinal", ordinal).where(ordinal % n == 0).drop("position")
 
 
 def live_clock(live: DataFrame, minutes: int, arrival: str = "event_id") -> DataFrame:
-    """Hour and minute of the last live row to arrive, as it stood in each live slot.
+    """Hour and minute of the last live row to arrive, as they stood at the end of each slot.
 
-    It is the latest arrival and not the largest time.
+    It is the latest arrival up to then and not the largest time. A slot without rows
+    keeps what stood before it. Slots are added up day by day and then within the
+    day, so no task has more of them than a day or the series of days has.
     """
-    last = (
-        live.select(slot_start("ts", minutes).alias("slot"), "ts", arrival)
-        .groupBy("slot")
-        .agg(F.max_by("ts", arrival).alias("last_ts"))
-    )
-    return last.select(
-        "slot", F.hour("last_ts").alias("livehours"), F.minute("last_ts").alias("livemins")
-    )
-
-
-def clock_at(live: DataFrame, at: datetime, arrival: str = "event_id") -> DataFrame:
-    """One row: time of the last live row to arrive among those not after ``at``."""
-    return live.where(F.col("ts") <= ntz(at)).agg(F.max_by("ts", arrival).alias("clock"))
+    slot = slot_start("ts", minutes)
+    last = live.where(F.col("ts").isNotNull()).groupBy(slot.alias("slot")).agg(
+        F.max(F.struct(F.col(arrival).alias("arrival"), F.col("ts").alias("at"))).alias("last"))
+    span = last.agg(F.min("slot").alias("first"), F.max("slot").alias("end"))
+    day = F.expr("INTERVAL 1 DAY")
+    days = span.where(F.col("first").isNotNull()).select(
+        "end", "first", F.explode(F.sequence(F.date_trunc("day", "first").cast("timestamp_ntz"), "end", day)).alias("day"))
+    step = F.expr(f"INTERVAL {minutes} MINUTES")
+    grid = days.select(F.explode(F.sequence(
+        F.greatest("day", "first"), F.least(F.col("day") + day - step, F.col("end")), step)).alias("slot"))
+    slots = grid.join(last, "slot", "left").withColumn("day", F.to_date("slot"))
+    by_day = slots.groupBy("day").agg(F.max("last").alias("last"))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_day.select("day", F.max("last").over(earlier).alias("before"))
+    upto = Window.partitionBy("day").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    stood = slots.withColumn("now", F.max("last").over(upto)).join(before, "day")
+    clock = F.coalesce(F.greatest("now", "before"), "now", "before")["at"]
+    return stood.select("slot", F.hour(clock).alias("livehours"), F.minute(clock).alias("livemins"))
+
+
+def clock_at(live: DataFrame, at: datetime | None = None, arrival: str = "event_id") -> DataFrame:
+    """One row: time of the last live row to arrive, among those not after ``at`` if it is given."""
+    seen = live if at is None else live.where(F.col("ts") <= ntz(at))
+    return seen.agg(F.max_by("ts", arrival).alias("clock"))
 
 
 def unexpired(averages: DataFrame, clock: DataFrame, componentwise: bool = False) -> DataFrame:
@@ -138,10 +159,18 @@ def last_per_minute(
     )
 
 
-def last_minutes(samples: DataFrame, minutes: int = 10, ts: str = "ts") -> DataFrame:
-    """The samples of the last ``minutes`` before the newest one."""
-    edge = samples.agg(F.max(ts) - F.expr(f"INTERVAL {minutes} MINUTES")).scalar()
-    return samples.where(F.col(ts) > edge)
+def last_minutes(
+    samples: DataFrame, minutes: int = 10, ts: str = "ts", day: str | None = None
+) -> DataFrame:
+    """The samples of the last ``minutes`` before the newest one.
+
+    With ``day``, the date column that the files are partitioned by, the newest one is looked
+    for on the last date only, and dates before the edge are not read.
+    """
+    newest = samples.where(F.col(day) == samples.agg(F.max(day)).scalar()) if day else samples
+    edge = newest.agg(F.max(ts) - F.expr(f"INTERVAL {minutes} MINUTES")).scalar()
+    kept = samples.where(F.col(ts) > edge)
+    return kept.where(F.col(day) >= edge.cast("date")) if day else kept
 
 
 def percent_change(previous: Column, current: Column) -> Column:

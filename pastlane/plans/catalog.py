@@ -6,7 +6,6 @@ in which its parts are added.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from datetime import datetime
 
@@ -21,7 +20,7 @@ from pastlane.functions.time import (
     slot_start,
     time_of_day,
 )
-from pastlane.operators import averages, filters, joins, metrics, windows
+from pastlane.operators import averages, cutting, filters, joins, metrics, windows
 from pastlane.plans import pipelines
 from pastlane.session import fresh_dir, use_query_settings
 from pastlane.sources import archive as scans, tables
@@ -39,6 +38,9 @@ FIRST_SLOT = datetime(2024, 1, 1)
 LOOKUP_INSTANTS = day_aligned_instants(tables.MORNING, 2)
 CLOCK_AT = datetime(2024, 1, 30, 13, 30)
 
+# Time limit of a batch: the readings of a link and hour are days apart.
+BATCH_SECONDS = 5 * 86_400
+
 JOIN_BUCKETS = 5
 SAMPLE_EVERY = 100
 
@@ -92,7 +94,7 @@ def archive_day_aligned_scan(spark, sf_dir):
 
 @query
 def archive_all_slots(spark, sf_dir):
-    rows = tables.archive(spark, sf_dir)
+    rows = tables.readings(spark, sf_dir)
     return _averages(averages.all_slots_average(rows, tables.SLOT_MINUTES))
 
 
@@ -161,10 +163,7 @@ def slot_aggregate(spark, sf_dir):
 
 @query
 def slot_aggregate_clean(spark, sf_dir):
-    # Only speeds above 10 are taken as readings here, so that some groups are empty.
-    rows = tables.readings(spark, sf_dir).withColumn(
-        "speed", F.when(F.col("speed") > 10, F.col("speed"))
-    )
+    rows = tables.readings(spark, sf_dir)
     groups = averages.slot_aggregate(rows, tables.SLOT_MINUTES)
     kept = filters.without_null_averages(filters.without_empty_groups(groups))
     return _averages(kept)
@@ -172,7 +171,7 @@ def slot_aggregate_clean(spark, sf_dir):
 
 @query
 def day_substreams_union(spark, sf_dir):
-    rows = averages.day_substreams(tables.archive(spark, sf_dir), tables.ARCHIVE_START)
+    rows = averages.day_substreams(tables.readings(spark, sf_dir), tables.ARCHIVE_START)
     return _averages(averages.day_averages(rows))
 
 
@@ -208,6 +207,18 @@ def fetched_slot_join(spark, sf_dir):
     )
 
 
+@query
+def default_mode_join(spark, sf_dir):
+    """Region, averages of every slot and both parities, in slots of an hour."""
+    live, archive = _split(spark, sf_dir)
+    links = tables.links(spark, sf_dir)
+    return _averages(
+        pipelines.default_run(
+            live, archive, links, tables.REGION, FIRST_SLOT, tables.SLOT_MINUTES
+        )
+    )
+
+
 @query
 def live_history_lookup(spark, sf_dir):
     live, archive = _split(spark, sf_dir)
@@ -242,6 +253,13 @@ def length_batch_partial(spark, sf_dir):
     return _averages(windows.length_batch(rows, tables.SLOT_MINUTES, partial=True))
 
 
+@query
+def time_length_batch(spark, sf_dir):
+    rows = tables.readings(spark, sf_dir)
+    return _averages(cutting.time_length_batch(
+        rows, tables.SLOT_MINUTES, windows.BATCH_ROWS, BATCH_SECONDS, ["event_id"]))
+
+
 @query
 def every_nth_sample(spark, sf_dir):
     rows = windows.every_nth(tables.readings(spark, sf_dir), SAMPLE_EVERY, JOIN_BUCKETS)
@@ -253,10 +271,12 @@ def live_clock(spark, sf_dir):
     return windows.live_clock(tables.live(spark, sf_dir), tables.SLOT_MINUTES)
 
 
-def _unexpired(spark: SparkSession, sf_dir: str, componentwise: bool) -> DataFrame:
+def _unexpired(
+    spark: SparkSession, sf_dir: str, componentwise: bool, at: datetime | None = CLOCK_AT
+) -> DataFrame:
     live, archive = _split(spark, sf_dir)
     profile = pipelines.archive_profile(archive, tables.FINE_SLOT_MINUTES)
-    clock = windows.clock_at(live, CLOCK_AT)
+    clock = windows.clock_at(live, at)
     return _averages(windows.unexpired(profile, clock, componentwise))
 
 
@@ -270,6 +290,11 @@ def unexpired_ordered(spark, sf_dir):
     return _unexpired(spark, sf_dir, componentwise=False)
 
 
+@query
+def unexpired_at_the_last_row(spark, sf_dir):
+    return _unexpired(spark, sf_dir, componentwise=False, at=None)
+
+
 @query
 def last_per_minute(spark, sf_dir):
     return windows.last_per_minute(tables.readings(spark, sf_dir), "event_type", "speed")
@@ -331,14 +356,14 @@ def timestamp_format_roundtrip(spark, sf_dir):
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(sf_dir, "events*.parquet")
+    path = f"{sf_dir}/events*.parquet"
     registry = {"traffic": StreamSource(tables.EVENTS_SCHEMA, path)}
     return tables.to_readings(open_stream(spark, find_stream(registry, "Traffic")))
 
 
 def _folders(spark: SparkSession, name: str) -> dict[str, str]:
     base = fresh_dir(spark, name)
-    return {"out": os.path.join(base, "rows"), "checkpoint": os.path.join(base, "checkpoint")}
+    return {"out": f"{base}/rows", "checkpoint": f"{base}/checkpoint"}
 
 
 @query
@@ -351,7 +376,7 @@ def live_stream_passthrough(spark, sf_dir):
 @query
 def live_join_stream(spark, sf_dir):
     links = tables.links(spark, sf_dir)
-    archive = filters.in_region(tables.archive(spark, sf_dir), links, tables.REGION)
+    archive = filters.of_region(tables.archive(spark, sf_dir), links, tables.REGION)
     profile = pipelines.archive_profile(archive, tables.SLOT_MINUTES)
     written = streams.write_profile(profile, fresh_dir(spark, "profile"))
     live = tables.live_of(_events_stream(spark, sf_dir))
@@ -413,3 +438,14 @@ def length_batch_stream(spark, sf_dir):
         _events_stream(spark, sf_dir), minutes=tables.SLOT_MINUTES, **_folders(spark, "batches")
     )
     return _averages(rows)
+
+
+@query
+def time_length_batch_stream(spark, sf_dir):
+    rows = batches.length_batch_stream(
+        _events_stream(spark, sf_dir),
+        minutes=tables.SLOT_MINUTES,
+        limit_seconds=BATCH_SECONDS,
+        **_folders(spark, "time-batches"),
+    )
+    return _averages(rows)

@@ -89,6 +89,28 @@ SELECT link_id, CAST(hour(ts) AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins,
        round(avg(volume), 9) AS avg_volume, round(avg(speed), 9) AS avg_speed
 FROM placed GROUP BY link_id, hour(ts), position // 6"""
 
+# A batch ends with six rows, or when the next row of its group is five days after its first.
+_TIME_BATCHES = f"""WITH RECURSIVE {_READINGS},
+placed AS (
+  SELECT *, hour(ts) AS h, row_number() OVER (PARTITION BY link_id, hour(ts) ORDER BY ts, event_id) AS place
+  FROM readings),
+walk AS (
+  SELECT link_id, h, place, ts AS first_ts, 1 AS n, 0 AS batch FROM placed WHERE place = 1
+  UNION ALL
+  SELECT p.link_id, p.h, p.place,
+         CASE WHEN w.n = 6 OR p.ts >= w.first_ts + INTERVAL 5 DAY THEN p.ts ELSE w.first_ts END,
+         CASE WHEN w.n = 6 OR p.ts >= w.first_ts + INTERVAL 5 DAY THEN 1 ELSE w.n + 1 END,
+         CASE WHEN w.n = 6 OR p.ts >= w.first_ts + INTERVAL 5 DAY THEN w.batch + 1 ELSE w.batch END
+  FROM walk w JOIN placed p ON p.link_id = w.link_id AND p.h = w.h AND p.place = w.place + 1),
+batches AS (
+  SELECT link_id, h, batch, min(p.ts) AS first_ts, count(*) AS count_rec,
+         round(avg(volume), 9) AS avg_volume, round(avg(speed), 9) AS avg_speed
+  FROM walk JOIN placed p USING (link_id, h, place) GROUP BY 1, 2, 3),
+ended AS (
+  SELECT *, batch < max(batch) OVER (PARTITION BY link_id, h) OR count_rec = 6 AS done FROM batches)
+SELECT link_id, CAST(h AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins, first_ts, count_rec, avg_volume, avg_speed
+FROM ended WHERE done"""
+
 _SLOTS = f"""WITH {_READINGS}
 SELECT link_id, {_FINE} AS slot, count(*) AS count_rec, round(avg(speed), 9) AS avg_speed
 FROM readings GROUP BY 1, 2"""
@@ -129,9 +151,9 @@ WHERE ts >= TIMESTAMP '2024-01-24 08:00:00' AND ts < TIMESTAMP '2024-01-24 09:00
 ORDER BY link_id, ts""",
     "archive_day_aligned_scan": f"""WITH {_READINGS}
 SELECT link_id, speed, volume, ts FROM readings WHERE {_MORNING}""",
-    "archive_all_slots": f"""WITH {_READINGS}, {_SPLIT}
+    "archive_all_slots": f"""WITH {_READINGS}
 SELECT link_id, CAST(hour(ts) AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins, {_AVERAGES}
-FROM archive GROUP BY 1, 2""",
+FROM readings GROUP BY 1, 2""",
     "link_dimension": f"WITH {_LINKS} SELECT link_id, x, y FROM links",
     "region_links": f"WITH {_REGION} SELECT link_id, x, y FROM region",
     "region_readings": f"""WITH {_READINGS}, {_REGION}
@@ -166,14 +188,12 @@ SELECT link_id, CAST(hour(ts) AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins,
 FROM readings GROUP BY 1, 2""",
     "slot_aggregate_clean": f"""WITH {_READINGS}
 SELECT link_id, CAST(hour(ts) AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins,
-       count(*) AS count_rec, round(avg(CASE WHEN speed > 10 THEN speed END), 9) AS avg_speed,
-       round(avg(volume), 9) AS avg_volume
-FROM readings GROUP BY 1, 2
-HAVING avg(CASE WHEN speed > 10 THEN speed END) IS NOT NULL AND avg(volume) IS NOT NULL""",
-    "day_substreams_union": f"""WITH {_READINGS}, {_SPLIT}
+       count(*) AS count_rec, {_AVERAGES}
+FROM readings GROUP BY 1, 2 HAVING avg(speed) IS NOT NULL AND avg(volume) IS NOT NULL""",
+    "day_substreams_union": f"""WITH {_READINGS}
 SELECT CAST(date_diff('day', TIMESTAMP '2024-01-24', date_trunc('day', ts)) AS INTEGER) AS day_index,
        count(*) AS count_rec, {_AVERAGES}
-FROM archive GROUP BY 1""",
+FROM readings GROUP BY 1""",
     "slots_5min": _SLOTS,
     "live_archive_join": _FLAGSHIP,
     "live_archive_left_join": f"""WITH {_READINGS}, {_SPLIT}, {_profile('archive')}
@@ -197,10 +217,28 @@ placed AS (
   FROM readings)
 SELECT bucket, ordinal, event_id, link_id, speed, volume, ts FROM placed WHERE ordinal % 100 = 0""",
     "live_clock": f"""WITH {_READINGS}, {_SPLIT},
-last AS (
-  SELECT date_trunc('hour', ts) AS slot, arg_max(ts, event_id) AS moment FROM live GROUP BY 1)
-SELECT slot, CAST(hour(moment) AS INTEGER) AS livehours, CAST(minute(moment) AS INTEGER) AS livemins
-FROM last""",
+running AS (
+  SELECT date_trunc('hour', ts) AS slot,
+         arg_max(ts, event_id) OVER (ORDER BY date_trunc('hour', ts)) AS moment FROM live),
+grid AS (
+  SELECT unnest(generate_series(min(slot), max(slot), INTERVAL 1 HOUR)) AS slot FROM running)
+SELECT g.slot, CAST(hour(any_value(moment)) AS INTEGER) AS livehours,
+       CAST(minute(any_value(moment)) AS INTEGER) AS livemins
+FROM grid g ASOF JOIN (SELECT DISTINCT slot, moment FROM running) r ON g.slot >= r.slot GROUP BY 1""",
+    "default_mode_join": f"""WITH {_READINGS}, {_SPLIT}, {_REGION},
+chosen AS (
+  SELECT a.* FROM archive a JOIN region USING (link_id)
+  WHERE link_id % 2 = (epoch(date_trunc('hour', ts) - TIMESTAMP '2024-01-01') // 3600) % 2),
+{_profile('chosen')}
+SELECT l.link_id, l.speed, l.volume, p.link_id AS hist_link_id,
+       round(avg_speed, 9) AS avg_speed, round(avg_volume, 9) AS avg_volume, l.ts
+FROM live l JOIN region USING (link_id) JOIN profile p ON p.link_id = l.link_id AND p.hrs = hour(l.ts)
+WHERE l.link_id % 2 = minute(l.ts) % 2 AND avg_speed IS NOT NULL AND avg_volume IS NOT NULL""",
+    "time_length_batch": _TIME_BATCHES,
+    "time_length_batch_stream": _TIME_BATCHES,
+    "unexpired_at_the_last_row": _unexpired(
+        "hour(moment) * 60 + minute(moment) <= hrs * 60 + mins").replace(
+        " WHERE ts <= TIMESTAMP '2024-01-30 13:30:00'", ""),
     "unexpired_componentwise": _unexpired("minute(moment) <= mins AND hour(moment) <= hrs"),
     "unexpired_ordered": _unexpired("hour(moment) * 60 + minute(moment) <= hrs * 60 + mins"),
     "last_per_minute": f"""WITH {_READINGS}

@@ -17,7 +17,7 @@ from pastlane.operators.averages import (
     link_history,
     slot_aggregate,
 )
-from pastlane.operators.filters import in_region, parity_archive, without_null_averages
+from pastlane.operators.filters import of_region, parity_archive, parity_live, without_null_averages
 from pastlane.operators.joins import live_archive_join, live_history_lookup
 from pastlane.sources.archive import day_aligned_scan
 
@@ -35,13 +35,15 @@ def live_with_archive(
     minutes: int,
     how: str = "inner",
     extra: tuple[str, ...] = (),
+    latest_by: str | None = None,
 ) -> DataFrame:
     """Readings of the region with the average of their link and time of day.
 
-    The region is taken on both sides, so links outside are not averaged.
+    The region is taken on both sides, so links outside are not averaged. A link given twice
+    is an error, or takes its place with the largest ``latest_by``.
     """
-    profile = archive_profile(in_region(archive, links, wkt), minutes)
-    inside = in_region(live, links, wkt)
+    profile = archive_profile(of_region(archive, links, wkt, latest_by), minutes)
+    inside = of_region(live, links, wkt, latest_by)
     return live_archive_join(inside, profile, minutes, how, extra)
 
 
@@ -53,13 +55,39 @@ def live_with_fetched_slot(
     first: datetime,
     days: int,
     width: timedelta | None = None,
+    day: str | None = None,
+    latest_by: str | None = None,
 ) -> DataFrame:
-    """As above for one slot of the day, fetched at its instants on ``days`` days."""
+    """As above for one slot of the day, fetched at its instants on ``days`` days.
+
+    ``day`` names the date column that both inputs are partitioned by, if they are.
+    """
     minutes = int((width or timedelta(minutes=1)).total_seconds() // 60)
-    rows = day_aligned_scan(archive, day_aligned_instants(first, days), width)
-    profile = day_aligned_average(in_region(rows, links, wkt), first)
-    today = day_aligned_scan(live, [first + timedelta(days=days)], width)
-    return live_archive_join(in_region(today, links, wkt), profile, minutes)
+    rows = day_aligned_scan(archive, day_aligned_instants(first, days), width, day)
+    profile = day_aligned_average(of_region(rows, links, wkt, latest_by), first)
+    today = day_aligned_scan(live, [first + timedelta(days=days)], width, day)
+    return live_archive_join(of_region(today, links, wkt, latest_by), profile, minutes)
+
+
+def default_run(
+    live: DataFrame,
+    archive: DataFrame,
+    links: DataFrame,
+    wkt: str,
+    first: datetime,
+    minutes: int,
+    latest_by: str | None = None,
+) -> DataFrame:
+    """Day-aligned averages, region and load shedding together.
+
+    The live side passes links by the parity of the minute, the archive by that of its
+    slot, counted from ``first``; both are in the region.
+    """
+    slotted = archive.withColumn("slot", slot_start("ts", minutes))
+    kept = parity_archive(of_region(slotted, links, wkt, latest_by), ntz(first), minutes)
+    profile = without_null_averages(all_slots_average(kept, minutes))
+    inside = of_region(parity_live(live), links, wkt, latest_by)
+    return live_archive_join(inside, profile, minutes)
 
 
 def live_with_archive_by_parity(
@@ -81,10 +109,10 @@ def live_with_archive_by_parity(
 
 
 def live_with_lookup(
-    live: DataFrame, archive: DataFrame, instants: list[datetime], width: timedelta | None = None
+    live: DataFrame, archive: DataFrame, instants: list[datetime], width: timedelta | None = None, day: str | None = None
 ) -> DataFrame:
     """Each live row with the average of its link at the instants."""
-    return live_history_lookup(live, link_history(day_aligned_scan(archive, instants, width)))
+    return live_history_lookup(live, link_history(day_aligned_scan(archive, instants, width, day)))
 
 
 def with_emit_time(joined: DataFrame, minutes: int) -> DataFrame:

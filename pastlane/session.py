@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,8 +23,13 @@ QUERY_SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", partitions: int = 8, memory: str = "8g", scratch: str | None = None
+) -> SparkSession:
+    """A session for tests and the bench; a cluster brings its own.
+
+    ``scratch`` is the folder for checkpoints and tables in between; who gives it removes it.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pastlane")
@@ -38,31 +41,30 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
     for name, value in QUERY_SETTINGS.items():
         builder = builder.config(name, value)
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return builder.getOrCreate()
 
 
 def use_query_settings(spark: SparkSession) -> SparkSession:
+    """Settings that the session's owner has not chosen; what is chosen stays."""
+    chosen = spark.conf.getAll
     for name, value in QUERY_SETTINGS.items():
-        spark.conf.set(name, value)
+        if name not in chosen:
+            spark.conf.set(name, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, from ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or else one in the warehouse.
 
-    Only a local master without the setting gets a folder of its own; a cluster
-    without one is an error, since executors do not share a local disk.
+    The same on every master, and nothing of the session is changed. Tables in between stay
+    there until the folder's owner clears it.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="pastlane-"))
-    return context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pastlane"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path for one run of ``name`` under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

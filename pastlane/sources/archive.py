@@ -45,17 +45,43 @@ def read_archive_jdbc(
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
     """Archive readings in [start, end) from a database, ``pieces`` reads per day."""
-    rows = spark.read.jdbc(
+    return _from_database(spark, url, table, day_predicates(start, end, pieces), properties)
+
+
+def instant_predicates(
+    instants: Iterable[datetime], width: timedelta | None = None, ts: str = "TIME_STAMP"
+) -> list[str]:
+    """Conditions on ``ts`` for the given instants, or the slots that start there, one per read task."""
+    if width is None:
+        return [f"{ts} = '{at:%F %T.%f}'" for at in instants]
+    return [f"{ts} >= '{at:%F %T.%f}' AND {ts} < '{at + width:%F %T.%f}'" for at in instants]
+
+
+def read_instants_jdbc(
+    spark: SparkSession,
+    url: str,
+    instants: Iterable[datetime],
+    width: timedelta | None = None,
+    table: str = "dataarchive",
+    properties: dict[str, str] | None = None,
+) -> DataFrame:
+    """Archive readings of some instants or slots from a database, which gives no others."""
+    return _from_database(spark, url, table, instant_predicates(instants, width), properties)
+
+
+def _from_database(spark, url, table, predicates, properties) -> DataFrame:
+    # Times as the database has them: no cast stands between conditions on ts and the database.
+    rows = spark.read.option("preferTimestampNTZ", True).jdbc(
         url,
         f"(SELECT LINKID, SPEED, VOLUME, TIME_STAMP FROM {table}) archive",
-        predicates=day_predicates(start, end, pieces),
+        predicates=predicates,
         properties={"fetchsize": str(FETCH_ROWS), **(properties or {})},
     )
     return rows.select(
         F.col("LINKID").cast("long").alias("link_id"),
         F.col("SPEED").cast("double").alias("speed"),
         F.col("VOLUME").cast("int").alias("volume"),
-        F.col("TIME_STAMP").cast("timestamp_ntz").alias("ts"),
+        F.col("TIME_STAMP").alias("ts"),
     )
 
 
@@ -81,14 +107,20 @@ def range_scan(rows: DataFrame, start: datetime, end: datetime, day: str | None
 
 
 def day_aligned_scan(
-    rows: DataFrame, instants: Iterable[datetime], width: timedelta | None = None
+    rows: DataFrame, instants: Iterable[datetime], width: timedelta | None = None, day: str | None = None
 ) -> DataFrame:
     """Rows at the given instants, or in the slots of ``width`` that start there.
 
     The condition is on ``ts`` itself, so it reaches the files; a condition on a
-    slot computed from ``ts`` would not.
+    slot computed from ``ts`` would not. ``day`` names a date column the files are
+    partitioned by; of the others none is opened.
     """
     instants = list(instants)
+    if day:
+        ends = [instant + width - timedelta(microseconds=1) for instant in instants] if width else []
+        dates = {instant.date() + timedelta(days=n) for instant, end in zip(instants, ends or instants)
+                 for n in range((end.date() - instant.date()).days + 1)}
+        rows = rows.where(F.col(day).isin(sorted(dates)))
     if width is None:
         at = F.col("ts").isin([ntz(instant) for instant in instants])
         return rows.where(at)

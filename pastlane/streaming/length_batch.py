@@ -1,112 +1,79 @@
-"""Batches of n rows per link and time of day, on a stream.
+"""Batches of n rows or of limited time per link and time of day, on a stream.
 
-A batch can stay open over micro-batches. The open ones are a small table: every
-micro-batch reads those its predecessor left, adds its rows with the operators of
-the static form, and writes the result in two parts, ``done=true`` (what is
-emitted) and ``done=false`` (what is still open). Since a hot group is numbered in
-pieces, no task has to hold it, and the rows never leave the JVM.
+The open batch of each group is keyed state in Spark's state store. A micro-batch
+touches only the groups that it has rows of.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pastlane.model import SLOT_KEYS
-from pastlane.operators.hot import keyed_join, with_position
+from pastlane.operators.cutting import BATCHES, EMPTY, STATE, _emitted, advance, as_frame, in_order
 from pastlane.operators.joins import with_slot_keys
-from pastlane.operators.windows import BATCH_ROWS, batch_averages, batch_number, batch_sums
-from pastlane.streaming.run import BatchFunction, batch_path, run_batches
+from pastlane.operators.windows import BATCH_ROWS
+from pastlane.streaming.run import run_batches
 
 # Fixed value: the shortest time, in seconds, that an idle group is kept.
 MIN_IDLE_SECONDS = 20
 
-_SUMS = ["count_rec", "sum_volume", "n_volume", "sum_speed", "n_speed"]
-
-BATCH_SCHEMA = T.StructType([
-    T.StructField("link_id", T.LongType()),
-    T.StructField("hrs", T.IntegerType()),
-    T.StructField("mins", T.IntegerType()),
-    T.StructField("count_rec", T.LongType()),
-    T.StructField("sum_volume", T.DoubleType()),
-    T.StructField("n_volume", T.LongType()),
-    T.StructField("sum_speed", T.DoubleType()),
-    T.StructField("n_speed", T.LongType()),
-    T.StructField("first_ts", T.TimestampNTZType()),
-    T.StructField("seen_ts", T.TimestampNTZType()),
-    T.StructField("done", T.BooleanType()),
-])
-
 
 def idle_limit_seconds(rate_micros: int, prefetch: float) -> int:
     """How long a group may be idle, from the stream's rate and prefetch setting."""
     return max(MIN_IDLE_SECONDS, int(rate_micros * prefetch))
 
 
-def _open_batches(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], BATCH_SCHEMA)
-    before = spark.read.schema(BATCH_SCHEMA).parquet(batch_path(out, batch_id - 1))
-    return before.where(~F.col("done"))
-
-
-def _is_done(size: int, limit_seconds: int | None) -> Column:
-    full = F.col("count_rec") == size
-    if limit_seconds is None:
-        return full
-    limit = F.expr(f"INTERVAL {limit_seconds} SECONDS")
-    return full | (F.col("first_ts") + limit <= F.col("seen_ts"))
-
-
-def batching(
-    out: str, minutes: int, size: int = BATCH_ROWS, limit_seconds: int | None = None, **hot
-) -> BatchFunction:
-    """The step for one micro-batch.
+def batches_of_stream(
+    readings: DataFrame,
+    minutes: int,
+    size: int = BATCH_ROWS,
+    limit_seconds: int | None = None,
+    tie: str | list[str] = "event_id",
+    idle_seconds: int | None = None,
+    lateness: str = "10 minutes",
+) -> DataFrame:
+    """The stream of batches that end.
 
-    A batch is done with ``size`` rows. With ``limit_seconds`` it is also done,
-    at the end of a micro-batch, when the newest reading so far is that much
-    later than the batch's first one; this also drops the state of idle groups.
+    A batch ends with ``size`` rows, or when the next row of its group is ``limit_seconds`` or
+    more after its first. With ``idle_seconds`` (see ``idle_limit_seconds``) a group without rows for so
+    long, by the stream's own time less ``lateness``, puts its open batch out and is forgotten; rows that
+    come later than ``lateness`` are then left out by Spark. Without it all rows count.
     """
-
-    def step(rows: DataFrame, batch_id: int) -> DataFrame:
-        still_open = _open_batches(rows.sparkSession, out, batch_id)
-        taken = still_open.select(*SLOT_KEYS, F.col("count_rec").alias("_taken"))
-        placed = with_position(with_slot_keys(rows, minutes), SLOT_KEYS, **hot)
-        located = keyed_join(placed, taken, SLOT_KEYS, "left", **hot)
-        place = F.col("position") + F.coalesce("_taken", F.lit(0))
-        batched = located.withColumn("number", batch_number(place, size))
-        new = batch_sums(batched, [*SLOT_KEYS, "number"])
-        old = still_open.withColumn("number", F.lit(0).cast("long"))
-        parts = [*SLOT_KEYS, "number", *_SUMS, "first_ts"]
-        merged = (
-            new.select(*parts)
-            .unionByName(old.select(*parts))
-            .groupBy(*SLOT_KEYS, "number")
-            .agg(*[F.sum(name).alias(name) for name in _SUMS], F.min("first_ts").alias("first_ts"))
-        )
-        times = rows.select("ts").unionByName(still_open.select(F.col("seen_ts").alias("ts")))
-        seen = times.agg(F.max("ts")).scalar()
-        stamped = merged.withColumn("seen_ts", seen)
-        finished = stamped.withColumn("done", _is_done(size, limit_seconds))
-        return finished.select(
-            *[F.col(field.name).cast(field.dataType) for field in BATCH_SCHEMA]
-        )
-
-    return step
+    tie = [name for name in ([tie] if isinstance(tie, str) else tie) if name not in ("ts", "speed", "volume")]
+    limit = None if limit_seconds is None else limit_seconds * 1_000_000
+    rows = with_slot_keys(readings, minutes).where("ts is not null").select(*SLOT_KEYS, "ts", "speed", "volume", *tie)
+    timeout = GroupStateTimeout.NoTimeout
+    if idle_seconds is not None:
+        rows = rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
+        timeout = GroupStateTimeout.EventTimeTimeout
+
+    def cut(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        key = tuple(None if pd.isna(x) else int(x) for x in key)
+        open_ = tuple(state.get) if state.exists else EMPTY
+        if state.hasTimedOut:
+            state.remove()
+            yield as_frame([_emitted(key, open_)])
+            return
+        done, open_ = advance(key, open_, in_order(pd.concat(list(frames)), tie), size, limit)
+        if open_[2]:
+            state.update(open_)
+            if idle_seconds is not None:
+                state.setTimeoutTimestamp(
+                    max(open_[1] // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield as_frame(done)
+
+    return rows.groupBy(*SLOT_KEYS).applyInPandasWithState(cut, BATCHES, STATE, "append", timeout)
 
 
 def length_batch_stream(
-    readings: DataFrame,
-    out: str,
-    checkpoint: str,
-    minutes: int,
-    size: int = BATCH_ROWS,
-    limit_seconds: int | None = None,
-    **hot,
+    readings: DataFrame, out: str, checkpoint: str, minutes: int, size: int = BATCH_ROWS, **options
 ) -> DataFrame:
     """Runs to the end of the input; gives the batches emitted on the way."""
-    step = batching(out, minutes, size, limit_seconds, **hot)
-    written = run_batches(
-        readings, out, checkpoint, BATCH_SCHEMA, transform=step, partition_by=("done",)
-    )
-    return batch_averages(written.where("done"))
+    emitted = batches_of_stream(readings, minutes, size, **options)
+    return run_batches(emitted, out, checkpoint, emitted.schema).drop("batch")

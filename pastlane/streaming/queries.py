@@ -7,21 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pastlane.functions.time import slot_of_day
+from pastlane.functions.time import slot_of_day, slot_start
 from pastlane.model import SLOT_KEYS
-from pastlane.operators.filters import in_region
+from pastlane.operators.filters import of_region
 from pastlane.operators.joins import live_archive_join, live_history_lookup
-from pastlane.operators.windows import latest_per_slot
-from pastlane.streaming.run import BatchFunction, newest, run_batches, start_query
-
-_LATE = "10 minutes"
-
-
-def _event_time(readings: DataFrame) -> DataFrame:
-    """A watermark needs a timestamp with time zone; the session's is UTC."""
-    stamped = readings.withColumn("at", F.col("ts").cast("timestamp"))
-    return stamped.withWatermark("at", _LATE)
-
+from pastlane.operators.metrics import period_counts
+from pastlane.operators.windows import latest_per_key, latest_per_slot
+from pastlane.streaming.run import BatchFunction, run_batches, run_totals, start_query
 
 def write_profile(averages: DataFrame, path: str) -> str:
     """Writes the averages once, by hour, so that a micro-batch reads only its hours."""
@@ -40,7 +32,7 @@ def joining(profile: DataFrame, minutes: int, links: DataFrame | None = None, wk
 
     def step(rows: DataFrame, batch_id: int) -> DataFrame:
         hours = _slot_hours(rows, minutes)
-        live = in_region(rows, links, wkt) if links is not None else rows
+        live = of_region(rows, links, wkt) if links is not None else rows
         return live_archive_join(live, profile.where(F.col("hrs").isin(hours)), minutes)
 
     return step
@@ -85,7 +77,6 @@ def subscribe_joined(
     def deliver(rows: DataFrame, batch_id: int) -> None:
         kept = rows.persist()
         try:
-            kept.count()
             subscriber(step(kept, batch_id).withColumn("eval_ts", F.current_timestamp()), batch_id)
         finally:
             kept.unpersist()
@@ -119,40 +110,50 @@ def passthrough(live: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return live.sparkSession.read.schema(live.schema).parquet(out)
 
 
-def _changes(aggregate: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
-    """Writes what each micro-batch changes, and takes the last state of each key."""
-    changes = run_batches(aggregate, out, checkpoint, aggregate.schema, mode="update")
-    return newest(changes, keys)
+def slot_counts_stream(
+    readings: DataFrame, out: str, checkpoint: str, minutes: int, **compaction
+) -> DataFrame:
+    """Readings and mean speed by link and slot of the calendar; late readings count as others do."""
+    def partial(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("link_id", slot_start("ts", minutes).alias("slot")).agg(
+            F.count("*").alias("count_rec"), F.sum(F.col("speed").cast("double")).alias("sum_speed"),
+            F.count("speed").alias("n_speed"))
 
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("link_id", "slot").agg(
+            *[F.sum(name).alias(name) for name in ("count_rec", "sum_speed", "n_speed")])
 
-def slot_counts_stream(readings: DataFrame, out: str, checkpoint: str, minutes: int) -> DataFrame:
-    """Readings and mean speed by link and slot of the calendar."""
-    slot = F.window("at", f"{minutes} minutes")["start"]
-    aggregate = (
-        _event_time(readings)
-        .groupBy("link_id", slot.alias("slot"))
-        .agg(F.count("*").alias("count_rec"), F.avg("speed").alias("avg_speed"))
-    )
-    return _changes(aggregate, ["link_id", "slot"], out, checkpoint).withColumn(
-        "slot", F.col("slot").cast("timestamp_ntz")
-    )
+    schema = partial(_empty_like(readings)).schema
+    totals = run_totals(readings, out, checkpoint, partial, merge, schema, **compaction)
+    return totals.select(
+        "link_id", "slot", "count_rec", F.try_divide("sum_speed", "n_speed").alias("avg_speed"))
 
 
-def period_counts_stream(readings: DataFrame, out: str, checkpoint: str, seconds: int) -> DataFrame:
+def period_counts_stream(
+    readings: DataFrame, out: str, checkpoint: str, seconds: int, **compaction
+) -> DataFrame:
     """Rows per period, for periods that have any."""
-    start = F.window("at", f"{seconds} seconds")["start"]
-    aggregate = (
-        _event_time(readings).groupBy(start.alias("window_start")).agg(F.count("*").alias("n"))
-    )
-    return _changes(aggregate, ["window_start"], out, checkpoint).withColumn(
-        "window_start", F.col("window_start").cast("timestamp_ntz")
-    )
+    def partial(rows: DataFrame) -> DataFrame:
+        return period_counts(rows, seconds)
 
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("window_start").agg(F.sum("n").alias("n"))
 
-def latest_per_slot_stream(readings: DataFrame, out: str, checkpoint: str, minutes: int) -> DataFrame:
-    """The last reading to arrive of each link and time of day.
+    schema = partial(_empty_like(readings)).schema
+    return run_totals(readings, out, checkpoint, partial, merge, schema, **compaction)
 
-    The state is one row per link and slot of the day, so it is bounded without
-    a watermark.
-    """
-    return _changes(latest_per_slot(readings, minutes), SLOT_KEYS, out, checkpoint)
+
+def latest_per_slot_stream(
+    readings: DataFrame, out: str, checkpoint: str, minutes: int, arrival: str = "event_id", **compaction
+) -> DataFrame:
+    """The last reading to arrive of each link and time of day, by ``arrival``."""
+    def partial(rows: DataFrame) -> DataFrame:
+        return latest_per_slot(rows, minutes, arrival)
+
+    schema = partial(_empty_like(readings)).schema
+    values = [name for name in schema.names if name not in (*SLOT_KEYS, arrival)]
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return latest_per_key(parts, SLOT_KEYS, values, arrival)
+
+    return run_totals(readings, out, checkpoint, partial, merge, schema, **compaction)

@@ -2,11 +2,15 @@
 
 Every micro-batch owns the folder ``batch=<id>`` and replaces it. A batch that is
 repeated after a failure therefore leaves its rows once.
+
+A running total needs no state in the stream: each micro-batch leaves its own
+partial results, and a reader merges them. So late rows are counted like all others,
+and nothing is kept for groups that have ended. Every ``COMPACT_EVERY``-th batch merges
+what has come since the last such batch, and it, with its own rows; readers begin there.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,12 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 BATCH_FIELD = StructField("batch", LongType())
+COMPACT_EVERY = 32
 
 BatchFunction = Callable[[DataFrame, int], DataFrame]
+MergeFunction = Callable[[DataFrame], DataFrame]
 
 
 def batch_path(out: str, batch_id: int) -> str:
-    return os.path.join(out, f"batch={batch_id}")
+    return f"{out.rstrip('/')}/batch={batch_id}"
 
 
 def start_batches(
@@ -27,29 +33,29 @@ def start_batches(
     out: str,
     checkpoint: str,
     transform: BatchFunction | None = None,
-    mode: str = "append",
-    partition_by: tuple[str, ...] = (),
+    schema: StructType | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Writes every micro-batch, or what ``transform(batch, id)`` makes of it.
 
-    ``once`` takes what there is and ends; otherwise the query goes on. A batch
-    to transform is kept meanwhile, as it may be read several times; counting it
-    first tells the operators its size.
+    ``once`` takes what there is and ends; otherwise the query goes on. A batch to
+    transform is kept meanwhile, as it may be read several times. The folder is made at
+    the start, so that it can be read before the first micro-batch ends.
     """
+    none = stream.sparkSession.createDataFrame([], schema or stream.schema)
+    none.write.mode("overwrite").parquet(batch_path(out, -1))
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(batch_path(out, batch_id))
+        rows.write.mode("overwrite").parquet(batch_path(out, batch_id))
 
     def write_transformed(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
-            kept.count()
             write(transform(kept, batch_id), batch_id)
         finally:
             kept.unpersist()
 
-    return start_query(stream, write_transformed if transform else write, checkpoint, mode, once)
+    return start_query(stream, write_transformed if transform else write, checkpoint, once=once)
 
 
 def start_query(
@@ -68,24 +74,61 @@ def start_query(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_batches(
-    spark: SparkSession, out: str, schema: StructType, partition_by: tuple[str, ...] = ()
-) -> DataFrame:
+def read_batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
     """All rows written, with the column ``batch``; none if nothing came yet."""
-    none = spark.createDataFrame([], schema).write.mode("overwrite")
-    none.partitionBy(*partition_by).parquet(batch_path(out, -1))
     return spark.read.schema(StructType([*schema, BATCH_FIELD])).parquet(out)
 
 
 def run_batches(
-    stream: DataFrame, out: str, checkpoint: str, schema: StructType, **options
+    stream: DataFrame, out: str, checkpoint: str, schema: StructType, transform: BatchFunction | None = None
 ) -> DataFrame:
     """Runs to the end of the input and reads the rows back."""
-    start_batches(stream, out, checkpoint, **options).awaitTermination()
-    return read_batches(stream.sparkSession, out, schema, options.get("partition_by", ()))
+    start_batches(stream, out, checkpoint, transform, schema).awaitTermination()
+    return read_batches(stream.sparkSession, out, schema)
+
+
+def _compacts(batch_id: int, every: int) -> bool:
+    return batch_id % every == every - 1
+
+
+def start_totals(
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    partial: MergeFunction,
+    merge: MergeFunction,
+    schema: StructType,
+    once: bool = True,
+    compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
+    """Writes ``partial(batch)`` of every micro-batch; ``merge`` adds partial results up."""
+
+    def transform(rows: DataFrame, batch_id: int) -> DataFrame:
+        own = partial(rows).select(*schema.names)
+        if not _compacts(batch_id, compact_every):
+            return own
+        before = read_batches(rows.sparkSession, out, schema).where(
+            F.col("batch").between(batch_id - compact_every, batch_id - 1)
+        )
+        return merge(before.drop("batch").unionByName(own)).select(*schema.names)
+
+    return start_batches(stream, out, checkpoint, transform, schema, once)
 
 
-def newest(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The last state of each key in a log of changed rows."""
-    values = [name for name in changes.columns if name not in (*keys, "batch")]
-    return changes.groupBy(*keys).agg(*[F.max_by(name, "batch").alias(name) for name in values])
+def read_totals(
+    spark: SparkSession, out: str, schema: StructType, merge: MergeFunction, compact_every: int = COMPACT_EVERY
+) -> DataFrame:
+    """The totals of all micro-batches up to now."""
+    rows = read_batches(spark, out, schema)
+    last = rows.agg(F.max("batch")).first()[0]
+    first = ((-1 if last is None else last) + 1) // compact_every * compact_every - 1
+    return merge(rows.where(F.col("batch") >= first).drop("batch"))
+
+
+def run_totals(
+    stream: DataFrame, out: str, checkpoint: str, partial: MergeFunction, merge: MergeFunction, schema: StructType,
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Runs to the end of the input and gives the totals."""
+    start_totals(stream, out, checkpoint, partial, merge, schema, True, compact_every).awaitTermination()
+    return read_totals(stream.sparkSession, out, schema, merge, compact_every)

@@ -11,8 +11,9 @@ from pastlane.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=4, partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    session = local_session(cores=4, partitions=4, memory="4g", scratch=scratch)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -80,6 +80,10 @@ def test_database_rows_take_the_archive_form(spark):
     asked = {}
 
     class Reader:
+        def option(self, name, value):
+            assert (name, value) == ("preferTimestampNTZ", True)
+            return self
+
         def jdbc(self, url, table, predicates, properties):
             asked.update(url=url, table=table, predicates=predicates, properties=properties)
             stored = "LINKID int, SPEED float, VOLUME int, TIME_STAMP timestamp_ntz"

@@ -2,11 +2,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from frames import LINKS, as_rows, as_set, at, readings
+from frames import LINKS, as_rows, as_set, at, plan_text, readings
 
 from pastlane.operators import averages, hot, joins, windows
 from pastlane.plans import pipelines
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 FIRST = datetime(2011, 4, 11)
 LIVE = datetime(2011, 4, 17)
@@ -58,47 +58,55 @@ def test_average_without_live_row_makes_no_output(spark):
     assert joins.live_archive_join(live, profile, 60).count() == 0
 
 
-def test_hot_keys_are_found_and_bounded(spark, skewed):
-    (bucket,) = hot.hot_buckets(skewed, ["link_id"], rows_per_task=300).collect()
-    keys = skewed.select("link_id", hot._bucket(["link_id"])).distinct()
-    assert as_set(keys.where(F.col("_bucket") == bucket._bucket), "link_id") == {(1,)}
-    assert bucket._parts == 4
-    assert hot.hot_buckets(skewed, ["link_id"], rows_per_task=1000).count() == 0
-
-
 def test_keys_of_different_types_are_refused(spark, skewed):
     keyed = spark.createDataFrame([(1, 2.0)], "link_id int, a double")
     with pytest.raises(ValueError, match="link_id is bigint and int"):
         hot.keyed_join(skewed, keyed, ["link_id"])
 
 
-@pytest.mark.parametrize("rows_per_task", [1, 30, 300, 5000])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_split_join_equals_plain_join(spark, skewed, how, rows_per_task):
+def test_a_hot_key_is_split_by_adaptive_execution(spark, skewed, how):
+    """Without broadcast: the same rows, and the hot link's in several tasks."""
     profile = skewed.where("link_id < 30").groupBy("link_id").agg(F.avg("speed").alias("a"))
-    plain = skewed.join(profile, "link_id", how)
-    split = hot.keyed_join(skewed, profile, ["link_id"], how, split_hot=True, rows_per_task=rows_per_task)
-    assert as_rows(split) == as_rows(plain.select(*split.columns))
-
-
-def test_split_join_spreads_the_hot_key(spark, skewed):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        profile = skewed.groupBy("link_id").agg(F.avg("speed").alias("a"))
-        split = hot.keyed_join(skewed, profile, ["link_id"], split_hot=True, rows_per_task=20)
-        parts = split.where("link_id = 1").groupBy(F.spark_partition_id()).count().collect()
-        assert len(parts) == 4 and max(row["count"] for row in parts) < 500
+        # Several map tasks: a piece of a skewed partition is what some of them wrote.
+        joined = hot.keyed_join(skewed.repartition(8), profile, ["link_id"], how)
+        placed = joined.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(tuple(map(repr, row[:-1])) for row in placed) == sorted(
+            tuple(map(repr, row)) for row in skewed.join(F.broadcast(profile), "link_id", how).collect())
+        assert len({row.task for row in placed if row.link_id == 1}) > 1
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-def test_rows_without_key_survive_a_split_left_join(spark):
+def test_rows_without_key_survive_a_left_join(spark):
     rows = readings(spark, [(None, float(n), n, LIVE) for n in range(20)] + [(1, 1.0, 1, LIVE)])
     keyed = spark.createDataFrame([(1, 9.0)], "link_id long, a double")
-    split = hot.keyed_join(rows, keyed, ["link_id"], "left", split_hot=True, rows_per_task=5)
-    assert split.count() == 21 and split.where("a = 9").count() == 1
+    joined = hot.keyed_join(rows, keyed, ["link_id"], "left")
+    assert joined.count() == 21 and joined.where("a = 9").count() == 1
+
+
+def test_a_link_given_twice_does_not_double_its_readings(spark):
+    links = spark.createDataFrame(
+        [(1, 5.0, 5.0, 1), (1, 50.0, 5.0, 2), (2, 5.0, 5.0, 1), (2, 6.0, 5.0, 2)], LINKS + ", line int")
+    live = readings(spark, [(1, 1.0, 1, LIVE), (2, 2.0, 1, LIVE)])
+    past = readings(spark, [(1, 10.0, 1, FIRST), (2, 20.0, 1, FIRST)])
+    wkt = "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))"
+    for joined in (pipelines.live_with_archive(live, past, links, wkt, 60, latest_by="line"),
+                   pipelines.default_run(live, past, links, wkt, FIRST, 60, latest_by="line")):
+        assert as_set(joined, "link_id", "avg_speed") == {(2, 20.0)}  # link 1 has moved away
+    with pytest.raises(Exception, match="link given twice"):
+        pipelines.live_with_archive(live, past, links, wkt, 60).collect()
 
 
 def test_only_lookups_are_joined(spark, skewed):
@@ -106,21 +114,46 @@ def test_only_lookups_are_joined(spark, skewed):
         hot.keyed_join(skewed, skewed, ["link_id"], "full")
 
 
-@pytest.mark.parametrize("rows_per_task", [1, 30, 300, 5000])
-def test_split_positions_equal_plain_ones(spark, skewed, rows_per_task):
+@pytest.mark.parametrize("ranges", [1, 2, 7, 50])
+def test_positions_equal_plain_row_numbers(spark, skewed, ranges):
+    odd = readings(spark, [(None, 1.0, 1, LIVE), (None, 2.0, 1, FIRST), (1, 3.0, 1, None), (1, 4.0, 1, FIRST)])
+    rows = skewed.unionByName(odd.withColumn("event_id", F.col("event_id") + 10_000))
     for keys in (["link_id"], ["link_id", "volume"]):
-        plain = hot.with_position(skewed, keys, split_hot=False)
-        split = hot.with_position(skewed, keys, split_hot=True, rows_per_task=rows_per_task)
-        assert as_rows(split) == as_rows(plain)
-
-
-def test_small_inputs_are_told_from_large_ones(spark, tmp_path, skewed):
-    path = str(tmp_path / "rows")
-    skewed.write.parquet(path)
+        order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+        plain = rows.withColumn("position", F.row_number().over(order).cast("long") - 1)
+        assert as_rows(hot.with_position(rows, keys, ranges=ranges)) == as_rows(plain)
+
+
+def test_no_cell_of_a_hot_group_is_large(spark):
+    """One key has a third of two million rows, and half of those have one time."""
+    n = 2_000_000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000).alias("link_id"),
+        F.timestamp_seconds(F.when(F.col("id") % 6 == 0, 5000).otherwise(F.col("id") % 86_400)).cast("timestamp_ntz").alias("ts"))
+    borders = hot._borders(rows, ["ts", "event_id"], 16)
+    cells = rows.groupBy("link_id", hot._range_of(rows, ["ts", "event_id"], borders, 0, len(borders))).count()
+    assert cells.agg(F.max("count")).first()[0] < n / 8
+    placed = hot.with_position(rows, ["link_id"], ranges=16).groupBy("link_id").agg(
+        F.max("position").alias("last"), F.count("*").alias("n"), F.count_distinct("position").alias("different"))
+    assert placed.where("last <> n - 1 or n <> different").count() == 0
+
+
+def test_plans_read_the_readings_twice_at_most(spark, tmp_path):
+    """With nothing broadcast: once live, once archive; once numbered, once counted."""
+    path = str(tmp_path / "readings")
+    readings(spark, [(n % 5, 1.0, 1, FIRST + timedelta(hours=n)) for n in range(200)]).write.parquet(path)
     stored = spark.read.parquet(path)
-    joined = stored.join(stored.groupBy("link_id").count(), "link_id")
-    assert hot.is_small(joined) and hot.fits_broadcast(joined)
-    assert hot.input_bytes(joined) == 2 * hot.input_bytes(stored)
+    links = spark.createDataFrame([(1, 5.0, 5.0)], LINKS)
+    wkt = "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [pipelines.live_with_archive(stored, stored, links, wkt, 60),
+                 windows.length_batch(stored, 60), windows.every_nth(stored, 10, 5)]
+        for plan in map(plan_text, plans):
+            first = plan.split("(1) Scan")[0]  # the tree, before the details of its nodes
+            assert first.count("Scan parquet") <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_buckets_change_nothing(spark, skewed):

@@ -6,7 +6,7 @@ import pytest
 from frames import LINKS, READING, as_rows, as_set, at, plan_text, readings
 
 from pastlane.model import LIVE_SCHEMA
-from pastlane.operators import averages, filters, joins, metrics, windows
+from pastlane.operators import averages, cutting, filters, joins, metrics, windows
 from pastlane.plans import pipelines
 from pastlane.sources.live import StreamSource, find_stream, live_from_json, open_stream
 from pastlane.streaming import length_batch as batches, queries as streams
@@ -126,25 +126,81 @@ def test_latest_equals_static_latest(stream, rows, folders):
     assert as_rows(got.select(*want.columns)) == as_rows(want)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_batches_equal_static_batches(stream, rows, folders, split):
-    options = {"split_hot": split, "rows_per_task": 20} if split else {}
-    got = batches.length_batch_stream(stream, minutes=360, **options, **folders)
+def test_batches_equal_static_batches(stream, rows, folders):
+    got = batches.length_batch_stream(stream, minutes=360, **folders)
     want = windows.length_batch(rows, 360)
     assert batch_count(folders) == 3
     assert as_rows(got.select(*want.columns)) == as_rows(want)
     assert want.count() > 100
 
 
-def test_time_limit_lets_partial_batches_go_and_loses_no_row(spark, stream, folders):
-    got = batches.length_batch_stream(stream, minutes=360, limit_seconds=3600, **folders)
-    emitted = got.agg({"count_rec": "sum"}).collect()[0][0]
-    last = spark.read.schema(batches.BATCH_SCHEMA).parquet(f"{folders['out']}/batch=2")
-    still_open = last.where("not done")
-    kept = still_open.agg({"count_rec": "sum"}).collect()[0][0] or 0
-    assert emitted + kept == 1500
-    assert got.where("count_rec < 6").count() > 0
-    assert still_open.where("first_ts + interval 3600 seconds <= seen_ts").count() == 0
+@pytest.mark.parametrize("files", [1, 2, 3])
+def test_time_limit_does_not_see_micro_batches(spark, folder, rows, folders, files):
+    source = StreamSource(spark.createDataFrame([], READING).schema, folder)
+    stream = open_stream(spark, source, files_per_trigger=files)
+    got = batches.length_batch_stream(stream, minutes=360, limit_seconds=7200, **folders)
+    want = cutting.time_length_batch(rows, 360, 6, 7200, ["event_id"])
+    assert as_rows(got.select(*want.columns)) == as_rows(want)
+    assert 0 < want.where("count_rec < 6").count() < want.count()
+
+
+def test_idle_groups_are_put_out_and_forgotten(spark, tmp_path, folders):
+    path = str(tmp_path / "events")
+    parts = [[(1, 1.0, 1, FIRST)], [(2, 2.0, 2, FIRST + timedelta(hours=5))], [(2, 3.0, 3, FIRST + timedelta(hours=6))]]
+    for part in parts:
+        readings(spark, part).coalesce(1).write.mode("append").parquet(path)
+    source = StreamSource(spark.createDataFrame([], READING).schema, path)
+    got = batches.length_batch_stream(
+        open_stream(spark, source, files_per_trigger=1), minutes=1440, idle_seconds=600, lateness="1 minute", **folders)
+    assert as_set(got, "link_id", "count_rec", "avg_speed") == {(1, 1, 1.0)}
+
+
+def live_rows(spark, rows):
+    """Readings as the live schema has them, without an event id."""
+    return spark.createDataFrame([(link, ts, float(s), float(v), None) for link, s, v, ts in rows], LIVE_SCHEMA)
+
+
+def test_operators_run_on_the_live_schema(spark, tmp_path, folders):
+    data = [(1, n, n % 3, FIRST + timedelta(minutes=n)) for n in range(20)]
+    path = str(tmp_path / "live")
+    live_rows(spark, data).coalesce(1).write.parquet(path)
+    static = spark.read.schema(LIVE_SCHEMA).parquet(path)
+    def stream():
+        return open_stream(spark, StreamSource(LIVE_SCHEMA, path))
+
+    def at_folder(name):
+        return {key: f"{value}-{name}" for key, value in folders.items()}
+
+    latest = windows.latest_per_slot(static, 60, arrival="ts")
+    assert as_set(latest, "link_id", "speed") == {(1, 19.0)}
+    got = streams.latest_per_slot_stream(stream(), minutes=60, arrival="ts", **at_folder("latest"))
+    assert as_rows(got.select(*latest.columns)) == as_rows(latest)
+    full = windows.length_batch(static, 60, tie=["speed"])
+    assert full.count() == 3
+    got = batches.length_batch_stream(stream(), minutes=60, tie=["speed"], **at_folder("batches"))
+    assert as_rows(got.select(*full.columns)) == as_rows(full)
+    assert windows.every_nth(static, 5, 1, tie="speed").count() == 4
+    assert windows.live_clock(static, 60, arrival="ts").count() == 1
+    assert windows.last_per_minute(static, "link_id", "speed", arrival="ts").count() == 20
+    assert streams.slot_counts_stream(stream(), minutes=60, **at_folder("slots")).count() == 1
+    assert streams.period_counts_stream(stream(), seconds=60, **at_folder("periods")).count() == 20
+
+
+@pytest.mark.parametrize("every", [2, 32])
+def test_late_rows_count_and_totals_are_compacted(spark, tmp_path, folders, every):
+    """Five micro-batches, of which the last is three days late."""
+    path = str(tmp_path / "events")
+    parts = [[(n, float(n), 1, FIRST + timedelta(days=n if n < 4 else 0, minutes=k)) for k in range(3)] for n in range(5)]
+    for part in parts:
+        readings(spark, part).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.read.schema(spark.createDataFrame([], READING).schema).parquet(path)
+    source = StreamSource(rows.schema, path)
+    got = streams.slot_counts_stream(
+        open_stream(spark, source, files_per_trigger=1), minutes=60, compact_every=every, **folders)
+    assert as_rows(got) == as_rows(averages.slot_counts(rows, 60))
+    assert got.agg({"count_rec": "sum"}).first()[0] == 15
+    if every == 2:  # what was merged last has all groups up to then
+        assert spark.read.parquet(f"{folders['out']}/batch=3").count() == 4
 
 
 def test_a_repeated_micro_batch_leaves_its_rows_once(spark, stream, rows, folders):

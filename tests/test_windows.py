@@ -1,9 +1,9 @@
 from datetime import datetime, timedelta
 
 import pytest
-from frames import as_set, at, readings
+from frames import as_set, at, plan_text, readings
 
-from pastlane.operators import averages, windows
+from pastlane.operators import averages, cutting, windows
 from pastlane.functions.time import format_time, parse_time, CONFIG_FORMAT
 from pastlane.plans import pipelines
 from pyspark.sql import functions as F
@@ -22,20 +22,19 @@ def clock(spark, text):
     return spark.createDataFrame([(at(text),)], "clock timestamp_ntz")
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_seven_rows_make_a_full_and_a_partial_batch(spark, split):
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_seven_rows_make_a_full_and_a_partial_batch(spark, ranges):
     rows = readings(spark, [(1, float(n), n, FIRST + timedelta(days=n)) for n in range(7)])
-    options = {"split_hot": split, "rows_per_task": 2}
-    full = windows.length_batch(rows, 5, **options)
+    full = windows.length_batch(rows, 5, ranges=ranges)
     assert as_set(full, "count_rec", "avg_speed", "avg_volume") == {(6, 2.5, 2.5)}
-    every = windows.length_batch(rows, 5, partial=True, **options)
+    every = windows.length_batch(rows, 5, partial=True, ranges=ranges)
     assert as_set(every, "count_rec", "avg_speed") == {(6, 2.5), (1, 6.0)}
 
 
 def test_batches_hold_every_row_once(spark):
     rows = readings(spark, [(n % 5, float(n), n, FIRST + timedelta(minutes=7 * n)) for n in range(1000)])
-    for split in (False, True):
-        batches = windows.length_batch(rows, 60, partial=True, split_hot=split, rows_per_task=3)
+    for ranges in (1, 40):
+        batches = windows.length_batch(rows, 60, partial=True, ranges=ranges)
         assert batches.agg(F.sum("count_rec")).collect()[0][0] == 1000
         assert batches.agg(F.max("count_rec")).collect()[0][0] == 6
 
@@ -57,10 +56,16 @@ def test_later_average_replaces_the_earlier(spark):
 def test_clock_follows_arrival_and_not_time(spark):
     live = readings(spark, [
         (1, 1.0, 1, at("2011-04-17 00:10:00")), (2, 1.0, 1, at("2011-04-17 00:05:00")),
-        (3, 1.0, 1, at("2011-04-17 01:02:00")),
+        (3, 1.0, 1, at("2011-04-17 01:02:00")), (4, 1.0, 1, at("2011-04-17 04:01:00")),
+        (4, 1.0, 1, at("2011-04-17 01:03:00")), (4, 1.0, 1, at("2011-04-18 01:03:00")),
     ])
     ticks = windows.live_clock(live, 60)
-    assert as_set(ticks, "livehours", "livemins") == {(0, 5), (1, 2)}
+    # A row for each slot; hour 4's row came before one of hour 1, which stands until the next day.
+    stood = {(n, (0, 5) if n == 0 else (1, 3)) for n in range(26)}
+    first = at("2011-04-17 00:00:00")
+    assert {((r.slot - first) // timedelta(hours=1), (r.livehours, r.livemins)) for r in ticks.collect()} == stood
+    assert windows.live_clock(live.limit(0), 60).count() == 0
+    assert as_set(windows.clock_at(live), "clock") == {(at("2011-04-18 01:03:00"),)}
     stopped = windows.clock_at(live, at("2011-04-17 00:30:00"))
     assert as_set(stopped, "clock") == {(at("2011-04-17 00:05:00"),)}
 
@@ -86,10 +91,10 @@ def test_expiry_over_midnight_needs_the_date(spark):
     }
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_every_nth_row_of_a_bucket(spark, split):
+@pytest.mark.parametrize("ranges", [1, 10])
+def test_every_nth_row_of_a_bucket(spark, ranges):
     rows = readings(spark, [(n % 4, float(n), n, FIRST + timedelta(seconds=n)) for n in range(100)])
-    picked = windows.every_nth(rows, 10, 2, split_hot=split, rows_per_task=10)
+    picked = windows.every_nth(rows, 10, 2, ranges=ranges)
     assert as_set(picked, "bucket", "ordinal", "event_id") == {
         (b, n, 2 * (n - 1) + b) for b in (0, 1) for n in (10, 20, 30, 40, 50)
     }
@@ -111,6 +116,29 @@ def test_view_of_the_last_minutes(spark):
     assert {s for (s,) in as_set(windows.last_minutes(rows), "speed")} == {float(m) for m in range(20, 30)}
 
 
+def test_last_minutes_read_the_last_dates_only(spark, tmp_path):
+    rows = readings(spark, [(1, float(n), 1, FIRST + timedelta(hours=n)) for n in range(60)])
+    path = str(tmp_path / "rows")
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    kept = windows.last_minutes(stored, 12 * 60, day="day")
+    assert sorted(r.speed for r in kept.collect()) == [float(n) for n in range(48, 60)]
+    assert "PartitionFilters: [isnotnull(day" in plan_text(kept)
+
+
+def test_batches_of_limited_time(spark):
+    """Six rows ten minutes apart, at most 15 minutes from the first of a batch."""
+    rows = readings(spark, [(1, float(n), n, FIRST + timedelta(minutes=10 * n)) for n in range(6)] + [(2, 1.0, None, FIRST)])
+    cut = cutting.time_length_batch(rows, 120, 6, 900, ["event_id"])
+    assert as_set(cut, "first_ts", "count_rec", "avg_speed") == {
+        (FIRST, 2, 0.5), (FIRST + timedelta(minutes=20), 2, 2.5)}
+    every = cutting.time_length_batch(rows, 120, 6, 900, ["event_id"], partial=True)
+    assert every.agg(F.sum("count_rec")).first()[0] == 7 and every.where("avg_volume is null").count() == 1
+    plain = cutting.time_length_batch(rows, 120, 6, None, ["event_id"])
+    assert as_set(plain, "count_rec", "avg_speed") == {(6, 2.5)}
+    assert cutting.time_length_batch(rows.limit(0), 120, 6, 900, ["event_id"]).count() == 0
+
+
 def rates(spark, *micros):
     return spark.createDataFrame(
         [(FIRST + timedelta(seconds=30 * n), m) for n, m in enumerate(micros)],
