@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,18 @@ from pyspark.sql import functions as F
 from pastlane.session import fresh_dir
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside hands Python ``rows`` rows at a time, so that large values do not fill its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame's rows from the shared folder: what follows does not repeat the work before."""
     folder = fresh_dir(frame.sparkSession, name)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pastlane.llm.arrays import Lookup, Words, mix, slices
-from pastlane.llm.components import components, marked, maybe_marked, written
+from pastlane.llm.components import components, marked, maybe_marked, small_batches, written
 
 WORDS = 5
 SIMILARITY = (75, 100)
@@ -46,6 +46,8 @@ SLICE = 256  # members of a slice of a larger cell
 LEAF = 16
 PER_GROUP = 4  # shingles of a set to a group, about
 REMEMBERED_SETS = 200_000
+PART = 20_000  # first shingles that are gathered at once, about
+HELD = 1_000_000  # first shingles that a task holds before it deals them out
 
 _BYTES = 6
 
@@ -239,40 +241,77 @@ def _frequent(items: DataFrame) -> np.ndarray:
     return np.array([r.key for r in rows], np.int64).view(np.uint64)
 
 
-def _first_shingles(items: DataFrame) -> DataFrame:
-    """(key, set, frequent): the first shingles of each set."""
+def _first_shingles(items: DataFrame, parts: int) -> DataFrame:
+    """(part, keys, sets, frequent): the first shingles of the sets, packed by part of the keys.
+
+    Of frequent shingles a row has one (``part`` is -1); of the others, all that a batch has of a part.
+    """
     hot = items.sparkSession.sparkContext.broadcast(Lookup(mix(_frequent(items))))  # FREQUENT_KEPT at most
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys, sets, frequent = [], [], []
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = mix(unpack(data.as_py()))  # an order that has nothing to do with the groups
                 late = np.zeros(len(values), bool)
                 late[hot.value.find(values)[0]] = True
                 need = -(-SIMILARITY[0] * len(values) // SIMILARITY[1])
                 chosen = np.lexsort((values, late))[:len(values) - need + 1]
-                keys.append(values[chosen].view(np.int64))
-                frequent.append(late[chosen])
-                sets.append(np.full(len(chosen), number, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sets, frequent)],
-                                                 ["key", "set", "frequent"])
-
-    return items.select("set", "items").mapInArrow(first, "key long, set long, frequent boolean")
-
-
-def _cells(items: DataFrame) -> DataFrame:
+                held.append((values[chosen], np.full(len(chosen), number, np.int64), late[chosen]))
+                size += len(chosen)
+                if size >= HELD:
+                    yield dealt(held)
+                    held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    def dealt(held) -> pa.RecordBatch:
+        keys, sets, late = (np.concatenate(x) for x in zip(*held, strict=True))
+        rare = ~late
+        part = (keys[rare] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(order) else order
+        cuts = [slice(x, y) for x, y in zip(begin, np.append(begin[1:], len(order)), strict=True)]
+        own_keys, own_sets = keys[rare][order], sets[rare][order]
+        often = late.sum()
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.r_[part[order[begin]], np.full(often, -1)], pa.int64()),
+            pa.array([pack(own_keys[x]) for x in cuts] + [None] * often, pa.binary()),
+            pa.array([own_sets[x].tobytes() for x in cuts] + [None] * often, pa.binary()),
+            pa.array(np.r_[np.zeros(len(cuts), np.int64), keys[late].view(np.int64)], pa.int64()),
+            pa.array(np.r_[np.zeros(len(cuts), np.int64), sets[late]], pa.int64())], ["part", "keys", "sets", "key", "set"])
+
+    return items.select("set", "items").mapInArrow(first, "part long, keys binary, sets binary, key long, set long")
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """The cells of a part: the sets of each key that two sets or more have."""
+    keys = np.concatenate([unpack(x.as_py()) for x in table["keys"]])
+    sets = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sets"]])
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])]  # a set once, however many tasks met it
+    keys, sets = keys[new], sets[new]
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.append(begin, len(keys)))
+    shared = size > 1
+    rows = np.repeat(shared, size)
+    ends = np.r_[0, np.cumsum(size[shared])]
+    return pa.table({"sets": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets[rows], pa.int64()))})
+
+
+def _cells(items: DataFrame, shingles: int) -> DataFrame:
     """(cell, set, size, leader, weight): who meets whom. Cells of the same members are one, with their number as weight.
 
-    Only a shingle that is not frequent has its sets gathered; a frequent one has them counted and joined.
+    The few sets of a shingle that is not frequent are gathered, by parts of PART keys or so;
+    those of a frequent one are counted and joined.
     """
-    rows = _first_shingles(items)
-    rare = rows.where("not frequent").groupBy("key").agg(F.sort_array(F.collect_set("set")).alias("sets")).where(F.size("sets") > 1)
-    rare = rare.groupBy("sets").agg(F.count(F.lit(1)).alias("weight")).select(
-        F.xxhash64("sets").alias("cell"), F.explode("sets").alias("set"), F.size("sets").cast("long").alias("size"),
-        F.col("sets")[0].alias("leader"), "weight")
-    often = written(rows.where("frequent").select(F.col("key").alias("cell"), "set").distinct(), "frequent")
+    share = 1 - SIMILARITY[0] / SIMILARITY[1]
+    rows = written(_first_shingles(items, max(1, int(shingles * share) // PART)), "first-shingles")
+    rare = rows.where("part >= 0").select("part", "keys", "sets").groupBy("part").applyInArrow(_met, "sets array<long>")
+    rare = rare.groupBy(F.xxhash64("sets").alias("cell")).agg(F.first("sets").alias("sets"), F.count(F.lit(1)).alias("weight")).select(
+        "cell", F.explode("sets").alias("set"), F.size("sets").cast("long").alias("size"), F.col("sets")[0].alias("leader"), "weight")
+    often = rows.where("part < 0").select(F.col("key").alias("cell"), "set").distinct()
     sizes = often.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("leader")).where("size > 1")
     often = often.join(sizes, "cell").select("cell", "set", "size", "leader", F.lit(1).cast("long").alias("weight"))
     return written(rare.unionByName(often), "cells")
@@ -341,12 +380,17 @@ def _searched(units: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, component): every row with the size of its set and the least id that links reach from it."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, key, text)
+
+
+def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = written(_read_sets(docs, key, text), "sets")
     items = rows.where(F.col("items").isNotNull() & F.col("id").isNotNull()).select("set", "items")
     vectors = written(rows.where(F.col("vector").isNotNull()).groupBy("set").agg(
         F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
-    cells = _cells(items)
+    cells = _cells(items, vectors.agg(F.sum("n")).first()[0] or 0)
 
     # One leader for each set: the one that it shares most cells with.
     led = cells.where("leader <> set").groupBy("set", "leader").agg(F.sum("weight").alias("n")).groupBy("set").agg(
