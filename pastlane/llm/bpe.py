@@ -12,8 +12,8 @@ Null texts are empty, an empty text has no ids, repeated rows are encoded each.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pastlane.llm.arrays import slices
 
 # Short pre-tokens that each of two generations remembers: some 200 bytes for each of them.
-REMEMBERED = 350_000
+REMEMBERED = 220_000
 # The bitmap has two levels: words of 256 bits, and one word that says which of them are not empty.
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -48,8 +48,9 @@ class Encoder:
             if len(token) == 2:
                 self.of_two[token[0] << 8 | token[1]] = rank
         # Two generations of remembered pre-tokens: a full young one becomes the old one.
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        # Their ids are packed, four bytes each.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token: merge the pair of least rank, the leftmost of equals, until none is left.
@@ -147,7 +148,7 @@ class Encoder:
             found.append(ids)
         return found
 
-    def texts(self, texts: list[str | None]) -> list[list[int]]:
+    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a pre-token that several texts have is encoded once."""
         split = [self.split(text) if text else [] for text in texts]
         here, missing = {}, []
@@ -167,14 +168,14 @@ class Encoder:
             if whole is None:
                 rare.append(match)
             else:
-                here[match] = self.young[match] = [whole]
+                here[match] = self.young[match] = array("i", [whole]).tobytes()
         for match, ids in zip(rare, self.pieces([x.encode() for x in rare]), strict=True):
-            here[match] = ids
+            here[match] = packed = array("i", ids).tobytes()
             if len(match) < 64:
-                self.young[match] = ids
+                self.young[match] = packed
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        return [list(chain.from_iterable(map(here.__getitem__, matches))) for matches in split]
+        return [np.frombuffer(b"".join(map(here.__getitem__, matches)), np.int32) for matches in split]
 
 
 _encoder: tuple[object, Encoder] | None = None
@@ -187,8 +188,8 @@ def _shared_encoder(ranks, pattern: str) -> Encoder:
     return _encoder[1]
 
 
-def _ids(column: pa.Array, encoder: Encoder) -> Iterator[list[list[int]]]:
-    for start, stop in slices(column, 1 << 20):
+def _ids(column: pa.Array, encoder: Encoder) -> Iterator[list[np.ndarray]]:
+    for start, stop in slices(column, 1 << 19):
         yield encoder.texts(column.slice(start, stop - start).to_pylist())
 
 
@@ -216,7 +217,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _shared_encoder(shared, pattern)
         for column in batches:
-            yield _as_lists([np.array(x, np.int32) for part in _ids(column, encoder) for x in part])
+            yield _as_lists([x for part in _ids(column, encoder) for x in part])
 
     return docs.withColumn(into, encode(F.col(text)))
 
@@ -247,8 +248,8 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
         for column in batches:
             found, back = [], []
             for part in _ids(column, encoder):
-                found.extend(np.array(x, np.int32) for x in part)
-                back.extend(b"".join(map(token, x)) for x in part)
+                found.extend(part)
+                back.extend(b"".join(map(token, x.tolist())) for x in part)
             yield pa.StructArray.from_arrays([_as_lists(found), pa.array(back, pa.binary())], ["ids", "decoded"])
 
     made = docs.withColumn(ids, both(F.col(text)))
