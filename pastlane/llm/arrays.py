@@ -52,6 +52,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield start, stop
         start = stop
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

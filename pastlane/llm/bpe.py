@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes texts by ranks. One per Python worker, so that what it remembers outlives a task."""
+    """Encodes texts by ranks. One per task: what it remembers would else stay with the Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -178,16 +178,6 @@ class Encoder:
         return [np.frombuffer(b"".join(map(here.__getitem__, matches)), np.int32) for matches in split]
 
 
-_encoder: tuple[object, Encoder] | None = None
-
-
-def _shared_encoder(ranks, pattern: str) -> Encoder:
-    global _encoder
-    if _encoder is None or _encoder[0] != (id(ranks.value), pattern):
-        _encoder = ((id(ranks.value), pattern), Encoder(ranks.value, pattern))
-    return _encoder[1]
-
-
 def _ids(column: pa.Array, encoder: Encoder) -> Iterator[list[np.ndarray]]:
     for start, stop in slices(column, 1 << 19):
         yield encoder.texts(column.slice(start, stop - start).to_pylist())
@@ -215,7 +205,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _shared_encoder(shared, pattern)
+        encoder = Encoder(shared.value, pattern)
         for column in batches:
             yield _as_lists([x for part in _ids(column, encoder) for x in part])
 
@@ -243,7 +233,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _shared_encoder(shared, pattern)
+        encoder = Encoder(shared.value, pattern)
         token = _tokens(shared.value).__getitem__
         for column in batches:
             found, back = [], []
