@@ -1,6 +1,6 @@
 """Numpy views of Arrow text: words, their hashes and n-grams, whole batches at a time.
 
-All functions here run inside Spark tasks. A batch is handled in slices of about a
+All functions here run inside Spark tasks. A batch is handled in slices of a quarter of a
 megabyte of text, so memory follows the longest text and not the batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -69,10 +69,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        factors = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        factors = np.full(max(n, 1 << 19), base, dtype=np.uint64)
         factors[0] = 1
         have = _powers[name] = np.cumprod(factors, dtype=np.uint64)
-        if n > 64 * SLICE_BYTES:  # one very long text does not keep its table
+        if n > 16 * SLICE_BYTES:  # one very long text does not keep its table
             _powers.pop(name)
     return have[:n]
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +73,7 @@ def marked(ids: DataFrame, column: str, bits: int = 22) -> bytes:
     return bytes(words)
 
 
-def maybe_marked(spark: SparkSession, bitmap: bytes):
-    """A function of a Column of ids: false for those that are surely not in the bitmap."""
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.arrow_udf("boolean")
-    def among(ids: pa.Array) -> pa.Array:
-        on = np.frombuffer(shared.value, np.uint8)
-        slot = ids.to_numpy(zero_copy_only=False).astype(np.int64) & (8 * len(on) - 1)
-        return pa.array((on[slot >> 3] >> (slot & 7)) & 1 == 1)
-
-    return among
+def in_bitmap(bitmap: bytes, number: int) -> bool:
+    """False for a number that is surely not among those marked."""
+    slot = number & (8 * len(bitmap) - 1)
+    return bool(bitmap[slot >> 3] >> (slot & 7) & 1)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pastlane.llm.arrays import Lookup, Words, mix, slices
-from pastlane.llm.components import components, marked, maybe_marked, small_batches, written
+from pastlane.llm.components import components, in_bitmap, marked, small_batches, written
 
 WORDS = 5
 SIMILARITY = (75, 100)
@@ -81,18 +81,20 @@ def shingle_sets(words: Words) -> Iterator[np.ndarray]:
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
-    """Counts of the shingles' groups, a byte each; 255 stands for that many and more."""
+    """Counts of the shingles' groups, half a byte each; 15 stands for that many and more."""
     groups = 16
     while groups * PER_GROUP < len(shingles) and groups < 1 << 14:
         groups *= 2
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    counts = np.minimum(counts, 15).astype(np.uint8)
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
 
 
 def opened(vector: bytes) -> np.ndarray:
-    """The counts as upper bounds: a full byte bounds nothing."""
-    counts = np.frombuffer(vector, np.uint8).astype(np.int32)
-    counts[counts == 255] = 1 << 20
+    """The counts as upper bounds: one that is full bounds nothing."""
+    packed = np.frombuffer(vector, np.uint8)
+    counts = np.stack([packed & 15, packed >> 4], axis=1).ravel().astype(np.int32)
+    counts[counts == 15] = 1 << 20
     return counts
 
 
@@ -167,7 +169,7 @@ def unit_pairs(members: list[dict]) -> set[tuple[int, int]]:
     trees: dict[tuple[int, int], tuple[RTree, list[int]]] = {}
     kinds: dict[tuple[int, int], list[dict]] = {}
     for x in members:
-        kinds.setdefault((x["side"], len(x["vector"])), []).append(x)
+        kinds.setdefault((x["side"], 2 * len(x["vector"])), []).append(x)
     for kind, own in kinds.items():
         trees[kind] = (RTree(np.array([opened(x["vector"]) for x in own]), np.array([x["n"] for x in own]),
                              np.array([x["component"] for x in own])), [x["set"] for x in own])
@@ -195,98 +197,129 @@ def _same_order(tree: RTree, groups: int) -> RTree:
     return made
 
 
-def _read_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, set) of all rows; vector and items as well where a task meets a set for the first time."""
+def set_number(shingles: np.ndarray) -> int:
+    """What a set is told apart by: a hash of its shingles in any order."""
+    size = np.uint64(len(shingles))
+    return int(mix(np.add.reduce(mix(shingles + size))[None] ^ size).view(np.int64)[0])
+
+
+class Seen:
+    """The sets that a task has met, so that copies are not sent twice; it forgets them when they are many."""
+
+    def __init__(self):
+        self.numbers: set[int] = set()
+
+    def first_time(self, number: int) -> bool:
+        if number in self.numbers:
+            return False
+        if len(self.numbers) >= REMEMBERED_SETS:
+            self.numbers.clear()
+        self.numbers.add(number)
+        return True
+
+
+def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+    for start, stop in slices(column):
+        yield from shingle_sets(Words(column.slice(start, stop - start)))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(id, n, set) of all rows, and the vector where a task meets a set for the first time."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            n, sets, vectors = [], [], []
+            for shingles in _sets_of(batch.column(1)):
+                own = set_number(shingles) if len(shingles) else None
+                n.append(len(shingles))
+                sets.append(own)
+                vectors.append(count_vector(shingles) if own is not None and seen.first_time(own) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(vectors, pa.binary())],
+                ["id", "n", "set", "vector"])
+
+    return docs.mapInArrow(number, "id long, n long, set long, vector binary")
+
+
+def _items(docs: DataFrame, wanted: bytes) -> DataFrame:
+    """(set, items): the shingles of the sets that a bitmap has, read from the texts again.
+
+    They are most of the data and few are needed, so they are not kept from an earlier pass.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                words = Words(batch.column(1).slice(start, stop - start))
-                n, sets, vectors, items = [], [], [], []
-                for shingles in shingle_sets(words):
-                    n.append(len(shingles))
-                    number = vector = data = None
-                    if len(shingles):
-                        spread = mix(shingles + np.uint64(len(shingles)))
-                        number = int(mix(np.add.reduce(spread)[None] ^ np.uint64(len(shingles))).view(np.int64)[0])
-                        if number not in seen:
-                            if len(seen) >= REMEMBERED_SETS:
-                                seen.clear()
-                            seen.add(number)
-                            vector, data = count_vector(shingles), pack(shingles)
-                    sets.append(number)
-                    vectors.append(vector)
-                    items.append(data)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(n, pa.int64()), pa.array(sets, pa.int64()),
-                     pa.array(vectors, pa.binary()), pa.array(items, pa.binary())], ["id", "n", "set", "vector", "items"])
-
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        read, "id long, n long, set long, vector binary, items binary")
-
-
-def _frequent(items: DataFrame) -> np.ndarray:
-    """Shingles that many sets of a sample have."""
+            found = [(own, pack(x)) for x in _sets_of(batch.column(0)) if len(x) and in_bitmap(shared.value, own := set_number(x))
+                     and seen.first_time(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                              pa.array([x for _, x in found], pa.binary())], ["set", "items"])
+
+    return docs.select("text").mapInArrow(read, "set long, items binary")
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles that many rows of a sample have."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [unpack(x.as_py()) for x in batch.column(0)]
+            values = list(_sets_of(batch.column(0)))
             if values:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64))], ["key"])
 
-    sample = items.where(F.pmod("set", F.lit(SAMPLED)) == 0).select("items")
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
     rows = sample.mapInArrow(each, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).collect()
     return np.array([r.key for r in rows], np.int64).view(np.uint64)
 
 
-def _first_shingles(items: DataFrame, parts: int) -> DataFrame:
-    """(part, keys, sets, frequent): the first shingles of the sets, packed by part of the keys.
+def _first_shingles(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The first shingles of the sets: (part, keys, sets), packed by part of the keys, and (key, set) of frequent ones."""
+    hot = docs.sparkSession.sparkContext.broadcast(Lookup(mix(_frequent(docs))))  # FREQUENT_KEPT at most
 
-    Of frequent shingles a row has one (``part`` is -1); of the others, all that a batch has of a part.
-    """
-    hot = items.sparkSession.sparkContext.broadcast(Lookup(mix(_frequent(items))))  # FREQUENT_KEPT at most
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def first(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size, seen = [], 0, Seen()
         for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = mix(unpack(data.as_py()))  # an order that has nothing to do with the groups
+            for shingles in _sets_of(batch.column(0)):
+                if not len(shingles) or not seen.first_time(number := set_number(shingles)):
+                    continue
+                values = mix(shingles)  # an order that has nothing to do with the groups
                 late = np.zeros(len(values), bool)
                 late[hot.value.find(values)[0]] = True
                 need = -(-SIMILARITY[0] * len(values) // SIMILARITY[1])
                 chosen = np.lexsort((values, late))[:len(values) - need + 1]
-                held.append((values[chosen], np.full(len(chosen), number, np.int64), late[chosen]))
-                size += len(chosen)
+                keys = values[chosen[late[chosen] == frequent]]
+                held.append((keys, np.full(len(keys), number, np.int64)))
+                size += len(keys)
                 if size >= HELD:
-                    yield dealt(held)
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     held, size = [], 0
-        if held:
-            yield dealt(held)
-
-    def dealt(held) -> pa.RecordBatch:
-        keys, sets, late = (np.concatenate(x) for x in zip(*held, strict=True))
-        rare = ~late
-        part = (keys[rare] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        begin = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(order) else order
-        cuts = [slice(x, y) for x, y in zip(begin, np.append(begin[1:], len(order)), strict=True)]
-        own_keys, own_sets = keys[rare][order], sets[rare][order]
-        often = late.sum()
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.r_[part[order[begin]], np.full(often, -1)], pa.int64()),
-            pa.array([pack(own_keys[x]) for x in cuts] + [None] * often, pa.binary()),
-            pa.array([own_sets[x].tobytes() for x in cuts] + [None] * often, pa.binary()),
-            pa.array(np.r_[np.zeros(len(cuts), np.int64), keys[late].view(np.int64)], pa.int64()),
-            pa.array(np.r_[np.zeros(len(cuts), np.int64), sets[late]], pa.int64())], ["part", "keys", "sets", "key", "set"])
-
-    return items.select("set", "items").mapInArrow(first, "part long, keys binary, sets binary, key long, set long")
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in first(batches, frequent=False):
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+            cuts = [order[x:y] for x, y in zip(begin, np.append(begin[1:], len(order)), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(part[order[begin]]), pa.array([keys[x].tobytes() for x in cuts], pa.binary()),
+                pa.array([sets[x].tobytes() for x in cuts], pa.binary())], ["part", "keys", "sets"])
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in first(batches, frequent=True):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets)], ["key", "set"])
+
+    texts = docs.select("text")
+    return (texts.mapInArrow(rare, "part long, keys binary, sets binary"), texts.mapInArrow(often, "key long, set long"))
 
 
 def _met(table: pa.Table) -> pa.Table:
     """The cells of a part: the sets of each key that two sets or more have."""
-    keys = np.concatenate([unpack(x.as_py()) for x in table["keys"]])
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
     sets = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sets"]])
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
@@ -300,26 +333,25 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"sets": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sets[rows], pa.int64()))})
 
 
-def _cells(items: DataFrame, shingles: int) -> DataFrame:
+def _cells(docs: DataFrame, shingles: int) -> DataFrame:
     """(cell, set, size, leader, weight): who meets whom. Cells of the same members are one, with their number as weight.
 
     The few sets of a shingle that is not frequent are gathered, by parts of PART keys or so;
     those of a frequent one are counted and joined.
     """
     share = 1 - SIMILARITY[0] / SIMILARITY[1]
-    rows = written(_first_shingles(items, max(1, int(shingles * share) // PART)), "first-shingles")
-    rare = rows.where("part >= 0").select("part", "keys", "sets").groupBy("part").applyInArrow(_met, "sets array<long>")
+    rare, often = _first_shingles(docs, max(1, int(shingles * share) // PART))
+    rare = rare.groupBy("part").applyInArrow(_met, "sets array<long>")
     rare = rare.groupBy(F.xxhash64("sets").alias("cell")).agg(F.first("sets").alias("sets"), F.count(F.lit(1)).alias("weight")).select(
         "cell", F.explode("sets").alias("set"), F.size("sets").cast("long").alias("size"), F.col("sets")[0].alias("leader"), "weight")
-    often = rows.where("part < 0").select(F.col("key").alias("cell"), "set").distinct()
+    often = written(often.select(F.col("key").alias("cell"), "set").distinct(), "frequent")
     sizes = often.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("leader")).where("size > 1")
     often = often.join(sizes, "cell").select("cell", "set", "size", "leader", F.lit(1).cast("long").alias("weight"))
     return written(rare.unionByName(often), "cells")
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, items: DataFrame, bound: bool) -> DataFrame:
-    """The pairs (a, b) that link. Shingles are shuffled only for sets of pairs that may."""
-    spark = pairs.sparkSession
+def _verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, bound: bool) -> DataFrame:
+    """The pairs (a, b) that link. Shingles are read and shuffled only for sets of pairs that may."""
     if bound:
         @F.arrow_udf("boolean")
         def may(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
@@ -329,7 +361,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, items: DataFrame, bound: boo
         right = vectors.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("vector").alias("vb"))
         pairs = written(pairs.join(left, "a").join(right, "b").where(may("va", "n", "vb", "m")).select("a", "b"), "pairs")
     needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-    items = items.where(maybe_marked(spark, marked(needed, "a"))(F.col("set")))
+    items = written(_items(docs, marked(needed, "a")), "items")
 
     @F.arrow_udf("boolean")
     def link(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -343,7 +375,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, items: DataFrame, bound: boo
 
     whole = pairs.join(items.select(F.col("set").alias("a"), F.col("items").alias("ia")), "a").join(
         items.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
-    return whole.where(link("ia", "ib")).select("a", "b")
+    return whole.where(link("ia", "ib")).select("a", "b").distinct()
 
 
 def _units(cells: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
@@ -385,21 +417,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = written(_read_sets(docs, key, text), "sets")
-    items = rows.where(F.col("items").isNotNull() & F.col("id").isNotNull()).select("set", "items")
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = written(_numbered(docs), "sets")
+    docs = docs.where(F.col("id").isNotNull())
     vectors = written(rows.where(F.col("vector").isNotNull()).groupBy("set").agg(
         F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
-    cells = _cells(items, vectors.agg(F.sum("n")).first()[0] or 0)
+    cells = _cells(docs, vectors.agg(F.sum("n")).first()[0] or 0)
 
     # One leader for each set: the one that it shares most cells with.
     led = cells.where("leader <> set").groupBy("set", "leader").agg(F.sum("weight").alias("n")).groupBy("set").agg(
         F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.col("set").alias("a"), F.col("leader").alias("b"))
-    links = written(_verified(led, vectors, items, bound=True), "links")
+    links = written(_verified(led, vectors, docs, bound=True), "links")
     known = components(links)
 
     pairs = written(_searched(_units(cells, vectors, known)), "pairs")
-    more = _verified(pairs, vectors, items, bound=False)
+    more = _verified(pairs, vectors, docs, bound=False)
     known = components(links.unionByName(more))
 
     numbered = rows.where(F.col("id").isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("least"))
