@@ -197,7 +197,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
 
     # A task meets one piece of a cell with one block of queries, both of bounded size.
     stored = placed.select(
-        "id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit("piece")), piece_of[F.col("cell")]).alias("piece"),
+        "id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit("piece")), piece_of[F.col("cell")]).cast("int").alias("piece"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asking = queries.select("id", "vector", "own", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
     limit = chi_square_limit(CONFIDENCE, DIMENSIONS)

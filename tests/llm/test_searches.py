@@ -158,11 +158,15 @@ def test_few_and_no_vectors(spark):
     assert nearest(three.limit(0), lambda key: key == 0).count() == 0
 
 
-def test_recall_of_the_stop(spark):
+def test_recall_of_the_stop(spark, monkeypatch):
+    """In many cells and partitions: the keys of both sides must be of one type to meet."""
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", 200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     draw = np.random.default_rng(8)
     vectors = draw.standard_normal((3000, 24)).astype(np.float32)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     rows = nearest(frame, lambda key: key % 100 == 0).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     exact = vectors.astype(float) @ vectors[::100].astype(float).T
     hits = 0
     for k, q in enumerate(range(0, 3000, 100)):
