@@ -242,22 +242,24 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(number, "id long, n long, set long, vector binary")
 
 
-def _items(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """(set, items): the shingles of the sets that a bitmap has, read from the texts again.
+def _items(docs: DataFrame, wanted: bytes, ids: bytes) -> DataFrame:
+    """(set, items): the shingles of the sets that a bitmap has, read again from the rows that another has.
 
     They are most of the data and few are needed, so they are not kept from an earlier pass.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, ids))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            found = [(own, pack(x)) for x in _sets_of(batch.column(0)) if len(x) and in_bitmap(shared.value, own := set_number(x))
+            wanted, ids = shared.value
+            batch = batch.filter(pa.array([in_bitmap(ids, x) for x in batch.column(0).to_pylist()], pa.bool_()))
+            found = [(own, pack(x)) for x in _sets_of(batch.column(1)) if len(x) and in_bitmap(wanted, own := set_number(x))
                      and seen.first_time(own)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
                                               pa.array([x for _, x in found], pa.binary())], ["set", "items"])
 
-    return docs.select("text").mapInArrow(read, "set long, items binary")
+    return docs.select("id", "text").mapInArrow(read, "set long, items binary")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -350,7 +352,7 @@ def _cells(docs: DataFrame, shingles: int) -> DataFrame:
     return written(rare.unionByName(often), "cells")
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, bound: bool) -> DataFrame:
+def _verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, rows_of: DataFrame, bound: bool) -> DataFrame:
     """The pairs (a, b) that link. Shingles are read and shuffled only for sets of pairs that may."""
     if bound:
         @F.arrow_udf("boolean")
@@ -361,7 +363,9 @@ def _verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, bound: bool
         right = vectors.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("vector").alias("vb"))
         pairs = written(pairs.join(left, "a").join(right, "b").where(may("va", "n", "vb", "m")).select("a", "b"), "pairs")
     needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-    items = written(_items(docs, marked(needed, "a")), "items")
+    # One row of each set is read, however many copies there are of it.
+    needed = rows_of.join(needed.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
+    items = written(_items(docs, marked(needed, "set"), marked(needed, "least")), "items")
 
     @F.arrow_udf("boolean")
     def link(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -401,9 +405,13 @@ def _units(cells: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
 
 def _searched(units: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()  # near copies meet in many units: a pair is told once by a task
         for batch in batches:
             for members in batch.column(0):
-                found = sorted(unit_pairs(members.as_py()))
+                found = sorted(unit_pairs(members.as_py()) - told)
+                if len(told) > REMEMBERED_SETS:
+                    told.clear()
+                told.update(found)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
                                                   pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -423,20 +431,21 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     vectors = written(rows.where(F.col("vector").isNotNull()).groupBy("set").agg(
         F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
+    rows_of = written(rows.where(F.col("id").isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(
+        F.min("id").alias("least")), "rows-of-sets")
     cells = _cells(docs, vectors.agg(F.sum("n")).first()[0] or 0)
 
     # One leader for each set: the one that it shares most cells with.
     led = cells.where("leader <> set").groupBy("set", "leader").agg(F.sum("weight").alias("n")).groupBy("set").agg(
         F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.col("set").alias("a"), F.col("leader").alias("b"))
-    links = written(_verified(led, vectors, docs, bound=True), "links")
+    links = written(_verified(led, vectors, docs, rows_of, bound=True), "links")
     known = components(links)
 
     pairs = written(_searched(_units(cells, vectors, known)), "pairs")
-    more = _verified(pairs, vectors, docs, bound=False)
-    known = components(links.unionByName(more))
+    more = _verified(pairs, vectors, docs, rows_of, bound=False)
+    known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    numbered = rows.where(F.col("id").isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("least"))
-    of_set = numbered.join(known, numbered["set"] == known["node"], "left").select(
+    of_set = rows_of.join(known, rows_of["set"] == known["node"], "left").select(
         "set", F.coalesce("component", "set").alias("class"), "least")
     least = of_set.groupBy("class").agg(F.min("least").alias("component"))
     of_set = of_set.join(least, "class").select("set", "component")
