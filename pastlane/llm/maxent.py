@@ -8,8 +8,8 @@ classes by their first letters, where a word has its smoothed relative frequency
 kept for unknown words; the probabilities of all tokens add up to one after any history.
 
 Counts are of all training rows: tasks count their own words, Spark adds them up, and the
-table of counts stays a table. Weights are learnt by gradient updates on every training row
-(each round takes one position in ``STRIDE`` of all texts, from another start): each task goes on from the shared
+table of counts stays a table. Weights are learnt by gradient updates at every position of every training row
+in each round: each task goes on from the shared
 weights, and the tasks' weights are averaged by how often each was met, in groups of bounded
 size. Rows are scored in numpy batches with the weights of the features they have. Words beyond the
 remembered ones get their counts by a join.
@@ -38,12 +38,12 @@ CLASSES = HEAD_CLASSES + TAIL_CLASSES
 REMEMBERED = 1 << 17
 ROWS = 1 << 13  # weight rows of each factor
 CONTEXTS = 64
-ROUNDS = 2
-STRIDE = 8
+ROUNDS = 1  # each takes all positions
 BATCH = 2048
-RATE = (0.12, 0.06)
+RATE = (0.12, 0.06)  # of the first round and of later ones
 FAN_IN = 64
 BLOCK = 256  # rows of a block of weights
+SIDE_BY_SIDE = 16  # members of the spans that are added up together
 COUNTED = 2_000_000  # words a task holds before it counts them
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -119,9 +119,9 @@ class Model:
 
     @staticmethod
     def _sum(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        total = weights[rows[:, 0]]
+        total = weights.take(rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
-            total += weights[rows[:, k]]
+            total += weights.take(rows[:, k], axis=0)
         return total
 
     def word_rows(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -179,16 +179,38 @@ class Learner:
         np.exp(np.subtract(logits, logits.max(axis=1, keepdims=True), out=logits), out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
         logits[np.arange(len(logits)), chosen] -= 1  # the gradient, the same for all features
-        flat = rows.ravel()
+        flat = rows.ravel().astype(np.min_scalar_type(ROWS - 1))  # numbers of two bytes are sorted by radix
         order = np.argsort(flat, kind="stable")
-        owner = order // rows.shape[1]
         begin = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-        touched = flat[order[begin]]
-        gradient = np.add.reduceat(logits[owner], begin, axis=0)
-        self.met[which][touched] += np.diff(np.r_[begin, len(order)])
-        squares = self.squares[which][touched] + gradient * gradient
+        times = np.diff(np.r_[begin, len(order)])
+        often = np.argsort(-times, kind="stable")
+        begin, times = begin[often], times[often]
+        touched = flat[order[begin]].astype(np.int64)
+        gradient = _sums(logits, order // rows.shape[1], begin, times)
+        self.met[which][touched] += times
+        squares = gradient * gradient
+        squares += self.squares[which].take(touched, axis=0)
         self.squares[which][touched] = squares
-        self.weights[which][touched] -= self.rate * gradient / np.sqrt(squares)
+        np.divide(gradient, np.sqrt(squares, out=squares), out=gradient)
+        gradient *= np.float32(self.rate)
+        self.weights[which][touched] = self.weights[which].take(touched, axis=0) - gradient
+
+
+def _sums(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sums of ``values[owner]`` over spans from ``begin``, the longest first.
+
+    Short spans are added up side by side, one member of each at a time: much cheaper than ``reduceat``.
+    """
+    total = values.take(owner[begin], axis=0)
+    long = int(np.searchsorted(-times, -SIDE_BY_SIDE))  # spans of more members
+    for k in range(long):
+        total[k] = values.take(owner[begin[k]:begin[k] + times[k]], axis=0).sum(axis=0)
+    for member in range(1, SIDE_BY_SIDE):
+        stop = int(np.searchsorted(-times, -member))  # spans that have this member
+        if stop <= long:
+            break
+        total[long:stop] += values.take(owner[begin[long:stop] + member], axis=0)
+    return total
 
 
 def _token_counts(texts: DataFrame) -> DataFrame:
@@ -299,16 +321,12 @@ def _round(texts: DataFrame, model: Model, round_: int) -> None:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(shared.value, RATE[min(round_, len(RATE) - 1)])
-        seen = 0
         for batch in batches:
             for start, stop in slices(batch.column(0)):
                 tokens = Tokens(batch.column(0).slice(start, stop - start))
                 number = shared.value.known(tokens)
                 classes = shared.value.classes(tokens, number)
-                first = (round_ * (STRIDE // ROUNDS) - seen) % STRIDE
-                seen += len(tokens.hash)
-                places = np.arange(first, len(tokens.hash), STRIDE)
-                places = places[np.random.default_rng(len(places)).permutation(len(places))]
+                places = np.random.default_rng(len(tokens.hash)).permutation(len(tokens.hash))
                 for begin in range(0, len(places), BATCH):
                     learner.step(tokens, number, classes, places[begin:begin + BATCH])
         task = TaskContext.get().partitionId()

@@ -130,6 +130,23 @@ def test_model_is_a_distribution(corpus):
         assert abs(total - 1) < 1e-4
 
 
+def test_every_position_gives_a_gradient(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{i}x{k}" for k in range(i % 5)),) for i in range(120)], "text string").coalesce(2)
+    model = maxent._start_model(texts, maxent.written(maxent._token_counts(texts), "counts"))
+    for round_ in range(maxent.ROUNDS):
+        maxent._round(texts, model, round_)
+    part = maxent.Tokens(pa.array([r.text for r in texts.collect()]))
+    rows = maxent._weight_rows(part.features(np.arange(len(part.hash))))
+    assert (np.abs(model.class_weights[rows]).max(axis=2) > 0).all()
+
+
+def test_sums_of_spans():
+    draw = np.random.default_rng(5)
+    values, times = draw.random((300, 4)), np.sort(draw.integers(1, 40, 50))[::-1]
+    owner, begin = draw.integers(0, 300, times.sum()), np.cumsum(times) - times
+    assert np.allclose(maxent._sums(values, owner, begin, times), np.add.reduceat(values[owner], begin, axis=0))
+
+
 def test_scores_without_training_rows(no_docs, odd_docs):
     rows = maxent_scores(odd_docs, F.lit(False)).collect()
     assert len(rows) == odd_docs.count() and {r.train_tokens for r in rows} == {0}
