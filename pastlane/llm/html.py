@@ -15,7 +15,7 @@ without url votes with the other rows without one. Repeated rows vote and are ex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +26,10 @@ from pastlane.session import fresh_dir
 
 # Tags by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math textarea title select object canvas".split())
+RAW = set("script style noscript template iframe textarea title".split())
+MUTE = set("svg math select object canvas".split())  # their text is left out
+BROKEN_OUT = {"svg", "math", "select"}  # a block ends them, if nothing of KEEPS_IN is between
+KEEPS_IN = {"foreignobject", "desc", "annotation-xml", "object", "canvas"}
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table
 tbody td tfoot th thead tr ul""".split())
@@ -57,14 +60,51 @@ _END_OF = {tag: re.compile(rf"(?i)</{tag}\b[^>]*>") for tag in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "path", "depth", "out", "article", "link", "holder")
+    __slots__ = ("tag", "path", "depth", "out", "article", "link", "holder", "mute")
 
-    def __init__(self, tag, path, depth, out, article, link, holder):
+    def __init__(self, tag, path, depth, out, article, link, holder, mute=False):
         self.tag, self.path, self.depth = tag, path, depth
         self.out = out  # in something left out
         self.article = article  # in an article or main element
         self.link = link
         self.holder = holder  # its path if it is a container, else that of the container around it
+        self.mute = mute  # in an element whose text is left out
+
+
+class Open:
+    """The open elements; the places of each tag and of blocks are kept, so that no search goes through them."""
+
+    def __init__(self, root: Element):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        if element.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of some tags, or 0."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=0)
+
+    def cut(self, k: int) -> None:
+        """Closes the element at a place and all in it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tags: Iterable[str], stop: Iterable[str]) -> None:
+        k = self.last(tags)
+        if k and k > self.last(stop):
+            self.cut(k)
+
+    def end(self, tag: str) -> None:
+        k = self.last((tag,))
+        # An inline end tag does not close the block around it.
+        if k and (tag in BLOCK or not self.blocks or k > self.blocks[-1]):
+            self.cut(k)
 
 
 def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
@@ -73,7 +113,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
     if not html:
         return found
     root = Element("", (), 0, False, False, False, ("",))
-    stack, parts, links = [root], [], 0
+    opened, parts, links = Open(root), [], 0
+    stack = opened.stack
     state = [root]  # of the block that is open
 
     def flush() -> None:
@@ -92,7 +133,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
         tag = match[2]
         if tag is None:
             token = match[0]
-            if token[0] != "<" or token == "<":
+            if (token[0] != "<" or token == "<") and not stack[-1].mute:
                 if not parts:
                     state[0] = stack[-1]
                 parts.append(token)
@@ -103,12 +144,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
         if match[1]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # an inline end tag does not close the block around it
+            opened.end(tag)
             continue
         if tag in RAW:
             end = _END_OF[tag].search(html, position)
@@ -117,31 +153,23 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
             continue
         if tag in BLOCK:
             flush()
+            opened.close(BROKEN_OUT, KEEPS_IN)
             if tag in ENDS_P:
-                _close(stack, {"p"}, CONTAINER - {"p"})
+                opened.close(("p",), CONTAINER)
             if tag in ENDS_ITSELF:
-                _close(stack, ENDS_ITSELF[tag], SCOPE.get(tag, set()))
-        elif tag == "br":
+                opened.close(ENDS_ITSELF[tag], SCOPE.get(tag, ()))
+        elif tag == "br" or tag in MUTE:
             parts.append(" ")
         if tag in VOID:
             continue
         if tag in ("html", "body") and any(x.tag == tag for x in stack[:4]):
             continue
         if not match[3].endswith("/") or tag in BLOCK:
-            stack.append(_element(stack[-1], tag, match[3]))
+            opened.push(_element(stack[-1], tag, match[3]))
     flush()
     return found
 
 
-def _close(stack: list[Element], tags: set[str], stop: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in stop:
-            return
-
-
 def _element(parent: Element, tag: str, attributes: str) -> Element:
     article = parent.article or tag in ("article", "main")
     out = parent.out or tag in LEFT_OUT or tag == "header" and not parent.article
@@ -163,7 +191,7 @@ def _element(parent: Element, tag: str, attributes: str) -> Element:
         path = (*path, step)
         holder = path
     return Element(tag, path, min(parent.depth + 1, DEEPEST) if path is not parent.path else parent.depth,
-                   out, article, parent.link or tag == "a", holder)
+                   out, article, parent.link or tag == "a", holder, parent.mute or tag in MUTE)
 
 
 def best_paths(found: list) -> list[tuple[str, int, int]]:

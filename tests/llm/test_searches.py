@@ -122,6 +122,18 @@ def test_broken_and_deep_pages():
     assert best_paths(blocks("<article><p>" + "long text " * 20)) [0][0] == ">article"
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "select", "object", "canvas"])
+def test_elements_without_text_end(tag):
+    assert main_text(f"<article><p>one <{tag} width='1'/>two</p><p>three</p></article>", None) == "one two\n\nthree"
+    assert main_text(f"<article><p>one <{tag}><b>not</b></{tag}>two</p></article>", None) == "one two"
+    assert main_text(f"<article><p>one <{tag}>not</p><p>three</p></article>", None) == "one\n\nthree"
+
+
+def test_end_tag_after_many_open_ones():
+    assert main_text("<nav>" + "<b>x" * 500 + "</nav><article><p>the article</p></article>", None) == "the article"
+    assert main_text("<a><div>" + "<b>" * 50_000 + "</a>" * 50_000 + "text</div>", None) == "text"
+
+
 def _brute(rows, k):
     good = {}
     for i, v in rows:
