@@ -8,7 +8,8 @@ in Spark, hosts take the path with most votes, and each page is extracted again
 the elements on its host's path; a page that has none of them uses its own best.
 
 Headers, footers, menus, sidebars, forms, notices, adverts, reader comments, scripts and
-styles are left out wherever they stand. A null or empty page has an empty text. A row
+styles are left out wherever they stand. A word of a class, id or role says so only of an element that does not
+hold the page's article (see ``_decide``), and of none if nothing else is left. A null or empty page has an empty text. A row
 without url votes with the other rows without one. Repeated rows vote and are extracted each.
 """
 
@@ -60,15 +61,28 @@ _END_OF = {tag: re.compile(rf"(?i)</{tag}\b[^>]*>") for tag in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "path", "depth", "out", "article", "link", "holder", "mute")
+    __slots__ = ("tag", "path", "depth", "out", "article", "link", "holder", "mute", "mark")
 
-    def __init__(self, tag, path, depth, out, article, link, holder, mute=False):
+    def __init__(self, tag, path, depth, out, article, link, holder, mute=False, mark=None):
         self.tag, self.path, self.depth = tag, path, depth
         self.out = out  # in something left out
         self.article = article  # in an article or main element
         self.link = link
         self.holder = holder  # its path if it is a container, else that of the container around it
         self.mute = mute  # in an element whose text is left out
+        self.mark = mark  # the innermost element around it, or itself, that words mark as not the article
+
+
+class Mark:
+    """An element whose class, id or role says that it is not the article."""
+
+    __slots__ = ("around", "kind", "whole", "text", "holds", "out")
+
+    def __init__(self, around, kind, whole):
+        self.around = around  # the mark around it
+        self.kind = kind  # tag and classes
+        self.whole = whole  # one of the words stands alone and is no part of a longer name
+        self.text, self.holds, self.out = 0, False, True
 
 
 class Open:
@@ -112,6 +126,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
     found: list = []
     if not html:
         return found
+    marks: list[Mark] = []
+    articles: list[Element] = []  # articles and main elements
     root = Element("", (), 0, False, False, False, ("",))
     opened, parts, links = Open(root), [], 0
     stack = opened.stack
@@ -122,7 +138,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
         text = " ".join(unescape("".join(parts)).split())
         if text:
             at = state[0]
-            found.append((text, at.holder, at.out, min(links, len(text))))
+            found.append((text, at.holder, at.out, min(links, len(text)), at.mark))
         parts.clear()
         links = 0
 
@@ -165,15 +181,62 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], bool, int]]:
         if tag in ("html", "body") and any(x.tag == tag for x in stack[:4]):
             continue
         if not match[3].endswith("/") or tag in BLOCK:
-            opened.push(_element(stack[-1], tag, match[3]))
+            element = _element(stack[-1], tag, match[3])
+            opened.push(element)
+            if element.mark is not stack[-2].mark:
+                marks.append(element.mark)
+            if tag in ("article", "main") and not element.out:
+                articles.append(element)
     flush()
-    return found
+    _decide(found, marks, articles)
+    return [(text, holder, out or mark is not None and mark.out, links) for text, holder, out, links, mark in found]
+
+
+def _around(mark: Mark | None) -> Iterator[Mark]:
+    while mark is not None:
+        yield mark
+        mark = mark.around
+
+
+def _decide(found: list, marks: list[Mark], articles: list[Element]) -> None:
+    """Which marked elements, in page order, are left out.
+
+    Not those around the first article or main element, nor these themselves and articles of the same
+    classes; an article in an element that a whole word marks ("comments") counts if most of the text is there.
+    Without any, not those that hold more than half of the text, if the word is but a part of a name
+    ("has-sidebar"). When nothing would be left, none is left out.
+    """
+    total = 0
+    for text, _, out, _, mark in found:
+        if not out:
+            total += len(text)
+            if mark is not None:
+                mark.text += len(text)
+    for mark in reversed(marks):
+        if mark.around is not None:
+            mark.around.text += mark.text
+    anchors: dict[str, Element] = {}
+    for element in articles:
+        if element.tag == "main" or element.tag not in anchors and all(
+                not mark.whole or 2 * mark.text > total for mark in _around(element.mark)):
+            anchors.setdefault(element.tag, element)
+    for element in anchors.values():
+        mark = element.mark
+        while mark is not None and not mark.holds:
+            mark.holds, mark = True, mark.around
+    kinds = {mark.kind for mark in marks if mark.holds and mark.kind[0] == "article"}
+    for mark in marks:
+        own = not mark.holds and mark.kind not in kinds and (bool(anchors) or mark.whole or 2 * mark.text <= total)
+        mark.out = own or mark.around is not None and mark.around.out
+    if total and all(out or mark is not None and mark.out for _, _, out, _, mark in found):
+        for mark in marks:
+            mark.out = False
 
 
 def _element(parent: Element, tag: str, attributes: str) -> Element:
     article = parent.article or tag in ("article", "main")
     out = parent.out or tag in LEFT_OUT or tag == "header" and not parent.article
-    classes = ""
+    classes, marked, whole = "", False, False
     if attributes and tag in BLOCK or "hidden" in attributes or "none" in attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
@@ -181,8 +244,10 @@ def _element(parent: Element, tag: str, attributes: str) -> Element:
                 out = True
             elif name in ("class", "id", "role") and tag not in ("html", "body"):
                 words = {x.lower() for x in _WORDS.findall(value)}
-                if words & NOT_ARTICLE - (HEADER if parent.article else set()) or words & HEADER and not article:
-                    out = True
+                not_it = (NOT_ARTICLE - HEADER if parent.article else NOT_ARTICLE) | (set() if article else HEADER)
+                if words & not_it:
+                    marked = True
+                    whole = whole or not not_it.isdisjoint(value.lower().split())
                 if name == "class":
                     classes = "".join("." + re.sub(r"\d+", "N", x) for x in sorted(set(value.split()))[:8])
     path, holder = parent.path, parent.holder
@@ -191,7 +256,8 @@ def _element(parent: Element, tag: str, attributes: str) -> Element:
         path = (*path, step)
         holder = path
     return Element(tag, path, min(parent.depth + 1, DEEPEST) if path is not parent.path else parent.depth,
-                   out, article, parent.link or tag == "a", holder, parent.mute or tag in MUTE)
+                   out, article, parent.link or tag == "a", holder, parent.mute or tag in MUTE,
+                   Mark(parent.mark, (tag, classes), whole) if marked else parent.mark)
 
 
 def best_paths(found: list) -> list[tuple[str, int, int]]:

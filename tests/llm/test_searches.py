@@ -122,6 +122,23 @@ def test_broken_and_deep_pages():
     assert best_paths(blocks("<article><p>" + "long text " * 20)) [0][0] == ">article"
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='site-inner has-sidebar'><div class='content'>", "</div></div>"), ("<div class='content-sidebar-wrap'><article>", "</article></div>"),
+    ("<main class='no-sidebar'>", "</main>"), ("<article class='post comments-open'>", "</article>"), ("<div class='widget'><main>", "</main></div>"),
+    ("<div id='no-sidebar'><main class='has-header'><article class='post comments-open'>", "</article></main></div>")])
+def test_wrappers_named_after_what_they_lack(open_, close):
+    story = "The words of the story. " * 12
+    page = (f"<html><body><div class='menu'>home</div>{open_}<p>{story}</p><div class='ad'>buy</div>{close}"
+            "<div class='comments'><article class='comment'>first!</article></div><div class='sidebar'>other</div></body></html>")
+    assert main_text(page, None) == story.strip()
+    assert main_text(page, best_paths(blocks(page))[0][0]) == story.strip()
+
+
+def test_nothing_but_marked_elements():
+    assert main_text("<div class='widget'><p>All there is to read.</p></div>", None) == "All there is to read."
+    assert main_text("<div class='widget'><p>Not this one, though it is longer.</p></div><p>This.</p>", None) == "This."
+
+
 @pytest.mark.parametrize("tag", ["svg", "math", "select", "object", "canvas"])
 def test_elements_without_text_end(tag):
     assert main_text(f"<article><p>one <{tag} width='1'/>two</p><p>three</p></article>", None) == "one two\n\nthree"
