@@ -1,12 +1,16 @@
 """Batches of n rows or of limited time per link and time of day, on a stream.
 
-The open batch of each group is keyed state in Spark's state store. A micro-batch
-touches only the groups that it has rows of.
+Batches of n rows alone are numbered in Spark, which cuts hot groups: a micro-batch reads the open batches that
+the one before left, adds its rows to them by place, and writes what has ended and what is still open.
+
+With a time limit the open batch of each group is keyed state in Spark's state store. A micro-batch
+touches only the groups that it has rows of, and one task has all rows that it brings of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -14,9 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pastlane.model import SLOT_KEYS
 from pastlane.operators.cutting import BATCHES, EMPTY, STATE, _emitted, advance, as_frame, in_order
+from pastlane.operators.hot import with_position
 from pastlane.operators.joins import with_slot_keys
-from pastlane.operators.windows import BATCH_ROWS
-from pastlane.streaming.run import run_batches
+from pastlane.operators.windows import BATCH_ROWS, batch_averages, batch_number, batch_sums
+from pastlane.streaming.run import BatchFunction, batch_path, run_batches
 
 # Fixed value: the shortest time, in seconds, that an idle group is kept.
 MIN_IDLE_SECONDS = 20
@@ -71,9 +76,42 @@ def batches_of_stream(
     return rows.groupBy(*SLOT_KEYS).applyInPandasWithState(cut, BATCHES, STATE, "append", timeout)
 
 
+def _sums(rows: DataFrame) -> DataFrame:
+    """Sums by group and number of the batch."""
+    return batch_sums(rows, [*SLOT_KEYS, "number"])
+
+
+def batching(out: str, minutes: int, size: int, tie: list[str], ranges: int | None = None) -> BatchFunction:
+    """The step for one micro-batch: (sums, done) of the batches that it ends and of all that are open after it."""
+    own = [name for name in tie if name not in ("ts", "speed", "volume")]
+
+    def step(rows: DataFrame, batch_id: int) -> DataFrame:
+        keyed = with_slot_keys(rows, minutes).where("ts is not null").select(*SLOT_KEYS, "ts", "speed", "volume", *own)
+        schema = _sums(keyed.withColumn("number", F.lit(0).cast("long"))).withColumn("done", F.lit(True)).schema
+        before = rows.sparkSession.read.schema(schema).parquet(batch_path(out, batch_id - 1)).where(~F.col("done")).drop("done")
+        taken = before.select(*[F.col(key).alias(f"_{key}") for key in SLOT_KEYS], F.col("count_rec").alias("_taken"))
+        placed = with_position(keyed, SLOT_KEYS, tie=[name for name in tie if name != "ts"], ranges=ranges)
+        same = reduce(lambda a, b: a & b, [placed[key].eqNullSafe(taken[f"_{key}"]) for key in SLOT_KEYS])
+        place = F.col("position") + F.coalesce("_taken", F.lit(0))
+        new = _sums(placed.join(taken.hint("rebalance"), same, "left").withColumn("number", batch_number(place, size)))
+        totals = [name for name in new.columns if name not in (*SLOT_KEYS, "number", "first_ts")]
+        merged = new.unionByName(before.withColumn("number", F.lit(0).cast("long"))).groupBy(*SLOT_KEYS, "number").agg(
+            *[F.sum(name).alias(name) for name in totals], F.min("first_ts").alias("first_ts"))
+        return merged.select(*new.columns).withColumn("done", F.col("count_rec") == size)
+
+    return step
+
+
 def length_batch_stream(
-    readings: DataFrame, out: str, checkpoint: str, minutes: int, size: int = BATCH_ROWS, **options
+    readings: DataFrame, out: str, checkpoint: str, minutes: int, size: int = BATCH_ROWS,
+    tie: str | list[str] = "event_id", ranges: int | None = None, **options
 ) -> DataFrame:
     """Runs to the end of the input; gives the batches emitted on the way."""
+    if options.get("limit_seconds") is None and options.get("idle_seconds") is None:
+        step = batching(out, minutes, size, [tie] if isinstance(tie, str) else tie, ranges)
+        empty = with_slot_keys(readings.sparkSession.createDataFrame([], readings.schema), minutes)
+        schema = _sums(empty.withColumn("number", F.lit(0).cast("long"))).withColumn("done", F.lit(True)).schema
+        return batch_averages(run_batches(readings, out, checkpoint, schema, transform=step).where("done"))
+    options["tie"] = tie
     emitted = batches_of_stream(readings, minutes, size, **options)
     return run_batches(emitted, out, checkpoint, emitted.schema).drop("batch")

@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from frames import LINKS, READING, as_rows, as_set, at, plan_text, readings
 
+from pyspark.sql import functions as F
+
 from pastlane.model import LIVE_SCHEMA
 from pastlane.operators import averages, cutting, filters, joins, metrics, windows
 from pastlane.plans import pipelines
@@ -134,6 +136,24 @@ def test_batches_equal_static_batches(stream, rows, folders):
     assert want.count() > 100
 
 
+def test_a_hot_group_is_numbered_in_pieces(spark, tmp_path, folders):
+    """Most rows are of one group; none of the plan's Python gets them, and the open batch goes over micro-batches."""
+    path, data = str(tmp_path / "events"), []
+    for n in range(3):
+        part = [(1 if k % 10 else None, float(k), k, FIRST + timedelta(seconds=1000 * n + k // 2)) for k in range(100 + n)]
+        data += part
+        readings(spark, part).withColumn("event_id", F.col("event_id") + 1000 * n).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.read.schema(spark.createDataFrame([], READING).schema).parquet(path)
+    source = StreamSource(rows.schema, path)
+    want = windows.length_batch(rows, 1440)
+    got = batches.length_batch_stream(open_stream(spark, source, files_per_trigger=1), minutes=1440, ranges=8, **folders)
+    assert as_rows(got.select(*want.columns)) == as_rows(want)
+    assert want.count() == 45 + 5
+    step = batches.batching(folders["out"], 1440, 6, ["event_id"])(rows, 3)
+    plan = plan_text(step)
+    assert "Python" not in plan and "Pandas" not in plan and "_range" in plan
+
+
 @pytest.mark.parametrize("files", [1, 2, 3])
 def test_time_limit_does_not_see_micro_batches(spark, folder, rows, folders, files):
     source = StreamSource(spark.createDataFrame([], READING).schema, folder)
