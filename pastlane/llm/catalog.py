@@ -16,7 +16,11 @@ from pastlane.llm.jaccard import jaccard_components
 from pastlane.llm.languages import fit_languages, predict_language
 from pastlane.llm.licenses import licence_scan
 from pastlane.llm.maxent import maxent_scores
+from pastlane.llm.mixing import mix_sources
 from pastlane.llm.neighbours import nearest
+from pastlane.llm.oracle import PREFIX_TRIE, SPELLING_VARIANTS
+from pastlane.llm.prefixes import packed_turns, prefix_trie, rebuilt_turns
+from pastlane.llm.spellings import spelling_variants
 from pastlane.llm.toxicity import fit_toxicity, toxicity_score
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -119,6 +123,21 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), slip=97)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(rebuilt_turns(packed_turns(turns)))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_score": op2_lm_score,
@@ -130,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op9_neighbours": op9_neighbours,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLE: dict[str, str] = {
@@ -140,4 +162,6 @@ ORACLE: dict[str, str] = {
                CASE ((page_id % 97) + 97) % 97 WHEN 5 THEN 0 WHEN 7 THEN 2 * count(*) ELSE count(*) END AS n_replica
         FROM pages WHERE ((page_id % 97) + 97) % 97 IN (3, 5, 7) GROUP BY page_id
     """,
+    "op11_spelling_variants": SPELLING_VARIANTS,
+    "op12_prefix_trie": PREFIX_TRIE,
 }
