@@ -10,7 +10,7 @@ documents that are left of each length, and the sum nearest to the budget is tak
 with the smallest seeded tickets are taken, cut in Spark by pieces of the tickets, so that a length that most documents have is never in one task.
 
 * Nulls: a null text has no words; null sources are one source, the last one; rows without id count, and draw their tickets by text.
-* Empty texts have size 0 and take nothing. Empty tables give no rows. Very long texts are documents like others, never cut.
+* Empty texts have size 0, are in no knapsack and take no words. Empty tables give no rows. Very long texts are documents like others, never cut.
 * Ties: rows of equal id and text are the same to the mix; which of them is taken does not show. A rerun gives the same rows.
 * Only the named columns are read; others cannot clash.
 * One task holds one source's counts by length (its number of different lengths) and the window, never its documents.
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     piece = F.pmod(F.col("ticket"), F.lit(pieces))
     counts = written(sized.groupBy("source", "size", piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")), "counts")
     lengths = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    by_source = lengths.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("lengths"))
+    by_source = lengths.where("size > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("lengths"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     known = by_source.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source"))).select(
