@@ -23,6 +23,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have: ``name``, or that with lines after it."""
+    taken = {x.lower() for x in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame's rows from the shared folder: what follows does not repeat the work before."""
     folder = fresh_dir(frame.sparkSession, name)

@@ -8,17 +8,20 @@ survives is verified on the shingles themselves.
 
 The tree alone would hold every part of the corpus against every other. So its upper level is a
 partition in which two sets that link must meet: a set goes to the cells of its first
-shingles (a quarter of them and one) in an order that puts frequent shingles last. The trees
-are built in the cells, and cells with the same members are searched once. Before that, each set
-is held against one other of its cells, its leader, and the links found are made components; then
-only pairs of different components are looked for, so that a large group of near copies is not
-expanded into pairs. A cell with more members than a task should have is split into slices,
+shingles (a quarter of them and one) in an order that puts frequent shingles last. The least set of a cell is its
+leader; the cells of one leader make a unit, since near copies share most of them, and the trees are built in the units. Before that, each set
+is held against one leader, and the links found are made components; then only units of several components are
+searched, and only pairs of different ones are looked for. A search tells which members may link to any other, never which pairs. Their shingles are
+then brought to their units, verified there, and a unit gives links of different components only, fewer than it has members. So no
+table has more rows than sets have places in units. A unit with more shingles than a task should have is split into slices,
 and every two slices meet.
 
 Words are runs without white space, A-Z in lower case; a set has the different runs of five words,
 or the whole of a shorter text. A text without words (or null) has an empty set and no links.
 Equal sets are one class from the start. Sets are told apart by 64-bit hashes and
-verified on 48 bits of each shingle's. Rows without id take no part and have no component.
+verified on 48 bits of each shingle's. Rows without id take no part and have no component. Repeated rows and rows that
+share an id are rows of their own, each with its own set. An empty table gives no rows. A very long text is held whole by its task, with 6 bytes
+a shingle. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,14 +39,15 @@ from pastlane.llm.components import components, in_bitmap, marked, small_batches
 WORDS = 5
 SIMILARITY = (75, 100)
 # The order is made from one set in SAMPLED; it changes the work but not the result. A shingle
-# is frequent if FREQUENT of those have it; the most frequent FREQUENT_KEPT are remembered.
-# So a shingle that is not remembered as frequent is in few sets, and those can be gathered.
+# is frequent if FREQUENT of those have it, and no less than one in FREQUENT_SHARE of all their shingles is it, so
+# there are FREQUENT_SHARE of them at most, and a shingle that is not frequent has so small a share that its sets can be gathered.
 SAMPLED = 8
 FREQUENT = 8
-FREQUENT_KEPT = 1 << 17
-CELL = 64  # members of a cell that is searched whole
-SLICE = 256  # members of a slice of a larger cell
+FREQUENT_SHARE = 1 << 17
+SLICE = 1 << 19  # shingles of a slice of a unit
 LEAF = 16
+BITS = 1 << 25  # bytes of the shingles of a slice as a table of bits
+MARK_BITS = (16, 27)  # bits of a bitmap of ids, as powers of two: the bound of what is broadcast
 PER_GROUP = 4  # shingles of a set to a group, about
 REMEMBERED_SETS = 200_000
 PART = 20_000  # first shingles that are gathered at once, about
@@ -135,14 +139,11 @@ class RTree:
     def fold(self, groups: int) -> RTree:
         return RTree(folded(self.points, groups), self.sizes, self.components)
 
-    def pairs(self, other: RTree) -> Iterator[tuple[int, int]]:
-        """Rows (of self, of other) of different components that may link."""
+    def pairs(self, other: RTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (of self, of other) of different components that may link, block by block."""
         todo = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while todo:
             la, a, lb, b = todo.pop()
-            if la == lb == 0:
-                yield int(self.rows[a]), int(other.rows[b])
-                continue
             down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
             la, lb = la - down_a, lb - down_b
             x = slice(a * LEAF, (a + 1) * LEAF) if down_a else slice(a, a + 1)
@@ -157,38 +158,38 @@ class RTree:
             if ok.any():
                 overlap = np.minimum(np.minimum(ha[:, None, :], hb[None, :, :]).sum(axis=2), most)
                 ok &= enough(overlap, least_a, least_b)
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                todo.append((la, x.start + int(i), lb, y.start + int(j)))
+            i, j = np.nonzero(ok)
+            if la == lb == 0:
+                yield self.rows[x.start + i], other.rows[y.start + j]
+            else:
+                todo += [(la, x.start + int(p), lb, y.start + int(q)) for p, q in zip(i, j, strict=True)]
 
 
-def unit_pairs(members: list[dict]) -> set[tuple[int, int]]:
-    """Pairs of a unit's members (set, n, vector, component, side) that may link and do not yet.
+def unit_pairs(members: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of a unit's members (n, vector, component, side) that may link and do not yet, in blocks of pairs.
 
-    Members of side 0 meet each other; of sides 1 and 2, only those of the other.
+    Members of side 0 meet each other; of sides 1 and 2, only those of the other. A pair may come twice.
     """
-    trees: dict[tuple[int, int], tuple[RTree, list[int]]] = {}
-    kinds: dict[tuple[int, int], list[dict]] = {}
-    for x in members:
-        kinds.setdefault((x["side"], 2 * len(x["vector"])), []).append(x)
+    trees: dict[tuple[int, int], RTree] = {}
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for place, x in enumerate(members):
+        kinds.setdefault((x["side"], 2 * len(x["vector"])), []).append(place)
     for kind, own in kinds.items():
-        trees[kind] = (RTree(np.array([opened(x["vector"]) for x in own]), np.array([x["n"] for x in own]),
-                             np.array([x["component"] for x in own])), [x["set"] for x in own])
-    found = set()
-    for (side, groups), (tree, sets) in trees.items():
+        tree = RTree(np.array([opened(members[i]["vector"]) for i in own]), np.array([members[i]["n"] for i in own]),
+                     np.array([members[i]["component"] for i in own]))
+        tree.rows = np.array(own)[tree.rows]
+        trees[kind] = tree
+    for (side, groups), tree in trees.items():
         # Sizes of a link differ by a third at most, so the numbers of groups by a factor of two at most.
         for other_groups in (groups, 2 * groups, groups // 2):
             for other_side in ((0,) if side == 0 else (3 - side,)):
                 if (other_side, other_groups) not in trees or (other_side, other_groups) < (side, groups):
                     continue
-                other, other_sets = trees[other_side, other_groups]
+                other = trees[other_side, other_groups]
                 least = min(groups, other_groups)
                 left = tree if least == groups else _same_order(tree, least)
                 right = other if least == other_groups else _same_order(other, least)
-                for i, j in left.pairs(right):
-                    a, b = sets[i], other_sets[j]
-                    if a != b:
-                        found.add((min(a, b), max(a, b)))
-    return found
+                yield from left.pairs(right)
 
 
 def _same_order(tree: RTree, groups: int) -> RTree:
@@ -197,6 +198,43 @@ def _same_order(tree: RTree, groups: int) -> RTree:
     return made
 
 
+class Overlaps:
+    """How many shingles two of some sets share: by bits, or one pair after the other where the bits would be too many."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        width = -(-len(values) // 64) * 64
+        self.bits = None
+        if len(sets) * width // 8 <= BITS:
+            on = np.zeros((len(sets), width), bool)
+            on[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), code] = True
+            self.bits = np.packbits(on, axis=1).view(np.uint64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
+        return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+
+
+def unit_links(members: list[dict]) -> Iterator[tuple[int, int]]:
+    """Links between members (set, items, component, side) of different components, each of which makes them one."""
+    sets = [unpack(x["items"]) for x in members]
+    size = np.array([len(x) for x in sets])
+    known = [{"n": len(x), "vector": count_vector(x), "component": m["component"], "side": m["side"]} for x, m in zip(sets, members, strict=True)]
+    _, label = np.unique(np.array([m["component"] for m in members]), return_inverse=True)
+    overlap = Overlaps(sets)
+    for a, b in unit_pairs(known):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if len(a):
+            linked = enough(overlap(a, b), size[a], size[b])
+            for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+                if label[i] != label[j]:
+                    yield members[i]["set"], members[j]["set"]
+                    label[label == label[j]] = label[i]
+
+
 def set_number(shingles: np.ndarray) -> int:
     """What a set is told apart by: a hash of its shingles in any order."""
     size = np.uint64(len(shingles))
@@ -207,9 +245,9 @@ class Seen:
     """The sets that a task has met, so that copies are not sent twice; it forgets them when they are many."""
 
     def __init__(self):
-        self.numbers: set[int] = set()
+        self.numbers: set = set()
 
-    def first_time(self, number: int) -> bool:
+    def first_time(self, number: object) -> bool:
         if number in self.numbers:
             return False
         if len(self.numbers) >= REMEMBERED_SETS:
@@ -224,7 +262,7 @@ def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(id, n, set) of all rows, and the vector where a task meets a set for the first time."""
+    """(id, mark, n, set) of all rows, and the vector where a task meets a set for the first time."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -236,30 +274,34 @@ def _numbered(docs: DataFrame) -> DataFrame:
                 sets.append(own)
                 vectors.append(count_vector(shingles) if own is not None and seen.first_time(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(vectors, pa.binary())],
-                ["id", "n", "set", "vector"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(vectors, pa.binary())],
+                ["id", "mark", "n", "set", "vector"])
 
-    return docs.mapInArrow(number, "id long, n long, set long, vector binary")
+    return docs.select("id", "text", "mark").mapInArrow(number, "id long, mark long, n long, set long, vector binary")
 
 
-def _items(docs: DataFrame, wanted: bytes, ids: bytes) -> DataFrame:
-    """(set, items): the shingles of the sets that a bitmap has, read again from the rows that another has.
+def _items(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(set, items): the shingles of the sets of ``needed`` (set, least), read again from the row of least id that has each.
 
-    They are most of the data and few are needed, so they are not kept from an earlier pass.
+    They are most of the data and few are needed, so they are not kept from an earlier pass. Bitmaps of bounded size
+    tell tasks which rows and sets are surely not needed; what they let through is joined.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, ids))
+    low, high = MARK_BITS
+    bits = min(high, max(low, int(needed.count()).bit_length() + 4))
+    shared = docs.sparkSession.sparkContext.broadcast((marked(needed, "set", bits), marked(needed, "least", bits)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
             wanted, ids = shared.value
             batch = batch.filter(pa.array([in_bitmap(ids, x) for x in batch.column(0).to_pylist()], pa.bool_()))
-            found = [(own, pack(x)) for x in _sets_of(batch.column(1)) if len(x) and in_bitmap(wanted, own := set_number(x))
-                     and seen.first_time(own)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                              pa.array([x for _, x in found], pa.binary())], ["set", "items"])
+            found = [(key, own, pack(x)) for key, x in zip(batch.column(0).to_pylist(), _sets_of(batch.column(1)), strict=True)
+                     if len(x) and in_bitmap(wanted, own := set_number(x)) and seen.first_time((key, own))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.int64()),
+                                              pa.array([x for _, _, x in found], pa.binary())], ["least", "set", "items"])
 
-    return docs.select("id", "text").mapInArrow(read, "set long, items binary")
+    rows = docs.select("id", "text").mapInArrow(read, "least long, set long, items binary")
+    return rows.join(needed, ["set", "least"], "left_semi").select("set", "items").dropDuplicates(["set"])
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -272,14 +314,16 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64))], ["key"])
 
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
-    rows = sample.mapInArrow(each, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).collect()
+    counts = written(sample.mapInArrow(each, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") >= FREQUENT), "frequent")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / FREQUENT_SHARE
+    rows = counts.where(F.col("n") >= least).select("key").collect()
     return np.array([r.key for r in rows], np.int64).view(np.uint64)
 
 
 def _first_shingles(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """The first shingles of the sets: (part, keys, sets), packed by part of the keys, and (key, set) of frequent ones."""
-    hot = docs.sparkSession.sparkContext.broadcast(Lookup(mix(_frequent(docs))))  # FREQUENT_KEPT at most
+    hot = docs.sparkSession.sparkContext.broadcast(Lookup(mix(_frequent(docs))))  # FREQUENT_SHARE at most
 
     def first(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held, size, seen = [], 0, Seen()
@@ -352,20 +396,17 @@ def _cells(docs: DataFrame, shingles: int) -> DataFrame:
     return written(rare.unionByName(often), "cells")
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, rows_of: DataFrame, bound: bool) -> DataFrame:
-    """The pairs (a, b) that link. Shingles are read and shuffled only for sets of pairs that may."""
-    if bound:
-        @F.arrow_udf("boolean")
-        def may(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
-            return pa.array([may_link(*x) for x in zip(*(y.to_pylist() for y in (a, n, b, m)), strict=True)], pa.bool_())
+def _leader_links(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, rows_of: DataFrame) -> DataFrame:
+    """The pairs (a, b), one for each set a, that link. Shingles are read and shuffled only for sets of pairs that may."""
+    @F.arrow_udf("boolean")
+    def may(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([may_link(*x) for x in zip(*(y.to_pylist() for y in (a, n, b, m)), strict=True)], pa.bool_())
 
-        left = vectors.select(F.col("set").alias("a"), F.col("n").alias("n"), F.col("vector").alias("va"))
-        right = vectors.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("vector").alias("vb"))
-        pairs = written(pairs.join(left, "a").join(right, "b").where(may("va", "n", "vb", "m")).select("a", "b"), "pairs")
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-    # One row of each set is read, however many copies there are of it.
-    needed = rows_of.join(needed.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
-    items = written(_items(docs, marked(needed, "set"), marked(needed, "least")), "items")
+    left = vectors.select(F.col("set").alias("a"), F.col("n").alias("n"), F.col("vector").alias("va"))
+    right = vectors.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("vector").alias("vb"))
+    pairs = written(pairs.join(left, "a").join(right, "b").where(may("va", "n", "vb", "m")).select("a", "b"), "pairs")
+    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("set")).distinct()
+    items = written(_items(docs, written(rows_of.join(needed, "set"), "needed")), "items")
 
     @F.arrow_udf("boolean")
     def link(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -379,53 +420,73 @@ def _verified(pairs: DataFrame, vectors: DataFrame, docs: DataFrame, rows_of: Da
 
     whole = pairs.join(items.select(F.col("set").alias("a"), F.col("items").alias("ia")), "a").join(
         items.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
-    return whole.where(link("ia", "ib")).select("a", "b").distinct()
+    return whole.where(link("ia", "ib")).select("a", "b")
 
 
 def _units(cells: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
-    """(members): what is searched together; members of several components only."""
-    rows = cells.join(known, cells["set"] == known["node"], "left").select(
-        "cell", "set", "size", F.coalesce("component", "set").alias("component"))
-    spread = rows.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
-    rows = written(rows.join(spread, "cell"), "open-cells")
-    small = rows.where(F.col("size") <= CELL).select(F.col("cell").alias("unit"), "set", F.lit(0).alias("side"))
-
-    # A cell of s slices has a unit for each slice and for each two slices.
-    large = rows.where(F.col("size") > CELL).select("cell", "set", "size").withColumn(
-        "slices", F.ceil(F.col("size") / SLICE)).withColumn("slice", F.pmod(F.xxhash64("set"), F.col("slices")))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
-        F.xxhash64("cell", F.least("slice", "other"), F.greatest("slice", "other")).alias("unit"), "set",
-        F.when(F.col("slice") == F.col("other"), 0).when(F.col("slice") < F.col("other"), 1).otherwise(2).alias("side"))
-
-    component = known.select(F.col("node").alias("set"), "component")
-    members = small.unionByName(large).join(vectors, "set").join(component, "set", "left")
-    return members.groupBy("unit").agg(F.collect_list(F.struct(
-        "set", "n", "vector", F.coalesce("component", "set").alias("component"), "side")).alias("members"))
-
-
-def _searched(units: DataFrame) -> DataFrame:
+    """(unit, set, side, component): what is searched together; units of several components only."""
+    places = cells.select(F.col("leader").alias("unit"), "set").distinct().join(vectors.select("set", "n"), "set")
+    rows = written(places.join(known, places["set"] == known["node"], "left").select(
+        "unit", "set", "n", F.coalesce("component", "set").alias("component")), "units")
+    spread = rows.groupBy("unit").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n") / SLICE).alias("slices")).where("low <> high")
+    rows = rows.join(spread.select("unit", "slices"), "unit")
+    # A unit of s slices has a unit for each slice and for each two slices.
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("set"), F.col("slices"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    return written(rows.select(
+        F.xxhash64("unit", F.least("slice", "other"), F.greatest("slice", "other")).alias("unit"), "set",
+        F.when(F.col("slices") == 1, 0).when(F.col("slice") == F.col("other"), 0).when(F.col("slice") < F.col("other"), 1).otherwise(2).alias("side"),
+        "component"), "searched-units")
+
+
+def _searched(units: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(unit, set) of the members that may link to another of their unit."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int]] = set()  # near copies meet in many units: a pair is told once by a task
+        for batch in batches:
+            for unit, members in zip(batch.column(0), batch.column(1), strict=True):
+                members = members.as_py()
+                on = np.zeros(len(members), bool)
+                for a, b in unit_pairs(members):
+                    on[a] = on[b] = True
+                found = [members[i]["set"] for i in np.flatnonzero(on)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([unit.as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], ["unit", "set"])
+
+    whole = units.join(vectors, "set").groupBy("unit").agg(
+        F.collect_list(F.struct("set", "n", "vector", "component", "side")).alias("members"))
+    return whole.mapInArrow(search, "unit long, set long")
+
+
+def _unit_links(units: DataFrame, found: DataFrame, docs: DataFrame, rows_of: DataFrame) -> DataFrame:
+    """(a, b): links that make the components of each unit's members one."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column(0):
-                found = sorted(unit_pairs(members.as_py()) - told)
-                if len(told) > REMEMBERED_SETS:
-                    told.clear()
-                told.update(found)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                                  pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                links = list(unit_links(members.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()),
+                                                  pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    return units.select("members").mapInArrow(search, "a long, b long").distinct()
+    needed = written(rows_of.join(found.select("set").distinct(), "set"), "needed")
+    items = written(_items(docs, needed), "items")
+    whole = units.join(found, ["unit", "set"]).join(items, "set").groupBy("unit").agg(
+        F.collect_list(F.struct("set", "items", "component", "side")).alias("members"))
+    return whole.select("members").mapInArrow(verify, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, component): every row with the size of its set and the least id that links reach from it."""
+    """(id, mark, n, class, component): every row with the size of its set and the least id that links reach from it.
+
+    ``mark`` is a hash of the text, which tells rows apart that share an id; ``class`` is one number for all rows that links join.
+    """
     with small_batches(docs.sparkSession):
         return _components(docs, key, text)
 
 
 def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
     rows = written(_numbered(docs), "sets")
     docs = docs.where(F.col("id").isNotNull())
     vectors = written(rows.where(F.col("vector").isNotNull()).groupBy("set").agg(
@@ -438,16 +499,16 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     # One leader for each set: the one that it shares most cells with.
     led = cells.where("leader <> set").groupBy("set", "leader").agg(F.sum("weight").alias("n")).groupBy("set").agg(
         F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.col("set").alias("a"), F.col("leader").alias("b"))
-    links = written(_verified(led, vectors, docs, rows_of, bound=True), "links")
+    links = written(_leader_links(led, vectors, docs, rows_of), "links")
     known = components(links)
 
-    pairs = written(_searched(_units(cells, vectors, known)), "pairs")
-    more = _verified(pairs, vectors, docs, rows_of, bound=False)
+    units = _units(cells, vectors, known)
+    more = _unit_links(units, written(_searched(units, vectors), "found"), docs, rows_of)
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     of_set = rows_of.join(known, rows_of["set"] == known["node"], "left").select(
         "set", F.coalesce("component", "set").alias("class"), "least")
     least = of_set.groupBy("class").agg(F.min("least").alias("component"))
-    of_set = of_set.join(least, "class").select("set", "component")
-    return rows.select("id", "n", "set").join(of_set, "set", "left").select(
-        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    of_set = of_set.join(least, "class").select("set", "class", "component")
+    return rows.select("id", "mark", "n", "set").join(of_set, "set", "left").select(
+        "id", "mark", "n", "class", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

@@ -55,14 +55,34 @@ def made_rows():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("cell, part, leaf", [(64, 256, 16), (2, 3, 2)])
-def test_as_every_pair(spark, monkeypatch, cell, part, leaf):
-    for name, value in (("CELL", cell), ("SLICE", part), ("LEAF", leaf), ("FREQUENT", 2), ("SAMPLED", 2)):
+@pytest.mark.parametrize("part, leaf, bits", [(1 << 19, 16, 1 << 25), (60, 2, 0)])
+def test_as_every_pair(spark, monkeypatch, part, leaf, bits):
+    for name, value in (("SLICE", part), ("LEAF", leaf), ("BITS", bits), ("FREQUENT", 2), ("SAMPLED", 2)):
         monkeypatch.setattr(jaccard, name, value)
     rows = made_rows()
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_a_large_group_that_hardly_links(spark, monkeypatch):
+    """Copies of one text with so many edits that most of them do not link; no table is larger than their places in units."""
+    sizes = {}
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda frame, name: sizes.__setitem__(name, (made := written(frame, name)).count()) or made)
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(500):
+        text = list(base)
+        for _ in range(draw.choice([0, 1, 3, 3, 3, 4])):
+            text[draw.randrange(len(text))] = f"x{draw.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 500, 2)]
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert 1 < len({c for _, _, c in want}) < 400
+    assert sizes["found"] <= sizes["searched-units"] <= 500 * 30 and sizes["pairs"] <= 500
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert found(odd_docs) == brute(rows)
