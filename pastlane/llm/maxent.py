@@ -7,6 +7,7 @@ the words' contexts, so words of one language or use share a class. All other wo
 classes by their first letters, where a word has its smoothed relative frequency and one part is
 kept for unknown words; the probabilities of all tokens add up to one after any history.
 
+Texts are read once: the hashes of their tokens are written to the shared folder, and every pass reads them there.
 Counts are of all training rows: tasks count their own words, Spark adds them up, and the
 table of counts stays a table. Weights are learnt by gradient updates at every position of every training row
 in each round: each task goes on from the shared
@@ -15,7 +16,8 @@ size. Rows are scored in numpy batches with the weights of the features they hav
 remembered ones get their counts by a join.
 
 A null text is empty: it has the end token only. Repeated rows are scored each. Without training rows
-every word is unknown.
+every word is unknown; an empty table has no rows. Of words that are as frequent those of smaller hashes are remembered. One very
+long text is held whole by its task, with 9 bytes a token. Only the id, the text and what ``train`` looks at are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pastlane.llm.arrays import Lookup, Words, mix, slices
+from pastlane.llm.arrays import Lookup, Words, mix, slices, utf8
 from pastlane.llm.components import written
 
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 96, 32
@@ -39,7 +41,8 @@ REMEMBERED = 1 << 17
 ROWS = 1 << 13  # weight rows of each factor
 CONTEXTS = 64
 ROUNDS = 1  # each takes all positions
-BATCH = 2048
+BATCH = 4096
+PACKED_BYTES = 1 << 19  # of hashes that a task looks at together
 RATE = (0.12, 0.06)  # of the first round and of later ones
 FAN_IN = 64
 BLOCK = 256  # rows of a block of weights
@@ -55,22 +58,37 @@ SMOOTH = 0.1
 class Tokens:
     """The tokens of a slice of texts: hashes of words, an end after each text; rows and histories."""
 
-    def __init__(self, column: pa.Array):
-        words = Words(column)
-        hashes = words.hashes()
-        self.rows, self.n = words.rows, words.n + 1
+    def __init__(self, hash_: np.ndarray, letters: np.ndarray, n: np.ndarray):
+        self.hash, self.letters, self.n, self.rows = hash_, letters, n, len(n)
         ends = np.cumsum(self.n) - 1
-        self.hash = np.empty(int(self.n.sum()), np.uint64)
-        is_end = np.zeros(len(self.hash), bool)
-        is_end[ends] = True
-        self.hash[~is_end], self.hash[is_end] = hashes, END
+        self.doc = np.repeat(np.arange(self.rows), self.n)
+        self.place = np.arange(len(self.hash)) - np.repeat(ends - self.n + 1, self.n)
+
+    @classmethod
+    def of_texts(cls, column: pa.Array) -> Tokens:
+        words = Words(column)
+        n = words.n + 1
+        hash_ = np.empty(int(n.sum()), np.uint64)
+        is_end = np.zeros(len(hash_), bool)
+        is_end[np.cumsum(n) - 1] = True
+        hash_[~is_end], hash_[is_end] = words.hashes(), END
         # The class of a word that is not remembered: by its first two bytes.
         first = words.bytes[words.start].astype(np.int64)
         second = np.where(words.end - words.start > 1, words.bytes[np.minimum(words.start + 1, max(len(words.bytes) - 1, 0))], 0)
-        self.letters = np.zeros(len(self.hash), np.int64)
-        self.letters[~is_end] = (first * 31 + second * 17) % TAIL_CLASSES
-        self.doc = np.repeat(np.arange(self.rows), self.n)
-        self.place = np.arange(len(self.hash)) - np.repeat(ends - self.n + 1, self.n)
+        letters = np.zeros(len(hash_), np.int64)
+        letters[~is_end] = (first * 31 + second * 17) % TAIL_CLASSES
+        return cls(hash_, letters, n)
+
+    @classmethod
+    def unpacked(cls, hashes: pa.Array, letters: pa.Array) -> Tokens:
+        raw, at = utf8(hashes)
+        return cls(np.frombuffer(raw.tobytes(), np.uint64), utf8(letters)[0].astype(np.int64), np.diff(at) // 8)
+
+    def packed(self) -> list[pa.Array]:
+        """The hashes and the letters of each row as bytes."""
+        ends = np.r_[0, np.cumsum(self.n)]
+        return [pa.Array.from_buffers(pa.binary(), self.rows, [None, pa.py_buffer((ends * wide).astype(np.int32)), pa.py_buffer(data)])
+                for wide, data in ((8, self.hash.tobytes()), (1, self.letters.astype(np.uint8).tobytes()))]
 
     def before(self, at: np.ndarray, k: int) -> np.ndarray:
         """The token k back of each place; a fixed one before the beginning."""
@@ -133,8 +151,8 @@ class Model:
         """Natural log probability of each token, but for the count of words that are in tail classes."""
         total = np.zeros(len(tokens.hash))
         classes = self.classes(tokens, number)
-        for start in range(0, len(total), 8 * BATCH):
-            at = np.arange(start, min(start + 8 * BATCH, len(total)))
+        for start in range(0, len(total), 4 * BATCH):
+            at = np.arange(start, min(start + 4 * BATCH, len(total)))
             features, own = tokens.features(at), classes[at]
             found = _log_softmax(self.class_logits(_weight_rows(features)), own)
             head = np.flatnonzero(own < HEAD_CLASSES)
@@ -213,19 +231,40 @@ def _sums(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, times: np.nd
     return total
 
 
-def _token_counts(texts: DataFrame) -> DataFrame:
-    """(word, letters, c): the counts of all tokens, words as hashes."""
+def packed_tokens(docs: DataFrame) -> DataFrame:
+    """(id, trained, hashes, letters) of rows (id, trained, text), written once."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *Tokens.of_texts(part.column(2)).packed()], ["id", "trained", "hashes", "letters"])
+
+    kind = dict(docs.dtypes)["id"]
+    return written(docs.mapInArrow(pack, f"id {kind}, trained boolean, hashes binary, letters binary"), "tokens")
+
+
+def _token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Slices of packed rows with their tokens; the last two columns are the hashes and the letters."""
+    for batch in batches:
+        hashes = batch.column(batch.num_columns - 2)
+        for start, stop in slices(hashes, PACKED_BYTES):
+            part = batch.slice(start, stop - start)
+            yield part, Tokens.unpacked(part.column(batch.num_columns - 2), part.column(batch.num_columns - 1))
+
+
+def _token_counts(tokens: DataFrame) -> DataFrame:
+    """(word, letters, c): the counts of all tokens (hashes, letters), words as hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                tokens = Tokens(batch.column(0).slice(start, stop - start))
-                held.append((tokens.hash, tokens.letters))
-                size += len(tokens.hash)
-                if size >= COUNTED:
-                    yield summed(held)
-                    held, size = [], 0
+        for _, tokens in _token_slices(batches):
+            held.append((tokens.hash, tokens.letters))
+            size += len(tokens.hash)
+            if size >= COUNTED:
+                yield summed(held)
+                held, size = [], 0
         if held:
             yield summed(held)
 
@@ -235,7 +274,7 @@ def _token_counts(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(letters[first], pa.int32()), pa.array(n)],
                                           ["word", "letters", "c"])
 
-    return texts.mapInArrow(count, "word long, letters int, c long").groupBy("word").agg(
+    return tokens.mapInArrow(count, "word long, letters int, c long").groupBy("word").agg(
         F.first("letters").alias("letters"), F.sum("c").alias("c"))
 
 
@@ -261,7 +300,7 @@ def _classes_of(signature: np.ndarray) -> np.ndarray:
     return found
 
 
-def _start_model(texts: DataFrame, counts: DataFrame) -> Model:
+def _start_model(tokens: DataFrame, counts: DataFrame) -> Model:
     """The model of counts alone: classes, biases, and weights of 0."""
     top = counts.orderBy(F.desc("c"), "word").limit(REMEMBERED).toArrow()
     words, number = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
@@ -272,28 +311,26 @@ def _start_model(texts: DataFrame, counts: DataFrame) -> Model:
     model = Model(lookup, c, np.full(len(c), -1), np.zeros(len(c), np.int64), np.zeros(CLASSES, np.float32),
                   np.full((HEAD_CLASSES, CLASS_WORDS), -1e4, np.float32), np.zeros(TAIL_CLASSES),
                   np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASS_WORDS), np.float32))
-    shared = texts.sparkSession.sparkContext.broadcast((lookup, heads))
+    shared = tokens.sparkSession.sparkContext.broadcast((lookup, heads))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, heads = shared.value
         place = np.full(len(lookup.values) + 1, -1)
         place[heads] = np.arange(len(heads))
         total = np.zeros(len(heads) * CONTEXTS, np.int64)
-        for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                tokens = Tokens(batch.column(0).slice(start, stop - start))
-                at, which = lookup.find(tokens.hash)
-                head = place[which] >= 0
-                at, own = at[head], place[which[head]]
-                for k in (1, 2):
-                    context = (mix(tokens.before(at, k)) >> np.uint64(64 - CONTEXTS.bit_length() + 1)).astype(np.int64)
-                    total += np.bincount(own * CONTEXTS + context, minlength=len(total))
+        for _, tokens in _token_slices(batches):
+            at, which = lookup.find(tokens.hash)
+            head = place[which] >= 0
+            at, own = at[head], place[which[head]]
+            for k in (1, 2):
+                context = (mix(tokens.before(at, k)) >> np.uint64(64 - CONTEXTS.bit_length() + 1)).astype(np.int64)
+                total += np.bincount(own * CONTEXTS + context, minlength=len(total))
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(total[have])], ["cell", "n"])
 
     signature = np.zeros(len(heads) * CONTEXTS)
     if len(heads):
-        table = texts.mapInArrow(contexts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        table = tokens.mapInArrow(contexts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         signature[table["cell"].to_numpy()] = table["n"].to_numpy()  # head words x CONTEXTS
         model.of_class[heads] = _classes_of(signature.reshape(len(heads), CONTEXTS))
     mass = np.zeros(CLASSES)
@@ -303,7 +340,7 @@ def _start_model(texts: DataFrame, counts: DataFrame) -> Model:
         model.word_bias[k, :len(own)] = np.log(c[own] + SMOOTH)
         mass[k] = c[own].sum()
     inside = pa.table({"word": pa.array(lookup.values[heads].view(np.int64), pa.int64())})
-    spark = texts.sparkSession
+    spark = tokens.sparkSession
     heads_table = F.broadcast(spark.createDataFrame(inside))  # HEAD_CLASSES * CLASS_WORDS rows at most
     for row in counts.join(heads_table, "word", "left_anti").groupBy("letters").agg(
             F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # TAIL_CLASSES rows
@@ -315,20 +352,18 @@ def _start_model(texts: DataFrame, counts: DataFrame) -> Model:
     return model
 
 
-def _round(texts: DataFrame, model: Model, round_: int) -> None:
+def _round(tokens: DataFrame, model: Model, round_: int) -> None:
     """Gradient updates in every task, and the average of their weights into the model."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(shared.value, RATE[min(round_, len(RATE) - 1)])
-        for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                tokens = Tokens(batch.column(0).slice(start, stop - start))
-                number = shared.value.known(tokens)
-                classes = shared.value.classes(tokens, number)
-                places = np.random.default_rng(len(tokens.hash)).permutation(len(tokens.hash))
-                for begin in range(0, len(places), BATCH):
-                    learner.step(tokens, number, classes, places[begin:begin + BATCH])
+        for _, tokens in _token_slices(batches):
+            number = shared.value.known(tokens)
+            classes = shared.value.classes(tokens, number)
+            places = np.random.default_rng(len(tokens.hash)).permutation(len(tokens.hash))
+            for begin in range(0, len(places), BATCH):
+                learner.step(tokens, number, classes, places[begin:begin + BATCH])
         task = TaskContext.get().partitionId()
         for which in (0, 1):
             met, weights = learner.met[which], learner.weights[which]
@@ -339,14 +374,12 @@ def _round(texts: DataFrame, model: Model, round_: int) -> None:
                     yield _block(which * ROWS // BLOCK + block, task, met[part], sums)
 
     schema = "block int, task long, met binary, sums binary"
-    partial = texts.mapInArrow(learn, schema)
+    partial = tokens.mapInArrow(learn, schema)
     # Tasks' weights meet in groups of FAN_IN, and those again, until one is left of each block.
-    parts = texts.rdd.getNumPartitions()
     while True:
         partial = partial.withColumn("task", F.floor(F.col("task") / FAN_IN))
-        partial = partial.groupBy("block", "task").applyInArrow(_added, schema)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
+        partial = written(partial.groupBy("block", "task").applyInArrow(_added, schema), "weights")
+        if not partial.agg(F.max("task")).first()[0]:
             break
     for row in partial.collect():  # the model's own size
         which, block = divmod(row.block, ROWS // BLOCK)
@@ -375,45 +408,43 @@ def maxent_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str
     ``train`` says which rows the model learns from; rows where it is null are only scored.
     """
     docs = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("trained"), F.col(text).alias("text"))
-    texts = docs.where("trained").select("text")
-    counts = written(_token_counts(texts), "counts")
+    packed = packed_tokens(docs)
+    learnt = packed.where("trained").select("hashes", "letters")
+    counts = written(_token_counts(learnt), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, different = sums.n or 0, sums.v
-    model = _start_model(texts, counts)
+    model = _start_model(learnt, counts)
     if total:
         for round_ in range(ROUNDS):
-            _round(texts, model, round_)
+            _round(learnt, model, round_)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["row", "id", "trained", "n_tokens", "n_known", "base", "score", "words", "times"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, TaskContext.get().partitionId() << 40
         log_count = np.log(model.counts + SMOOTH)
-        for batch in batches:
-            for start, stop in slices(batch.column(2)):
-                part = batch.slice(start, stop - start)
-                tokens = Tokens(part.column(2))
-                number = model.known(tokens)
-                known = number >= 0
-                own_log = np.where(known, log_count[np.maximum(number, 0)], 0.0) if len(log_count) else np.zeros(len(number))
-                tail = model.classes(tokens, number) >= HEAD_CLASSES
-                score = model.score(tokens, number) + np.where(tail, own_log, 0.0)
-                add = lambda x: np.bincount(tokens.doc, x, minlength=tokens.rows)
-                # What is not remembered, with its number of times in the row.
-                at = np.flatnonzero(~known)
-                at = at[np.lexsort((tokens.hash[at], tokens.doc[at]))]
-                new = np.flatnonzero(np.r_[True, (np.diff(tokens.doc[at]) != 0) | (tokens.hash[at][1:] != tokens.hash[at][:-1])]) if len(at) else at
-                times = np.diff(np.r_[new, len(at)])
-                ends = pa.array(np.searchsorted(tokens.doc[at[new]], np.arange(tokens.rows + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(tokens.rows), pa.int64()), part.column(0), part.column(1), pa.array(tokens.n, pa.int64()),
-                    pa.array(add(known).astype(np.int64)), pa.array(add(own_log)), pa.array(add(score)),
-                    pa.ListArray.from_arrays(ends, pa.array(tokens.hash[at[new]].view(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))], names)
-                row += tokens.rows
+        for part, tokens in _token_slices(batches):
+            number = model.known(tokens)
+            known = number >= 0
+            own_log = np.where(known, log_count[np.maximum(number, 0)], 0.0) if len(log_count) else np.zeros(len(number))
+            tail = model.classes(tokens, number) >= HEAD_CLASSES
+            score = model.score(tokens, number) + np.where(tail, own_log, 0.0)
+            add = lambda x: np.bincount(tokens.doc, x, minlength=tokens.rows)
+            # What is not remembered, with its number of times in the row.
+            at = np.flatnonzero(~known)
+            at = at[np.lexsort((tokens.hash[at], tokens.doc[at]))]
+            new = np.flatnonzero(np.r_[True, (np.diff(tokens.doc[at]) != 0) | (tokens.hash[at][1:] != tokens.hash[at][:-1])]) if len(at) else at
+            times = np.diff(np.r_[new, len(at)])
+            ends = pa.array(np.searchsorted(tokens.doc[at[new]], np.arange(tokens.rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.arange(tokens.rows), pa.int64()), part.column(0), part.column(1), pa.array(tokens.n, pa.int64()),
+                pa.array(add(known).astype(np.int64)), pa.array(add(own_log)), pa.array(add(score)),
+                pa.ListArray.from_arrays(ends, pa.array(tokens.hash[at[new]].view(np.int64))),
+                pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))], names)
+            row += tokens.rows
 
     kind = dict(docs.dtypes)["id"]
-    rows = written(docs.mapInArrow(scored, f"row long, id {kind}, trained boolean, n_tokens long, n_known long, base double, "
+    rows = written(packed.mapInArrow(scored, f"row long, id {kind}, trained boolean, n_tokens long, n_known long, base double, "
                                            "score double, words array<long>, times array<int>"), "scores")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
     found = rare.join(counts.select(F.col("word").alias("words"), "c"), "words", "left").groupBy("row").agg(

@@ -104,23 +104,37 @@ def test_base_score_by_hand(corpus, odd_docs, monkeypatch, remembered):
         assert sum(r.score for r in apart) > sum(r.base_score for r in apart)
 
 
+def packed_of(texts):
+    rows = texts.select(F.lit(1).alias("id"), F.lit(True).alias("trained"), "text")
+    return maxent.packed_tokens(rows).select("hashes", "letters")
+
+
+def test_packed_tokens_are_the_tokens(odd_docs):
+    texts = odd_docs.select(F.monotonically_increasing_id().alias("id"), F.lit(True).alias("trained"), "text").toArrow()
+    made = maxent.Tokens.of_texts(texts["text"].combine_chunks())
+    back = maxent.Tokens.unpacked(*made.packed())
+    for name in ("hash", "letters", "n", "doc", "place"):
+        assert np.array_equal(getattr(made, name), getattr(back, name))
+
+
 def test_model_is_a_distribution(corpus):
     """After any history the probabilities of all known words and of unknown ones add up to one."""
     texts = corpus[0].select("text")
-    counts = maxent.written(maxent._token_counts(texts), "counts")
-    model = maxent._start_model(texts, counts)
-    maxent._round(texts, model, 0)
+    packed = packed_of(texts)
+    counts = maxent.written(maxent._token_counts(packed), "counts")
+    model = maxent._start_model(packed, counts)
+    maxent._round(packed, model, 0)
     assert np.abs(model.class_weights).max() > 0
     words = [w for w in {w for r in texts.collect() for w in tokens(r.text)} if w != "\0end"]
     for history in ("", "kola kolb kolc", "trabbz idiot"):
         total = 0.0
         for word in words:
-            part = maxent.Tokens(pa.array([f"{history} {word}"]))
+            part = maxent.Tokens.of_texts(pa.array([f"{history} {word}"]))
             number = model.known(part)
             logs = model.score(part, number)
             tail = model.classes(part, number)[-2] >= maxent.HEAD_CLASSES
             total += math.exp(logs[-2] + (math.log(model.counts[number[-2]] + 0.1) if tail else 0))
-        part = maxent.Tokens(pa.array([history]))
+        part = maxent.Tokens.of_texts(pa.array([history]))
         number = model.known(part)
         total += math.exp(model.score(part, number)[-1])  # the end
         for letters in range(maxent.TAIL_CLASSES):  # the unknown words of each tail class
@@ -132,10 +146,11 @@ def test_model_is_a_distribution(corpus):
 
 def test_every_position_gives_a_gradient(spark):
     texts = spark.createDataFrame([(" ".join(f"w{i}x{k}" for k in range(i % 5)),) for i in range(120)], "text string").coalesce(2)
-    model = maxent._start_model(texts, maxent.written(maxent._token_counts(texts), "counts"))
+    packed = packed_of(texts)
+    model = maxent._start_model(packed, maxent.written(maxent._token_counts(packed), "counts"))
     for round_ in range(maxent.ROUNDS):
-        maxent._round(texts, model, round_)
-    part = maxent.Tokens(pa.array([r.text for r in texts.collect()]))
+        maxent._round(packed, model, round_)
+    part = maxent.Tokens.of_texts(pa.array([r.text for r in texts.collect()]))
     rows = maxent._weight_rows(part.features(np.arange(len(part.hash))))
     assert (np.abs(model.class_weights[rows]).max(axis=2) > 0).all()
 
