@@ -6,6 +6,7 @@ megabyte of text, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7,
                   0xDB4F0B9175AE2165, 0xBBE0563303A4615F], dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+_C = ctypes.CDLL(None)
+if not hasattr(_C, "malloc_trim"):  # of glibc alone
+    _C = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +56,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield start, stop
         start = stop
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _C is not None:
+        _C.malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

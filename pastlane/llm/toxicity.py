@@ -11,7 +11,8 @@ trained on the posterior labels, from words, stems and the votes.
 
 A null or empty text has no words and no votes and gets the score of such a row. Repeated
 rows are scored each. Without labelled rows the mined lexicons are empty; without any row
-every score is low.
+every score is low. Of features that are as strong those of smaller hashes are kept. Long texts are gone through in
+slices, one text at least. Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pastlane.llm.arrays import Lookup, Words, byte_table, slices, utf8
 from pastlane.session import fresh_dir
@@ -297,6 +299,13 @@ def _by_draw(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
     return rows.where(unit < int((1 << 30) * most / total)).limit(2 * most)
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """A bounded sample, read again from the shared folder."""
+    folder = fresh_dir(rows.sparkSession, f"toxicity-{name}")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
                  toxic: str = "toxic") -> ToxicityModel:
     """A model of which rows of ``docs`` are toxic; learns from all that it is given."""
@@ -318,8 +327,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     for row in docs.select(vote(F.col("text"), voters).alias("votes")).groupBy("votes").agg(
             F.count(F.lit(1)).alias("n")).collect():  # 2 ** 13 rows at most
         patterns[row.votes] = [float(row.n), 0.0, 0.0]
-    for row in gold.select(vote(F.col("text"), voters).alias("votes"), "toxic").groupBy("votes", "toxic").agg(
-            F.count(F.lit(1)).alias("n")).collect():
+    gold = _kept(gold.select("text", vote(F.col("text"), voters).alias("votes"), "toxic"), "labelled")
+    for row in gold.groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect():
         known = patterns.setdefault(row.votes, [0.0, 0.0, 0.0])
         known[0] = max(0.0, known[0] - row.n)
         known[1 + (row.toxic == 0)] += row.n
@@ -351,11 +360,8 @@ def _fit_classifier(docs: DataFrame, gold: DataFrame, voters: Voters, model: Lab
     # The draw comes first, so that only rows that may be chosen are looked at again.
     drawn = docs.where(unit < max(clean, toxic)).withColumn("votes", vote(F.col("text"), voters)).join(
         table, "votes").where(unit < F.when(F.col("p") >= 0.5, toxic).otherwise(clean)).limit(2 * POSTERIOR_SAMPLE)
-    sample = drawn.select("text", "votes", "p").unionByName(
-        gold.select("text", vote(F.col("text"), voters).alias("votes"), F.col("toxic").cast("double").alias("p")))
-    folder = fresh_dir(spark, "toxicity-sample")
-    sample.write.parquet(folder)
-    sample = spark.read.parquet(folder)
+    sample = _kept(drawn.select("text", "votes", "p").unionByName(
+        gold.select("text", "votes", F.col("toxic").cast("double").alias("p"))), "sample")
 
     strong = _signed(sample, "p").where("all >= 3 and abs(z) > 2.5").orderBy(
         F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
@@ -376,22 +382,21 @@ def _fit_classifier(docs: DataFrame, gold: DataFrame, voters: Voters, model: Lab
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(index), pa.int32())),
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(value), pa.float64()))], ["index", "value"])
 
-    @F.udf(VectorUDT())
-    def sparse(words, votes):  # rows of the bounded sample only
-        on = [known + i for i in range(width) if votes >> i & 1]
-        return Vectors.sparse(size, [*words["index"], *on], [*words["value"], *[1.0] * len(on)])
-
-    rows_of = sample.select(sparse(counted("text"), "votes").alias("features"), "p")
+    # A vector as Spark stores one: written as plain columns, it is read as a vector, and no row goes through Python for it.
+    voted = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(
+        F.call_function("shiftright", F.col("votes"), i) % 2 == 1, i + known)), lambda i: i.isNotNull())
+    rows_of = sample.select(counted("text").alias("words"), voted.alias("voted"), "p").select(F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.concat("words.index", "voted").alias("indices"),
+        F.concat("words.value", F.transform("voted", lambda i: F.lit(1.0))).alias("values")).alias("features"), "p")
+    rows_of.write.parquet(folder := fresh_dir(spark, "toxicity-vectors"))
+    rows_of = spark.read.schema(StructType([StructField("features", VectorUDT()), StructField("p", DoubleType())])).parquet(folder)
     # Both labels of a row, each with its probability as weight.
     both = rows_of.select("features", F.lit(1.0).alias("label"), F.col("p").alias("weight")).unionByName(
         rows_of.select("features", F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))).where("weight > 1e-6")
-    both = both.persist()
     if both.select("label").distinct().count() < 2:
-        both.unpersist()
         return features, np.zeros(size), 4.0 if posterior @ rows > rows.sum() / 2 else -4.0
     fitted = LogisticRegression(weightCol="weight", regParam=0.001, elasticNetParam=0.5, maxIter=40,
                                 standardization=False, family="binomial").fit(both)
-    both.unpersist()
     return features, np.array(fitted.coefficients.toArray()), float(fitted.intercept)
 
 
