@@ -1,7 +1,7 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 6).
 
 The test items are a stated query set. They are taken in blocks of bounded size; each block
-is broadcast and held against all rows. Seeds are the word trigrams of the items. One pass
+is broadcast and held against all rows, in a pass of its own, so that no two blocks are in memory together. Seeds are the word trigrams of the items. One pass
 counts in how many rows of the corpus each seed stands. The rare ones join the items' passages:
 those in few rows, and in any case the rarest half of an item's, so that an item whose
 every seed is frequent (many copies make them so) still has seeds. Where
@@ -11,7 +11,9 @@ best local alignment reaches ``THRESHOLD`` of what the item reaches with itself.
 
 Words are runs of letters and digits in lower case. Null or empty texts and items
 without words are never matched; items below three words are matched whole. Repeated rows
-and repeated items are matched each. Whole texts are searched.
+and repeated items are matched each. Whole texts are searched, slice by slice, one text at least. An empty table of documents gives no rows, one of
+items no matches. Of alignments that are as good the first counts. Input columns keep their names and values: the matches go to a column of a free name,
+``into`` or that with lines after it.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pastlane.llm.arrays import Lookup, Words, byte_table, slices
+from pastlane.llm.components import free_name, written
 
 # Words of the items of a block: the bound of what is broadcast at once.
 BLOCK_WORDS = 1 << 19
@@ -182,18 +185,37 @@ def _rows_with_seed(docs: DataFrame, text: str, items: Items) -> tuple[dict[int,
 
     sums = docs.select(text).mapInArrow(count, "seed long, rows long").groupBy("seed").agg(F.sum("rows").alias("rows"))
     counts = {row.seed: row.rows for row in sums.collect()}
+    shared.destroy()
     return counts, counts.pop(None, 0)
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", into: str = "matches") -> DataFrame:
     """``docs`` with an array of the items that each text has a copy of, their scores and word spans."""
-    found: list[Column] = []
-    for ids, texts in _blocks(items, item_id, item_text):
-        block = Items(ids, texts)
-        block.keep_rare(*_rows_with_seed(docs, text, block))
-        found.append(_matches(docs, block)(F.col(text)))
-    return docs.withColumn(into, F.concat(*found) if len(found) > 1 else found[0])
+    into, blocks = free_name(docs, into), _blocks(items, item_id, item_text)
+    block, second = _rare(docs, text, *next(blocks)), next(blocks, None)
+    if second is None:
+        return docs.withColumn(into, _matches(docs, block)[0](F.col(text)))
+    # Several passes: rows get numbers, and each pass leaves the few that have matches.
+    row, names = free_name(docs, "row"), docs.columns
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found, texts = None, numbered.select(row, text)
+    while block is not None:
+        match, shared = _matches(docs, block)
+        own = written(texts.select(row, match(F.col(text)).alias("match")).where(F.size("match") > 0), "matches")
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+        block, second = None if second is None else _rare(docs, text, *second), next(blocks, None)
+    of_row = found.groupBy(F.col(row).alias("_of")).agg(F.array_sort(F.flatten(F.collect_list("match"))).alias(into))
+    joined = numbered.join(of_row, numbered[row] == of_row["_of"], "left")
+    return joined.select(*[numbered[f"`{name}`"] for name in names], F.coalesce(of_row[into], F.array().cast(HIT)).alias(into))
+
+
+def _rare(docs: DataFrame, text: str, ids: list, texts: list) -> Items:
+    """A block of items with the seeds that are rare in the corpus."""
+    block = Items(ids, texts)
+    block.keep_rare(*_rows_with_seed(docs, text, block))
+    return block
 
 
 def _matches(docs: DataFrame, block: Items):
@@ -204,4 +226,4 @@ def _matches(docs: DataFrame, block: Items):
         for column in batches:
             yield pa.array(list(shared.value.matches(column)), _HIT)
 
-    return match
+    return match, shared

@@ -9,8 +9,11 @@ the elements on its host's path; a page that has none of them uses its own best.
 
 Headers, footers, menus, sidebars, forms, notices, adverts, reader comments, scripts and
 styles are left out wherever they stand. A word of a class, id or role says so only of an element that does not
-hold the page's article (see ``_decide``), and of none if nothing else is left. A null or empty page has an empty text. A row
-without url votes with the other rows without one. Repeated rows vote and are extracted each.
+hold the page's article (see ``_decide``), and of none if nothing else is left; inside an article only a name that has nothing else
+to say ("share-buttons", not "share-price-table"). A null or empty page has an empty text, an empty table no rows. A row
+without url votes with the other rows without one. Repeated rows vote and are extracted each; of paths with as many votes the deepest,
+then the last by its letters, wins. Long pages are read from end to end. Input columns keep their names and values: the text goes to a
+column of a free name, ``into`` or that with lines after it.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastlane.llm.components import free_name
 from pastlane.session import fresh_dir
 
 # Tags by their role in HTML.
@@ -48,6 +52,11 @@ notice notices alert popup modal overlay newsletter subscribe subscription signu
 related recommended recommendations comment comments commentlist disqus replies respond widget toolbar pagination pager
 skip complementary contentinfo toc tags form search""".split())
 HEADER = {"header", "banner"}
+# Words beside them in names of the same things.
+BESIDE = set("""area bar block body box btn button buttons card center col column container content count feed float form frame group
+head heading holder icon icons inline inner item items label left link links list main meta module more new option options outer
+panel part popular post posts pull rail region right row section side site slot small sticky story stories tab text thread title
+top unit bottom view wrap wrapper zone""".split())
 
 DEEPEST = 48  # containers below this depth count as the one at it
 CANDIDATES = 5  # paths a page may vote for
@@ -233,6 +242,12 @@ def _decide(found: list, marks: list[Mark], articles: list[Element]) -> None:
             mark.out = False
 
 
+def _says_only(name: str, not_it: set[str]) -> bool:
+    """Whether a name has a word of what is not the article, and no other but such as stand beside them."""
+    words = set(_WORDS.findall(name))
+    return not words.isdisjoint(not_it) and words <= not_it | BESIDE
+
+
 def _element(parent: Element, tag: str, attributes: str) -> Element:
     article = parent.article or tag in ("article", "main")
     out = parent.out or tag in LEFT_OUT or tag == "header" and not parent.article
@@ -243,9 +258,12 @@ def _element(parent: Element, tag: str, attributes: str) -> Element:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 out = True
             elif name in ("class", "id", "role") and tag not in ("html", "body"):
-                words = {x.lower() for x in _WORDS.findall(value)}
                 not_it = (NOT_ARTICLE - HEADER if parent.article else NOT_ARTICLE) | (set() if article else HEADER)
-                if words & not_it:
+                if parent.article:
+                    marks = any(_says_only(token, not_it) for token in value.lower().split())
+                else:
+                    marks = not not_it.isdisjoint(x.lower() for x in _WORDS.findall(value))
+                if marks:
                     marked = True
                     whole = whole or not not_it.isdisjoint(value.lower().split())
                 if name == "class":
@@ -329,5 +347,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", in
     folder = fresh_dir(pages.sparkSession, "host-paths")
     host_paths(pages, url, html).select(F.col("host").alias("__host"), F.col("path").alias("__path")).write.parquet(folder)
     winners = pages.sparkSession.read.parquet(folder)
-    joined = pages.withColumn("__host", host_of(F.col(url))).join(winners, "__host", "left")
-    return joined.withColumn(into, page_text(F.col(html), F.col("__path"))).drop("__host", "__path")
+    kept = pages.select(F.struct(*[F.col(f"`{name}`") for name in pages.columns]).alias("page"), host_of(F.col(url)).alias("__host"))
+    joined = kept.join(winners, "__host", "left")
+    made = page_text(F.col("page")[html], F.col("__path")).alias(free_name(pages, into))
+    return joined.select("page.*", made)

@@ -150,7 +150,8 @@ def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang", key:
         return pa.table({"shard": pa.array([shard], pa.int32()), "rows": pa.array([len(train)], pa.int64()),
                          "weights": pa.array(value, pa.binary())})
 
-    learnt = [r for r in sample.groupBy("shard").applyInArrow(
+    # As many partitions as shards, which adaptive execution does not merge.
+    learnt = [r for r in sample.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(
         learn, "shard int, rows long, weights binary").collect() if r.weights]  # SHARDS rows of fixed size
     weights = np.zeros((BUCKETS, len(languages)))
     for row in learnt:

@@ -3,11 +3,14 @@
 A notice of L letters may have k = L // 8 errors (4 at most). Cut into k + 1 pieces, one
 of them must stand in the text unchanged, so one automaton over all pieces finds every
 place worth a look. The ``regex`` library's bounded-error matching then decides in a
-window of that place, counts the edits and gives the span.
+window of that place, counts the edits and gives the span. The word that names a licence (``NAMES``) is bounded apart: it
+has no error if it is short, and one at most else, so that one name is never read as another.
 
 Texts are compared as words: A-Z in lower case, words of letters, digits and all beyond
 ASCII, joined by one space. Null texts are empty; an empty text has no words, labels or
-spans. The whole text is searched, and repeated rows are searched each.
+spans, and an empty table no rows. The whole text is searched, in time that grows with its length, and repeated rows are searched each.
+Of places that overlap the one with the fewest errors stays, of equals the longest, then the first notice of the list. The scan
+looks at one column and gives one, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +40,12 @@ NOTICES = [
     ("dedicated to the public domain", "public-domain"),
     ("released under the mit license", "mit"),
     ("licensed under the mit license", "mit"),
+    ("licensed under the bsd license", "bsd"),
+    ("licensed under the isc license", "isc"),
+    ("licensed under the gpl license", "gpl"),
+    ("released under the isc license", "isc"),
+    ("released under the gpl license", "gpl"),
+    ("released under the apache license", "apache"),
     ("permission is hereby granted free of charge", "mit"),
     ("licensed under the apache license", "apache"),
     ("redistribution and use in source and binary forms", "bsd"),
@@ -48,6 +57,9 @@ NOTICES = [
     ("this is free and unencumbered software", "unlicense"),
     ("spdx license identifier", "spdx"),
 ]
+# The words that name a licence.
+NAMES = set("mit bsd isc gpl apache mozilla eclipse boost lesser affero".split())
+LETTERS_PER_NAME_EDIT = 5
 LETTERS_PER_EDIT = 8
 MOST_EDITS = 4
 
@@ -72,7 +84,9 @@ class Notices:
             edits = min(MOST_EDITS, len(notice) // LETTERS_PER_EDIT)
             # BESTMATCH: of all places in the window the one with the fewest edits.
             pattern = regex.compile(rf"(?b)\b(?:{regex.escape(notice)}){{e<={edits}}}\b")
-            self.notices.append((notice, label, edits, pattern))
+            names = [regex.compile(rf"(?:{name}){{e<=1}}" if len(name) >= LETTERS_PER_NAME_EDIT else rf"\b{name}\b")
+                     for name in notice.split() if name in NAMES]
+            self.notices.append((notice, label, edits, pattern, names))
             cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
             for start, stop in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(notice[start:stop], []).append((number, start, stop - start))
@@ -87,14 +101,15 @@ class Notices:
         found = []
         for end, uses in self.automaton.iter(words):
             for number, offset, size in uses:
-                notice, _, edits, pattern = self.notices[number]
+                notice, _, edits, pattern, names = self.notices[number]
                 start = end + 1 - size - offset
                 if start + edits < done.get(number, 0):
                     continue  # inside the place found last
                 window = max(0, start - edits, done.get(number, 0)), start + len(notice) + edits
                 match = pattern.search(words, window[0], min(len(words), window[1]))
-                if match:
-                    found.append((number, match.start(), match.end(), sum(match.fuzzy_counts)))
+                if match and all(name.search(match[0]) for name in names):
+                    first = match.start() + len(match[0]) - len(match[0].lstrip(" "))
+                    found.append((number, first, first + len(match[0].strip(" ")), sum(match.fuzzy_counts)))
                     done[number] = match.end()
         return _fewest_edits(found)
 
@@ -111,11 +126,6 @@ def _fewest_edits(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int
     return kept
 
 
-def _word(words: str, at: int) -> int:
-    """The number of the word at a place of the joined words."""
-    return words.count(" ", 0, at)
-
-
 def scan(text: str | None, notices: Notices) -> dict:
     parts = (text or "").encode().translate(_LOWER).split()
     words = b" ".join(parts).decode()
@@ -128,11 +138,12 @@ def scan(text: str | None, notices: Notices) -> dict:
             labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     ends = [padded.count(" ", 0, at) for at in (min(starts), max(starts))] if starts else [None, None]
-    spans = []
-    for number, start, end, edits in notices.spans(words):
-        notice, label, _, _ = notices.notices[number]
-        spans.append({"label": label, "notice": notice, "first_word": _word(words, start),
-                      "last_word": _word(words, end - 1), "edits": edits, "found": words[start:end]})
+    spans, at, before = [], 0, 0
+    for number, start, end, edits in notices.spans(words):  # in text order, so blanks are counted once
+        notice, label, *_ = notices.notices[number]
+        at, before = start, before + words.count(" ", at, start)
+        spans.append({"label": label, "notice": notice, "first_word": before,
+                      "last_word": before + words.count(" ", start, end - 1), "edits": edits, "found": words[start:end]})
     return {"n_words": len(parts), "n_base": len(starts), "first_word": ends[0], "last_word": ends[1],
             "base_labels": sorted(labels), "spans": spans}
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,54 @@ def test_misspelled_notices(notice, label):
     assert scan("licence terms are unknown here and all lights observed", made)["spans"] == []
 
 
+@pytest.mark.parametrize("name", ["mit", "bsd", "isc", "gpl"])
+def test_names_are_not_read_as_others(name):
+    made = Notices(NOTICES)
+    for verb in ("licensed", "released"):
+        spans = scan(f"this is {verb} under the {name} license", made)["spans"]
+        assert [(x["label"], x["edits"], x["first_word"], x["last_word"]) for x in spans] == [(name, 0, 2, 6)]
+        assert [x["label"] for x in scan(f"{verb} undr the {name} licence", made)["spans"]] == [name]
+        assert scan(f"{verb} under the xyz license", made)["spans"] == []
+    assert [x["label"] for x in scan("licensed under the apach license", made)["spans"]] == ["apache"]
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_spans_of_random_edits_by_brute_force():
+    """Every span is as far from its notice as it says, and words and places are those of the text."""
+    draw, made = random.Random(12), Notices(NOTICES)
+    for _ in range(60):
+        text = []
+        for _ in range(draw.randrange(1, 5)):
+            notice = list(draw.choice(NOTICES)[0])
+            for _ in range(draw.randrange(3)):
+                notice[draw.randrange(len(notice))] = draw.choice("aeixyz")
+            text += [draw.choice(["foo bar", "zz", "é 4"]), "".join(notice)]
+        found = scan(". ".join(text), made)
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", ". ".join(text))
+        for span in found["spans"]:
+            own = " ".join(words[span["first_word"]:span["last_word"] + 1])
+            assert own == span["found"] and _distance(own, span["notice"]) - 1 <= span["edits"] <= len(span["notice"]) // 8
+        ends = [(x["first_word"], x["last_word"]) for x in found["spans"]]
+        assert all(a[1] < b[0] or a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_many_notices_take_time_in_proportion(no_docs):
+    made = Notices(NOTICES)
+    text = "all rights reservd and " * 100_000
+    start = time.perf_counter()
+    assert len(scan(text, made)["spans"]) == 100_000
+    assert time.perf_counter() - start < 20
+    assert no_docs.select(licence_scan(F.col("text"))).count() == 0
+
+
 def test_two_places_and_the_nearer_of_two_notices():
     spans = scan("released under the mit license. all rights reservd and all right reserved", Notices(NOTICES))["spans"]
     assert [(x["label"], x["edits"]) for x in spans] == [("mit", 0), ("reserved", 1), ("reserved", 1)]
@@ -67,6 +116,32 @@ def test_alignment_as_the_table():
             assert abs(_smith_waterman(a, b[first:last + 1]) - score) < 1e-9
 
 
+def test_blocks_are_broadcast_one_after_the_other(spark, monkeypatch):
+    """Twenty blocks of items; a block's broadcast is gone before the next is made."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
+    alive, most, made = set(), [], []
+    broadcast = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        shared = broadcast(self, value)
+        if isinstance(value, decontaminate.Items):
+            alive.add(id(shared))
+            made.append(value)
+            most.append(len(alive))
+            destroy = shared.destroy
+            shared.destroy = lambda *args: (alive.discard(id(shared)), destroy(*args))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    draw = random.Random(3)
+    items = [(k, " ".join(f"w{draw.randrange(10**6)}" for _ in range(20))) for k in range(60)]
+    docs = [(k, f"before {items[k % 60][1]} and {items[(k + 7) % 60][1]} after", 1, k) for k in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, matches int, row int")
+    rows = contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, m.item_id) for r in rows for m in r.matches_} == {(k, j % 60) for k in range(100) for j in (k, k + 7)}
+    assert all(r.matches == 1 and r.row == r.doc_id for r in rows) and max(most) == 1 and len(made) >= 2 * 20
+
+
 @pytest.mark.parametrize("block_words", [1 << 19, 20])
 def test_copies_of_items(spark, odd_docs, no_docs, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
@@ -134,6 +209,25 @@ def test_wrappers_named_after_what_they_lack(open_, close):
     assert main_text(page, best_paths(blocks(page))[0][0]) == story.strip()
 
 
+@pytest.mark.parametrize("name", ["related-work", "share-price-table", "form-of-government", "search-algorithms-compared"])
+def test_parts_of_an_article_stay(name):
+    page = f"<html><body><article><p>one</p><section class='{name}'><p>two</p></section><p>three</p></article></body></html>"
+    assert main_text(page, None) == "one\n\ntwo\n\nthree"
+
+
+@pytest.mark.parametrize("name", ["related-posts", "share-buttons", "social", "comments-area", "ad-slot", "newsletter-signup box", "comment_list"])
+def test_what_is_not_the_article_goes_from_it(name):
+    page = f"<html><body><article><p>one</p><div class='{name}'><p>two</p></div><p>three</p></article></body></html>"
+    assert main_text(page, None) == "one\n\nthree"
+
+
+def test_input_columns_stay(spark):
+    row = (1, "http://a.org", "<p>text</p>", "h", "p", "m")
+    frame = spark.createDataFrame([row], "page_id long, url string, html string, __host string, __path string, main_text string")
+    made = extract_main_text(frame)
+    assert made.columns == [*frame.columns, "main_text_"] and tuple(made.first()) == (*row, "text")
+
+
 def test_nothing_but_marked_elements():
     assert main_text("<div class='widget'><p>All there is to read.</p></div>", None) == "All there is to read."
     assert main_text("<div class='widget'><p>Not this one, though it is longer.</p></div><p>This.</p>", None) == "This."
