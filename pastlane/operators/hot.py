@@ -2,7 +2,8 @@
 
 A sensor can send far more than the others. Averages are safe, since Spark
 aggregates before it shuffles; joins and row numbers bring all rows of a key to
-one task unless they are planned otherwise. There is one plan for every size.
+one task unless they are planned otherwise: groups that one task can hold are dealt whole,
+larger ones in as many pieces as their rows need.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows from which the borders of the ranges are taken, for each range; the most ranges.
-SAMPLE_PER_RANGE = 32
-MOST_RANGES = 256
+from pastlane.session import fresh_dir
+
+# A group with more rows is cut into pieces of about so many.
+PIECE_ROWS = 1 << 16
 
 
 def _require_same_types(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> None:
@@ -40,62 +42,61 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "i
     return rows.join(keyed.hint("rebalance"), keys, how)
 
 
-def _borders(rows: DataFrame, order: list[str], ranges: int) -> list[tuple]:
-    """Values of ``order`` that cut the rows into ranges of about one size.
-
-    They come from the rows with the smallest hashes: a sample of one size whatever
-    the input, and the same one each time.
-    """
-    known = rows.select(*order).dropna()
-    sample = known.orderBy(F.xxhash64(*order)).limit(SAMPLE_PER_RANGE * ranges)
-    values = sorted(tuple(row) for row in sample.collect())
-    picked = [values[len(values) * i // ranges] for i in range(1, ranges)] if values else []
-    return sorted(set(picked))
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
+    """Equal keys, nulls too; those of the right side have ``prefix`` before their names."""
+    return reduce(lambda a, b: a & b, [left[key].eqNullSafe(right[f"{prefix}{key}"]) for key in keys])
 
 
-def _not_before(rows: DataFrame, order: list[str], border: tuple) -> Column:
-    """Whether a row is at ``border`` or after it, by the columns of ``order`` in turn."""
-    found = F.lit(True)
-    for name, value in reversed(list(zip(order, border))):
-        at = F.lit(value).cast(rows.schema[name].dataType)
-        found = (F.col(name) > at) | ((F.col(name) == at) & found)
-    return found
+def in_pieces(
+    rows: DataFrame, keys: list[str], order: list[str], piece_rows: int = PIECE_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of at most ``piece_rows``, and those of larger groups, cut.
 
-
-def _range_of(rows: DataFrame, order: list[str], borders: list[tuple], low: int, high: int) -> Column:
-    """The number of borders that a row is not before: a search by halves. Nulls come first."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(
-        _not_before(rows, order, borders[middle]), _range_of(rows, order, borders, middle + 1, high)
-    ).otherwise(_range_of(rows, order, borders, low, middle))
+    The larger groups have the column ``_piece``: their rows are dealt by ranges of ``order``, as many as their number needs, and
+    written, so that a row's piece stays the same. A piece has about ``piece_rows`` rows of all groups together, also when
+    one group holds most rows or all rows have one time. Without keys all rows are one group.
+    """
+    spark = rows.sparkSession
+    if keys:
+        folder = fresh_dir(spark, "large-groups")
+        counts = rows.groupBy(*[F.col(key).alias(f"_large_{key}") for key in keys]).agg(F.count("*").alias("_n"))
+        counts.where(F.col("_n") > piece_rows).write.parquet(folder)
+        large = spark.read.schema(counts.schema).parquet(folder)
+        total = large.agg(F.sum("_n")).first()[0] or 0
+    else:
+        total = rows.count()
+    if total <= piece_rows:
+        return rows, None
+    whole, cut = rows.limit(0), rows
+    if keys:
+        same = same_keys(rows, large, keys, "_large_")
+        whole, cut = rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+    folder = fresh_dir(spark, "pieces")
+    dealt = cut.repartitionByRange(-(-total // piece_rows), *order).withColumn("_piece", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    return whole, spark.read.schema(dealt.schema).parquet(folder)
 
 
 def with_position(
-    rows: DataFrame, keys: list[str], ts: str = "ts", tie: str | list[str] = "event_id", ranges: int | None = None
+    rows: DataFrame, keys: list[str], ts: str = "ts", tie: str | list[str] = "event_id", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Adds ``position``: 0, 1, 2, ... within ``keys`` by (``ts``, ``tie``).
 
-    A plain row number sorts a whole group in one task. Here all groups are cut by
-    the same ranges of (``ts``, ``tie``), of which each has about as many rows as any
-    other: rows are numbered inside a range, and the numbers start after the
-    group's rows in the ranges before. No task gets more of a group than a range has,
-    also when the group holds most rows or all of them have one time.
+    Groups too large for one task are numbered piece by piece: the numbers of a piece start after the group's rows
+    in the pieces before. No task sorts more of a group than a piece has.
     """
     order = [ts, *([tie] if isinstance(tie, str) else tie)]
-    if ranges is None:
-        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    borders = _borders(rows, order, max(1, min(ranges, MOST_RANGES)))
-    cut = rows.withColumn("_range", _range_of(rows, order, borders, 0, len(borders)))
-    counts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *[F.col(key).alias(f"_at_{key}") for key in keys], F.col("_range").alias("_at_range"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    numbered = cut.withColumn("_number", F.row_number().over(inside))
-    same = [numbered[key].eqNullSafe(starts[f"_at_{key}"]) for key in keys]
-    joined = numbered.join(starts, reduce(lambda a, b: a & b, same, numbered["_range"] == starts["_at_range"]))
+    whole, cut = in_pieces(rows, keys, order, piece_rows)
+    number = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
+    numbered = whole.withColumn("position", number)
+    if cut is None:
+        return numbered
+    names = [*keys, "_piece"]
+    counts = cut.groupBy(*[F.col(name).alias(f"_at_{name}") for name in names]).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*[f"_at_{key}" for key in keys]).orderBy("_at__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    placed = cut.withColumn("_number", inside)
+    joined = placed.join(starts, same_keys(placed, starts, names, "_at_"))
     position = (F.col("_start") + F.col("_number") - 1).cast("long")
-    return joined.select(*rows.columns, position.alias("position"))
+    return numbered.unionByName(joined.select(*rows.columns, position.alias("position")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pastlane.functions.numeric import bucket_of
 from pastlane.functions.time import minute_of_day, ntz, slot_start
 from pastlane.model import SLOT_KEYS
-from pastlane.operators.hot import with_position
+from pastlane.operators.hot import PIECE_ROWS, with_position
 from pastlane.operators.joins import with_slot_keys
 
 # Rows of a full batch (one per archive day) and the percentage
@@ -71,7 +71,7 @@ def length_batch(
     size: int = BATCH_ROWS,
     partial: bool = False,
     tie: str | list[str] = "event_id",
-    ranges: int | None = None,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Averages of every ``size`` successive rows of a link and time of day.
 
@@ -79,18 +79,18 @@ def length_batch(
     limit does when no more rows come.
     """
     keyed = with_slot_keys(readings, minutes)
-    placed = with_position(keyed, SLOT_KEYS, tie=tie, ranges=ranges)
+    placed = with_position(keyed, SLOT_KEYS, tie=tie, piece_rows=piece_rows)
     batched = placed.withColumn("batch", batch_number(F.col("position"), size))
     sums = batch_sums(batched, [*SLOT_KEYS, "batch"])
     return batch_averages(sums if partial else sums.where(F.col("count_rec") == size))
 
 
 def every_nth(
-    readings: DataFrame, n: int, buckets: int, tie: str | list[str] = "event_id", ranges: int | None = None
+    readings: DataFrame, n: int, buckets: int, tie: str | list[str] = "event_id", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Rows n, 2n, 3n, ... of each bucket of links."""
     bucketed = readings.withColumn("bucket", bucket_of("link_id", buckets).cast("int"))
-    placed = with_position(bucketed, ["bucket"], tie=tie, ranges=ranges)
+    placed = with_position(bucketed, ["bucket"], tie=tie, piece_rows=piece_rows)
     ordinal = F.col("position") + 1
     return placed.withColumn("ordinal", ordinal).where(ordinal % n == 0).drop("position")
 

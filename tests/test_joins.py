@@ -114,26 +114,27 @@ def test_only_lookups_are_joined(spark, skewed):
         hot.keyed_join(skewed, skewed, ["link_id"], "full")
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 50])
-def test_positions_equal_plain_row_numbers(spark, skewed, ranges):
+@pytest.mark.parametrize("piece_rows", [1, 20, 500, 100_000])
+def test_positions_equal_plain_row_numbers(spark, skewed, piece_rows):
     odd = readings(spark, [(None, 1.0, 1, LIVE), (None, 2.0, 1, FIRST), (1, 3.0, 1, None), (1, 4.0, 1, FIRST)])
     rows = skewed.unionByName(odd.withColumn("event_id", F.col("event_id") + 10_000))
     for keys in (["link_id"], ["link_id", "volume"]):
         order = Window.partitionBy(*keys).orderBy("ts", "event_id")
         plain = rows.withColumn("position", F.row_number().over(order).cast("long") - 1)
-        assert as_rows(hot.with_position(rows, keys, ranges=ranges)) == as_rows(plain)
+        assert as_rows(hot.with_position(rows, keys, piece_rows=piece_rows)) == as_rows(plain)
 
 
-def test_no_cell_of_a_hot_group_is_large(spark):
+def test_no_piece_of_a_hot_group_is_large(spark):
     """One key has a third of two million rows, and half of those have one time."""
     n = 2_000_000
     rows = spark.range(n).select(
         F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000).alias("link_id"),
         F.timestamp_seconds(F.when(F.col("id") % 6 == 0, 5000).otherwise(F.col("id") % 86_400)).cast("timestamp_ntz").alias("ts"))
-    borders = hot._borders(rows, ["ts", "event_id"], 16)
-    cells = rows.groupBy("link_id", hot._range_of(rows, ["ts", "event_id"], borders, 0, len(borders))).count()
-    assert cells.agg(F.max("count")).first()[0] < n / 8
-    placed = hot.with_position(rows, ["link_id"], ranges=16).groupBy("link_id").agg(
+    whole, cut = hot.in_pieces(rows, ["link_id"], ["ts", "event_id"])
+    assert whole.groupBy("link_id").count().agg(F.max("count")).first()[0] <= hot.PIECE_ROWS
+    pieces = cut.groupBy("link_id", "_piece").count()
+    assert pieces.agg(F.max("count")).first()[0] < 2 * hot.PIECE_ROWS and pieces.count() >= n / 3 / hot.PIECE_ROWS
+    placed = hot.with_position(rows, ["link_id"]).groupBy("link_id").agg(
         F.max("position").alias("last"), F.count("*").alias("n"), F.count_distinct("position").alias("different"))
     assert placed.where("last <> n - 1 or n <> different").count() == 0
 

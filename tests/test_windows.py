@@ -22,19 +22,19 @@ def clock(spark, text):
     return spark.createDataFrame([(at(text),)], "clock timestamp_ntz")
 
 
-@pytest.mark.parametrize("ranges", [1, 5])
-def test_seven_rows_make_a_full_and_a_partial_batch(spark, ranges):
+@pytest.mark.parametrize("piece_rows", [100, 2])
+def test_seven_rows_make_a_full_and_a_partial_batch(spark, piece_rows):
     rows = readings(spark, [(1, float(n), n, FIRST + timedelta(days=n)) for n in range(7)])
-    full = windows.length_batch(rows, 5, ranges=ranges)
+    full = windows.length_batch(rows, 5, piece_rows=piece_rows)
     assert as_set(full, "count_rec", "avg_speed", "avg_volume") == {(6, 2.5, 2.5)}
-    every = windows.length_batch(rows, 5, partial=True, ranges=ranges)
+    every = windows.length_batch(rows, 5, partial=True, piece_rows=piece_rows)
     assert as_set(every, "count_rec", "avg_speed") == {(6, 2.5), (1, 6.0)}
 
 
 def test_batches_hold_every_row_once(spark):
     rows = readings(spark, [(n % 5, float(n), n, FIRST + timedelta(minutes=7 * n)) for n in range(1000)])
-    for ranges in (1, 40):
-        batches = windows.length_batch(rows, 60, partial=True, ranges=ranges)
+    for piece_rows in (1000, 3):
+        batches = windows.length_batch(rows, 60, partial=True, piece_rows=piece_rows)
         assert batches.agg(F.sum("count_rec")).collect()[0][0] == 1000
         assert batches.agg(F.max("count_rec")).collect()[0][0] == 6
 
@@ -91,10 +91,10 @@ def test_expiry_over_midnight_needs_the_date(spark):
     }
 
 
-@pytest.mark.parametrize("ranges", [1, 10])
-def test_every_nth_row_of_a_bucket(spark, ranges):
+@pytest.mark.parametrize("piece_rows", [100, 7])
+def test_every_nth_row_of_a_bucket(spark, piece_rows):
     rows = readings(spark, [(n % 4, float(n), n, FIRST + timedelta(seconds=n)) for n in range(100)])
-    picked = windows.every_nth(rows, 10, 2, ranges=ranges)
+    picked = windows.every_nth(rows, 10, 2, piece_rows=piece_rows)
     assert as_set(picked, "bucket", "ordinal", "event_id") == {
         (b, n, 2 * (n - 1) + b) for b in (0, 1) for n in (10, 20, 30, 40, 50)
     }
