@@ -26,14 +26,19 @@ def find_stream(registry: dict[str, StreamSource], name: str) -> StreamSource:
     return by_name[name.lower()]
 
 
-def open_stream(spark: SparkSession, source: StreamSource, files_per_trigger: int = 1000) -> DataFrame:
-    """Files that appear under the path, at most ``files_per_trigger`` per micro-batch."""
-    return (
-        spark.readStream.format(source.format)
-        .schema(source.schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(source.path)
-    )
+# What a micro-batch may read. Operators with keyed state hold a group's rows of one micro-batch in a task.
+BYTES_PER_TRIGGER = 256 << 20
+
+
+def open_stream(
+    spark: SparkSession, source: StreamSource, files_per_trigger: int | None = None, bytes_per_trigger: int = BYTES_PER_TRIGGER
+) -> DataFrame:
+    """Files that appear under the path: as many per micro-batch as ``bytes_per_trigger`` allows, or ``files_per_trigger``.
+
+    One file is read as a whole.
+    """
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if files_per_trigger is None else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.format(source.format).schema(source.schema).option(*limit).load(source.path)
 
 
 def open_kafka(spark: SparkSession, servers: str, topic: str, rows_per_trigger: int) -> DataFrame:

@@ -5,20 +5,22 @@ repeated after a failure therefore leaves its rows once.
 
 A running total needs no state in the stream: each micro-batch leaves its own
 partial results, and a reader merges them. So late rows are counted like all others,
-and nothing is kept for groups that have ended. Every ``COMPACT_EVERY``-th batch merges
-what has come since the last such batch, and it, with its own rows; readers begin there.
+and nothing is kept for groups that have ended. Every ``COMPACT_EVERY``-th batch merges the
+results of the batches since the last such one with its own, every ``COMPACT_EVERY`` ** 2-th those that have been merged once, and
+so on: only results of like size are merged, and a row is written again as often as there are levels. What
+has been merged is deleted when the batch after that has begun, as a batch may be repeated until then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 BATCH_FIELD = StructField("batch", LongType())
-COMPACT_EVERY = 32
+COMPACT_EVERY = 16
 
 BatchFunction = Callable[[DataFrame, int], DataFrame]
 MergeFunction = Callable[[DataFrame], DataFrame]
@@ -87,8 +89,39 @@ def run_batches(
     return read_batches(stream.sparkSession, out, schema)
 
 
-def _compacts(batch_id: int, every: int) -> bool:
-    return batch_id % every == every - 1
+def folders_below(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a path, in any file system that Spark reaches; none if the path is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [status.getPath().toString() for status in files.listStatus(folder) if status.isDirectory()]
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes folders with what is in them; gives the number that were there."""
+    gone = 0
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
+def _span(batch_id: int, every: int) -> int:
+    """How many micro-batches the folder of one covers: the largest power of ``every`` that divides its number from 1."""
+    span = 1
+    while every > 1 and (batch_id + 1) % (span * every) == 0:
+        span *= every
+    return span
+
+
+def covering(last: int, every: int) -> list[int]:
+    """The batches whose folders cover all micro-batches up to ``last``, each once."""
+    found = []
+    while last >= 0:
+        found.append(last)
+        last -= _span(last, every)
+    return found
 
 
 def start_totals(
@@ -104,13 +137,14 @@ def start_totals(
     """Writes ``partial(batch)`` of every micro-batch; ``merge`` adds partial results up."""
 
     def transform(rows: DataFrame, batch_id: int) -> DataFrame:
-        own = partial(rows).select(*schema.names)
-        if not _compacts(batch_id, compact_every):
+        own, spark = partial(rows).select(*schema.names), rows.sparkSession
+        merged = range(batch_id - _span(batch_id - 1, compact_every), batch_id - 1) if batch_id else []
+        delete_folders(spark, [batch_path(out, old) for old in merged])
+        first = batch_id + 1 - _span(batch_id, compact_every)
+        parts = [batch_path(out, part) for part in covering(batch_id - 1, compact_every) if part >= first]
+        if not parts:
             return own
-        before = read_batches(rows.sparkSession, out, schema).where(
-            F.col("batch").between(batch_id - compact_every, batch_id - 1)
-        )
-        return merge(before.drop("batch").unionByName(own)).select(*schema.names)
+        return merge(spark.read.schema(schema).parquet(*parts).unionByName(own)).select(*schema.names)
 
     return start_batches(stream, out, checkpoint, transform, schema, once)
 
@@ -119,10 +153,9 @@ def read_totals(
     spark: SparkSession, out: str, schema: StructType, merge: MergeFunction, compact_every: int = COMPACT_EVERY
 ) -> DataFrame:
     """The totals of all micro-batches up to now."""
-    rows = read_batches(spark, out, schema)
-    last = rows.agg(F.max("batch")).first()[0]
-    first = ((-1 if last is None else last) + 1) // compact_every * compact_every - 1
-    return merge(rows.where(F.col("batch") >= first).drop("batch"))
+    last = max((int(path.rsplit("batch=", 1)[1]) for path in folders_below(spark, out)), default=-1)
+    parts = [batch_path(out, part) for part in covering(last, compact_every)] or [batch_path(out, -1)]
+    return merge(spark.read.schema(schema).parquet(*parts))
 
 
 def run_totals(

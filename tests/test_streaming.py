@@ -12,7 +12,7 @@ from pastlane.operators import averages, cutting, filters, joins, metrics, windo
 from pastlane.plans import pipelines
 from pastlane.sources.live import StreamSource, find_stream, live_from_json, open_stream
 from pastlane.streaming import length_batch as batches, queries as streams
-from pastlane.streaming.run import read_batches, start_batches
+from pastlane.streaming.run import _span, covering, read_batches, start_batches
 
 FIRST = datetime(2011, 4, 11)
 WKT = "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))"
@@ -136,8 +136,8 @@ def test_batches_equal_static_batches(stream, rows, folders):
     assert want.count() > 100
 
 
-def test_a_hot_group_is_numbered_in_pieces(spark, tmp_path, folders):
-    """Most rows are of one group; none of the plan's Python gets them, and the open batch goes over micro-batches."""
+def test_a_hot_group_over_micro_batches(spark, tmp_path, folders):
+    """Most rows are of one group; the open batch goes over micro-batches as the value of its key."""
     path, data = str(tmp_path / "events"), []
     for n in range(3):
         part = [(1 if k % 10 else None, float(k), k, FIRST + timedelta(seconds=1000 * n + k // 2)) for k in range(100 + n)]
@@ -146,12 +146,63 @@ def test_a_hot_group_is_numbered_in_pieces(spark, tmp_path, folders):
     rows = spark.read.schema(spark.createDataFrame([], READING).schema).parquet(path)
     source = StreamSource(rows.schema, path)
     want = windows.length_batch(rows, 1440)
-    got = batches.length_batch_stream(open_stream(spark, source, files_per_trigger=1), minutes=1440, ranges=8, **folders)
+    got = batches.length_batch_stream(open_stream(spark, source, files_per_trigger=1), minutes=1440, **folders)
     assert as_rows(got.select(*want.columns)) == as_rows(want)
     assert want.count() == 45 + 5
-    step = batches.batching(folders["out"], 1440, 6, ["event_id"])(rows, 3)
-    plan = plan_text(step)
-    assert "Python" not in plan and "Pandas" not in plan and "_range" in plan
+
+
+def progress_of(emitted, folders):
+    """The micro-batches of a run, with what the state store says of each."""
+    query = start_batches(emitted, **folders)
+    query.awaitTermination()
+    return [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+
+
+def test_only_changed_groups_are_written(spark, tmp_path, folders):
+    """Of forty open groups a later micro-batch touches three."""
+    path = str(tmp_path / "events")
+    parts = [[(n, 1.0, 1, FIRST) for n in range(40)], [(n, 2.0, 2, FIRST + timedelta(seconds=1)) for n in range(3)]]
+    for part in parts:
+        readings(spark, part).coalesce(1).write.mode("append").parquet(path)
+    source = StreamSource(spark.createDataFrame([], READING).schema, path)
+    states = progress_of(batches.batches_of_stream(open_stream(spark, source, files_per_trigger=1), 1440), folders)
+    assert [(s.numRowsUpdated, s.numRowsTotal) for s in states] == [(40, 40), (3, 40)]
+
+
+def test_state_of_idle_groups_is_removed(spark, tmp_path, folders):
+    path = str(tmp_path / "events")
+    parts = [[(n, 1.0, 1, FIRST) for n in range(40)], [(99, 2.0, 2, FIRST + timedelta(hours=1))], [(99, 2.0, 2, FIRST + timedelta(hours=1))]]
+    for part in parts:
+        readings(spark, part).coalesce(1).write.mode("append").parquet(path)
+    source = StreamSource(spark.createDataFrame([], READING).schema, path)
+    stream = open_stream(spark, source, files_per_trigger=1)
+    states = progress_of(batches.batches_of_stream(stream, 1440, idle_seconds=600, lateness="1 minute"), folders)
+    assert sum(s.numRowsRemoved for s in states) >= 40 and states[-1].numRowsTotal < 10
+    left = read_batches(spark, folders["out"], batches.batches_of_stream(stream, 1440).schema)
+    assert left.count() == 40
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_idle_gaps_do_not_see_micro_batches(spark, folder, rows, folders, files):
+    source = StreamSource(spark.createDataFrame([], READING).schema, folder)
+    stream = open_stream(spark, source, files_per_trigger=files)
+    got = batches.length_batch_stream(stream, minutes=360, idle_seconds=5400, limit_seconds=20_000, lateness="1 day", **folders)
+    found = sorted((str(r.link_id), r.hrs, r.first_ts, r.count_rec) for r in got.collect())
+    want = []
+    groups = {}
+    for r in rows.where("ts is not null").orderBy("ts", "event_id").collect():
+        groups.setdefault((str(r.link_id), r.ts.hour // 6 * 6), []).append(r.ts)
+    end = max(t for times in groups.values() for t in times) - timedelta(days=1)
+    for (link, hrs), times in groups.items():
+        batch = []
+        for at in [*times, None]:
+            ends = batch and (len(batch) == 6 or at is not None and (at - batch[-1] >= timedelta(seconds=5400) or at - batch[0] >= timedelta(seconds=20_000)))
+            passed = batch and at is None and (batch[-1] + timedelta(seconds=5400) <= end or batch[0] + timedelta(seconds=20_000) <= end)
+            if ends or passed:
+                want.append((link, hrs, batch[0], len(batch)))
+                batch = []
+            batch.append(at)
+    assert found == sorted(want) and {n for *_, n in want} >= {1, 6}
 
 
 @pytest.mark.parametrize("files", [1, 2, 3])
@@ -172,7 +223,7 @@ def test_idle_groups_are_put_out_and_forgotten(spark, tmp_path, folders):
     source = StreamSource(spark.createDataFrame([], READING).schema, path)
     got = batches.length_batch_stream(
         open_stream(spark, source, files_per_trigger=1), minutes=1440, idle_seconds=600, lateness="1 minute", **folders)
-    assert as_set(got, "link_id", "count_rec", "avg_speed") == {(1, 1, 1.0)}
+    assert as_set(got, "link_id", "count_rec", "avg_speed") == {(1, 1, 1.0), (2, 1, 2.0)}
 
 
 def live_rows(spark, rows):
@@ -219,8 +270,18 @@ def test_late_rows_count_and_totals_are_compacted(spark, tmp_path, folders, ever
         open_stream(spark, source, files_per_trigger=1), minutes=60, compact_every=every, **folders)
     assert as_rows(got) == as_rows(averages.slot_counts(rows, 60))
     assert got.agg({"count_rec": "sum"}).first()[0] == 15
-    if every == 2:  # what was merged last has all groups up to then
+    if every == 2:  # what was merged last has all groups up to then, and what it was merged from is gone
         assert spark.read.parquet(f"{folders['out']}/batch=3").count() == 4
+        assert {name for name in os.listdir(folders["out"]) if "=" in name} == {"batch=-1", "batch=3", "batch=4"}
+
+
+def test_every_micro_batch_is_covered_once():
+    for every in (1, 2, 3, 16):
+        for last in range(200):
+            parts = covering(last, every)
+            spans = [range(part + 1 - _span(part, every), part + 1) for part in parts]
+            assert sorted(n for span in spans for n in span) == list(range(last + 1))
+    assert len(covering(10**6, 16)) < 16 * 6
 
 
 def test_a_repeated_micro_batch_leaves_its_rows_once(spark, stream, rows, folders):
