@@ -7,7 +7,7 @@ in which its parts are added.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,12 +20,12 @@ from pastlane.functions.time import (
     slot_start,
     time_of_day,
 )
-from pastlane.operators import averages, cutting, filters, joins, metrics, windows
+from pastlane.operators import averages, cutting, filters, joins, metrics, rolling, routed, windows
 from pastlane.plans import pipelines
 from pastlane.session import fresh_dir, use_query_settings
 from pastlane.sources import archive as scans, tables
 from pastlane.sources.live import StreamSource, find_stream, open_stream
-from pastlane.streaming import length_batch as batches, queries as streams
+from pastlane.streaming import expiry, length_batch as batches, moving, queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,15 @@ CLOCK_AT = datetime(2024, 1, 30, 13, 30)
 # Time limit of a batch: the readings of a link and hour are days apart.
 BATCH_SECONDS = 5 * 86_400
 
+# A group without rows for so long, by the stream's time less a day, is forgotten.
+IDLE_SECONDS = 3 * 86_400
+
+# The last evening hours are not of the live rows of which the last one sets the clock.
+LAST_LIVE = datetime(2024, 1, 30, 22)
+
+# The days by which the profile moves on to the archive's last day.
+MOVES = 3
+
 JOIN_BUCKETS = 5
 SAMPLE_EVERY = 100
 
@@ -181,6 +190,18 @@ def slots_5min(spark, sf_dir):
     return _rounded(averages.slot_counts(rows, tables.FINE_SLOT_MINUTES), "avg_speed")
 
 
+@query
+def profile_advance(spark, sf_dir):
+    """The six days before the live day, reached by moving on from six days that ended earlier."""
+    archive, path = tables.readings(spark, sf_dir), fresh_dir(spark, "profile-days")
+    last = (tables.LIVE_START - timedelta(days=1 + MOVES)).date()
+    profile = rolling.start_profile(archive, path, last, tables.ARCHIVE_DAYS, tables.SLOT_MINUTES)
+    for move in range(1, MOVES + 1):
+        day = last + timedelta(days=move)
+        profile = rolling.advance_profile(archive, path, day, tables.ARCHIVE_DAYS, tables.SLOT_MINUTES)
+    return _averages(profile)
+
+
 # Joins
 
 
@@ -219,6 +240,17 @@ def default_mode_join(spark, sf_dir):
     )
 
 
+@query
+def routed_join(spark, sf_dir):
+    """The flagship's rows, from sides that were routed to join instances."""
+    live, archive = _split(spark, sf_dir)
+    links = tables.links(spark, sf_dir)
+    profile = pipelines.archive_profile(filters.of_region(archive, links, tables.REGION), tables.SLOT_MINUTES)
+    live = joins.with_slot_keys(filters.of_region(live, links, tables.REGION), tables.SLOT_MINUTES)
+    return _averages(routed.routed_join(
+        routed.route(live, JOIN_BUCKETS, "routed_live"), routed.route(profile, JOIN_BUCKETS, "routed_averages")))
+
+
 @query
 def live_history_lookup(spark, sf_dir):
     live, archive = _split(spark, sf_dir)
@@ -271,12 +303,10 @@ def live_clock(spark, sf_dir):
     return windows.live_clock(tables.live(spark, sf_dir), tables.SLOT_MINUTES)
 
 
-def _unexpired(
-    spark: SparkSession, sf_dir: str, componentwise: bool, at: datetime | None = CLOCK_AT
-) -> DataFrame:
+def _unexpired(spark: SparkSession, sf_dir: str, componentwise: bool) -> DataFrame:
     live, archive = _split(spark, sf_dir)
     profile = pipelines.archive_profile(archive, tables.FINE_SLOT_MINUTES)
-    clock = windows.clock_at(live, at)
+    clock = windows.clock_at(live, CLOCK_AT)
     return _averages(windows.unexpired(profile, clock, componentwise))
 
 
@@ -292,7 +322,10 @@ def unexpired_ordered(spark, sf_dir):
 
 @query
 def unexpired_at_the_last_row(spark, sf_dir):
-    return _unexpired(spark, sf_dir, componentwise=False, at=None)
+    live, archive = _split(spark, sf_dir)
+    profile = pipelines.archive_profile(archive, tables.FINE_SLOT_MINUTES)
+    clock = windows.clock_at(live.where(F.col("ts") < ntz(LAST_LIVE)))
+    return _averages(windows.unexpired(profile, clock))
 
 
 @query
@@ -449,3 +482,41 @@ def time_length_batch_stream(spark, sf_dir):
         **_folders(spark, "time-batches"),
     )
     return _averages(rows)
+
+
+@query
+def aged_batches_stream(spark, sf_dir):
+    rows = batches.length_batch_stream(
+        _events_stream(spark, sf_dir), minutes=tables.SLOT_MINUTES, idle_seconds=IDLE_SECONDS, lateness="1 day",
+        **_folders(spark, "aged-batches"))
+    return _averages(rows)
+
+
+def _daily_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average of each day, link and hour; it arrives with its last reading."""
+    rows = joins.with_slot_keys(tables.readings(spark, sf_dir), tables.SLOT_MINUTES)
+    return rows.groupBy("link_id", "hrs", "mins", slot_start("ts", tables.SLOT_MINUTES).alias("slot")).agg(
+        F.avg("speed").alias("avg_speed"), F.avg("volume").alias("avg_volume"), F.max("event_id").alias("event_id"))
+
+
+def _as_stream(rows: DataFrame, name: str) -> DataFrame:
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return open_stream(spark, StreamSource(rows.schema, path))
+
+
+@query
+def moving_archive_stream(spark, sf_dir):
+    """Every reading with the daily average of its link and hour that had arrived last."""
+    arriving = _as_stream(_daily_averages(spark, sf_dir), "arriving")
+    return _averages(moving.moving_join_stream(
+        _events_stream(spark, sf_dir), arriving, minutes=tables.SLOT_MINUTES, **_folders(spark, "moving"))).withColumnRenamed(
+            "arrival", "event_id")
+
+
+@query
+def unexpired_stream(spark, sf_dir):
+    """The daily averages that the last live row but those of the evening has not passed, over all dates."""
+    live = _events_stream(spark, sf_dir).where(F.col("ts") < ntz(LAST_LIVE))
+    kept = expiry.expiry_stream(live, _as_stream(_daily_averages(spark, sf_dir), "dated"), **_folders(spark, "expiry"))
+    return _averages(kept)

@@ -111,6 +111,13 @@ ended AS (
 SELECT link_id, CAST(h AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins, first_ts, count_rec, avg_volume, avg_speed
 FROM ended WHERE done"""
 
+# The average of each day, link and hour arrives with its last reading.
+_DAILY = """daily AS (
+  SELECT link_id, CAST(hour(ts) AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins,
+         CAST(date_trunc('hour', ts) AS TIMESTAMP) AS slot,
+         avg(speed) AS avg_speed, avg(volume) AS avg_volume, max(event_id) AS event_id
+  FROM readings GROUP BY ALL)"""
+
 _SLOTS = f"""WITH {_READINGS}
 SELECT link_id, {_FINE} AS slot, count(*) AS count_rec, round(avg(speed), 9) AS avg_speed
 FROM readings GROUP BY 1, 2"""
@@ -238,7 +245,7 @@ WHERE l.link_id % 2 = minute(l.ts) % 2 AND avg_speed IS NOT NULL AND avg_volume
     "time_length_batch_stream": _TIME_BATCHES,
     "unexpired_at_the_last_row": _unexpired(
         "hour(moment) * 60 + minute(moment) <= hrs * 60 + mins").replace(
-        " WHERE ts <= TIMESTAMP '2024-01-30 13:30:00'", ""),
+        " WHERE ts <= TIMESTAMP '2024-01-30 13:30:00'", " WHERE ts < TIMESTAMP '2024-01-30 22:00:00'"),
     "unexpired_componentwise": _unexpired("minute(moment) <= mins AND hour(moment) <= hrs"),
     "unexpired_ordered": _unexpired("hour(moment) * 60 + minute(moment) <= hrs * 60 + mins"),
     "last_per_minute": f"""WITH {_READINGS}
@@ -281,4 +288,35 @@ SELECT event_id, link_id, speed, volume, ts FROM live""",
     "ingestion_rate_stream": _RATE,
     "latest_per_slot_stream": _LATEST,
     "length_batch_stream": f"SELECT * FROM ({_BATCHES}) WHERE count_rec = 6",
+    "profile_advance": f"""WITH {_READINGS}, {_SPLIT}
+SELECT link_id, CAST(hour(ts) AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins, count(*) AS count_rec,
+       round(avg(speed), 9) AS avg_speed, round(avg(volume), 9) AS avg_volume
+FROM archive GROUP BY 1, 2""",
+    "routed_join": _FLAGSHIP,
+    "aged_batches_stream": f"""WITH {_READINGS},
+gaps AS (
+  SELECT *, hour(ts) AS h, coalesce(ts - lag(ts) OVER grp >= INTERVAL 3 DAY, false) AS late
+  FROM readings WINDOW grp AS (PARTITION BY link_id, hour(ts) ORDER BY ts, event_id)),
+runs AS (
+  SELECT *, sum(late::INT) OVER (PARTITION BY link_id, h ORDER BY ts, event_id) AS run FROM gaps),
+placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY link_id, h, run ORDER BY ts, event_id) - 1) // 6 AS batch FROM runs),
+batches AS (
+  SELECT link_id, h, run, batch, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS count_rec,
+         round(avg(volume), 9) AS avg_volume, round(avg(speed), 9) AS avg_speed
+  FROM placed GROUP BY 1, 2, 3, 4),
+ended AS (
+  SELECT *, count_rec = 6 OR run < max(run) OVER (PARTITION BY link_id, h)
+            OR last_ts + INTERVAL 4 DAY <= (SELECT max(ts) FROM readings) AS done FROM batches)
+SELECT link_id, CAST(h AS INTEGER) AS hrs, CAST(0 AS INTEGER) AS mins, first_ts, count_rec, avg_volume, avg_speed
+FROM ended WHERE done""",
+    "moving_archive_stream": f"""WITH {_READINGS}, {_DAILY}
+SELECT r.event_id, r.link_id, r.speed, r.volume::DOUBLE AS volume, r.link_id AS hist_link_id,
+       round(d.avg_speed, 9) AS avg_speed, round(d.avg_volume, 9) AS avg_volume, r.ts
+FROM (SELECT *, hour(ts) AS h FROM readings) r ASOF JOIN daily d
+ON r.link_id = d.link_id AND r.h = d.hrs AND r.event_id > d.event_id""",
+    "unexpired_stream": f"""WITH {_READINGS}, {_DAILY}
+SELECT link_id, hrs, mins, slot, event_id, round(avg_speed, 9) AS avg_speed, round(avg_volume, 9) AS avg_volume
+FROM daily WHERE slot >= (
+  SELECT date_trunc('minute', arg_max(ts, event_id)) FROM readings WHERE ts < TIMESTAMP '2024-01-30 22:00:00')""",
 }
