@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +41,8 @@ def local_session(
         .config("spark.sql.shuffle.partitions", str(partitions))
         # No call sites on every column: they cost more than a small query.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Spark deals the cores to tasks; numpy is to use one each.
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
     for name, value in QUERY_SETTINGS.items():
         builder = builder.config(name, value)
@@ -46,8 +51,29 @@ def local_session(
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives this package to the Python workers of a session, once, wherever the driver was started.
+
+    The file is made on the driver, and Spark serves it to executors.
+    """
+    context, name = spark.sparkContext, f"{__package__}.zip"
+    if any(path.endswith(f"/{name}") for path in context.listFiles):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="package-")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(os.path.join(folder, name), "w") as packed:
+        for at, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(at, file)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(os.path.join(folder, name))
+    return spark
+
+
 def use_query_settings(spark: SparkSession) -> SparkSession:
-    """Settings that the session's owner has not chosen; what is chosen stays."""
+    """Settings that the session's owner has not chosen, and the package; what is chosen stays."""
+    ship_package(spark)
     chosen = spark.conf.getAll
     for name, value in QUERY_SETTINGS.items():
         if name not in chosen:
