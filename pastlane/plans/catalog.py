@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pastlane.functions.spatial import parse_polygon
 from pastlane.functions.time import (
     EVENT_FORMAT,
     day_aligned_instants,
@@ -20,12 +21,12 @@ from pastlane.functions.time import (
     slot_start,
     time_of_day,
 )
-from pastlane.operators import averages, cutting, filters, joins, metrics, rolling, routed, windows
+from pastlane.operators import averages, cutting, filters, joins, metrics, periods, regions, rolling, routed, windows
 from pastlane.plans import pipelines
 from pastlane.session import fresh_dir, use_query_settings
 from pastlane.sources import archive as scans, tables
 from pastlane.sources.live import StreamSource, find_stream, open_stream
-from pastlane.streaming import expiry, length_batch as batches, moving, queries as streams
+from pastlane.streaming import expiry, length_batch as batches, moving, queries as streams, recent
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +51,9 @@ LAST_LIVE = datetime(2024, 1, 30, 22)
 # The days by which the profile moves on to the archive's last day.
 MOVES = 3
 
+# The vertices that each edge of the region is cut at.
+VERTICES = 5_000
+
 JOIN_BUCKETS = 5
 SAMPLE_EVERY = 100
 
@@ -127,6 +131,18 @@ def region_readings(spark, sf_dir):
     return inside.select("event_id", "link_id", "speed", "volume", "ts", "x", "y")
 
 
+def _with_vertices(wkt: str, count: int) -> str:
+    """The same polygon with ``count`` vertices on each edge."""
+    (ring,) = parse_polygon(wkt)
+    points = [(ax + (bx - ax) * k / count, ay + (by - ay) * k / count) for (ax, ay), (bx, by) in zip(ring, ring[1:]) for k in range(count)]
+    return f"POLYGON(({', '.join(f'{x!r} {y!r}' for x, y in [*points, points[0]])}))"
+
+
+@query
+def region_links_by_strips(spark, sf_dir):
+    return regions.region_links_by_strips(tables.links(spark, sf_dir), _with_vertices(tables.REGION, VERTICES))
+
+
 @query
 def parity_live(spark, sf_dir):
     rows = filters.parity_live(tables.readings(spark, sf_dir))
@@ -240,6 +256,14 @@ def default_mode_join(spark, sf_dir):
     )
 
 
+@query
+def needed_links_join(spark, sf_dir):
+    """The flagship's rows; only links that have live rows are averaged."""
+    live, archive = _split(spark, sf_dir)
+    return _averages(pipelines.live_with_needed_archive(
+        live, archive, tables.links(spark, sf_dir), tables.REGION, tables.SLOT_MINUTES))
+
+
 @query
 def routed_join(spark, sf_dir):
     """The flagship's rows, from sides that were routed to join instances."""
@@ -368,6 +392,13 @@ def latency_last_30s(spark, sf_dir):
     return metrics.latency(pipelines.with_emit_time(rows, tables.SLOT_MINUTES), seconds=3600)
 
 
+@query
+def floating_throughput(spark, sf_dir):
+    """Periods of an hour or more that begin with a joined row and end with one."""
+    rows = pipelines.with_emit_time(_joined(spark, sf_dir, extra=("event_id",)), tables.SLOT_MINUTES)
+    return periods.floating_periods(rows, 3600, emit_ts="emit_ts")
+
+
 # Scalar functions
 
 
@@ -520,3 +551,16 @@ def unexpired_stream(spark, sf_dir):
     live = _events_stream(spark, sf_dir).where(F.col("ts") < ntz(LAST_LIVE))
     kept = expiry.expiry_stream(live, _as_stream(_daily_averages(spark, sf_dir), "dated"), **_folders(spark, "expiry"))
     return _averages(kept)
+
+
+@query
+def recent_minutes_stream(spark, sf_dir):
+    return recent.recent_minutes_stream(
+        _events_stream(spark, sf_dir), series="event_type", value="speed", **_folders(spark, "recent"))
+
+
+@query
+def rate_change_stream(spark, sf_dir):
+    counts = metrics.period_counts(tables.readings(spark, sf_dir), 3600)
+    rates = metrics.ingestion_rate(metrics.fill_gaps(counts, 3600), 3600).select("window_start", "us_per_msg")
+    return recent.rate_changes_stream(_as_stream(rates, "rates"), **_folders(spark, "rate-changes"))

@@ -151,6 +151,15 @@ clock AS (
 SELECT profile.* FROM profile, clock WHERE {condition}"""
 
 
+_FLAGS = f"""WITH {_filled(3600)},
+paired AS (
+  SELECT window_start, us_per_msg, lag(us_per_msg) OVER (ORDER BY window_start) AS previous
+  FROM rates),
+changes AS (
+  SELECT *, CAST(abs(previous - us_per_msg) * 100 // previous AS BIGINT) AS percent_change
+  FROM paired)
+SELECT *, coalesce(percent_change > 20, false) AS changed FROM changes"""
+
 ORACLE: dict[str, str] = {
     "archive_range_scan": f"""WITH {_READINGS}
 SELECT link_id, speed, volume, ts FROM readings
@@ -256,14 +265,8 @@ FROM readings GROUP BY 1, 2""",
 SELECT event_id, link_id, speed, ts FROM readings
 WHERE ts > (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
     "ingestion_rate_30s": _RATE,
-    "rate_change_flags": f"""WITH {_filled(3600)},
-paired AS (
-  SELECT window_start, us_per_msg, lag(us_per_msg) OVER (ORDER BY window_start) AS previous
-  FROM rates),
-changes AS (
-  SELECT *, CAST(abs(previous - us_per_msg) * 100 // previous AS BIGINT) AS percent_change
-  FROM paired)
-SELECT *, coalesce(percent_change > 20, false) AS changed FROM changes""",
+    "rate_change_flags": _FLAGS,
+    "rate_change_stream": _FLAGS,
     "throughput_30s": f"""WITH {_JOINED}
 SELECT time_bucket(INTERVAL 30 SECOND, ts) AS window_start, count(*) AS n,
        count(*) / 30.0::DOUBLE AS rows_per_s,
@@ -319,4 +322,23 @@ ON r.link_id = d.link_id AND r.h = d.hrs AND r.event_id > d.event_id""",
 SELECT link_id, hrs, mins, slot, event_id, round(avg_speed, 9) AS avg_speed, round(avg_volume, 9) AS avg_volume
 FROM daily WHERE slot >= (
   SELECT date_trunc('minute', arg_max(ts, event_id)) FROM readings WHERE ts < TIMESTAMP '2024-01-30 22:00:00')""",
+    "region_links_by_strips": f"WITH {_REGION} SELECT link_id, x, y FROM region",
+    "needed_links_join": _FLAGSHIP,
+    "floating_throughput": f"""WITH RECURSIVE {_JOINED},
+placed AS (
+  SELECT ts, date_trunc('hour', ts) + INTERVAL 1 HOUR AS emit_ts, row_number() OVER (ORDER BY ts, event_id) AS place FROM joined),
+walk AS (
+  SELECT place, ts AS first_ts, 1 AS period, false AS ended FROM placed WHERE place = 1
+  UNION ALL
+  SELECT p.place, CASE WHEN w.ended THEN p.ts ELSE w.first_ts END, CASE WHEN w.ended THEN w.period + 1 ELSE w.period END,
+         NOT w.ended AND p.ts >= w.first_ts + INTERVAL 1 HOUR
+  FROM walk w JOIN placed p ON p.place = w.place + 1)
+SELECT min(first_ts) AS first_ts, max(ts) AS last_ts, count(*) AS n,
+       1000 * count(*) // ((epoch_us(max(ts)) - epoch_us(min(first_ts))) // 1000) AS throughput,
+       arg_max(epoch_us(emit_ts) - epoch_us(ts), place) AS latency_us
+FROM walk JOIN placed USING (place) GROUP BY period HAVING bool_or(ended)""",
+    "recent_minutes_stream": f"""WITH {_READINGS},
+minutes AS (
+  SELECT event_type AS series, date_trunc('minute', ts) AS minute, arg_max(speed, event_id) AS value FROM readings GROUP BY 1, 2)
+SELECT * FROM minutes QUALIFY minute > max(minute) OVER (PARTITION BY series) - INTERVAL 10 MINUTE""",
 }

@@ -19,6 +19,7 @@ from pastlane.operators.averages import (
 )
 from pastlane.operators.filters import of_region, parity_archive, parity_live, without_null_averages
 from pastlane.operators.joins import live_archive_join, live_history_lookup
+from pastlane.operators.needed import link_bits, of_links
 from pastlane.sources.archive import day_aligned_scan
 
 
@@ -119,3 +120,10 @@ def with_emit_time(joined: DataFrame, minutes: int) -> DataFrame:
     """Joined rows as if put out at the end of their slot."""
     end = slot_start("ts", minutes) + F.expr(f"INTERVAL {minutes} MINUTES")
     return joined.withColumn("emit_ts", end)
+
+
+def live_with_needed_archive(live: DataFrame, archive: DataFrame, links: DataFrame, wkt: str, minutes: int) -> DataFrame:
+    """As ``live_with_archive``: only links that have live rows in the region are averaged."""
+    inside = of_region(live, links, wkt)
+    profile = archive_profile(of_links(archive, link_bits(inside)), minutes)
+    return live_archive_join(inside, profile, minutes)
