@@ -4,18 +4,20 @@ Vectors are projected to ``DIMENSIONS`` Gaussian coordinates. The squared distan
 projections, over that of the vectors, is chi-square with as many degrees of freedom, so
 a point whose projection is far is improbable to be near. A kd-tree over the projections
 cuts space into cells; its upper levels are fitted on a bounded sample and deal all rows out
-to Spark tasks, its lower levels are built inside each task. A query verifies points in the
-order of their projected distance, by exact inner products, and stops where a point as near
-as its current k-th would, with probability ``CONFIDENCE``, have been projected nearer.
+to Spark tasks, its lower levels are built inside each task. A query goes through leaves in the
+order of their projected distance, verifies points by exact inner products, and passes over points and stops at leaves where one as near
+as its current k-th would, with probability ``CONFIDENCE``, have been projected nearer. More coordinates make this test sharper.
 
 First a query searches its own cell; that gives a k-th distance, with which the same test rules
 out whole cells; then it searches the others. Largest inner product becomes smallest distance by
 one more coordinate, which fills every vector up to the largest norm.
 
-Every row is indexed. Cells with many rows (copies of one vector, say) are dealt out in pieces.
+Every row is indexed, and stored once: a task holds one piece of a cell, and queries pass by it, however many they
+are. Cells with many rows (copies of one vector, say) are dealt out in pieces.
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 those of another length than most, nor rows without id. Of rows that share an id the least
-vector counts. Equal scores go to the smaller id. Fewer candidates than k give fewer rows.
+vector counts. Equal scores go to the smaller id. Fewer candidates than k give fewer rows, an empty table none.
+Only the id and the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,13 +32,12 @@ from pyspark.sql import functions as F
 
 from pastlane.session import fresh_dir
 
-DIMENSIONS = 8
-CONFIDENCE = 0.97
+DIMENSIONS = 24
+CONFIDENCE = 0.92
 # Rows that the upper levels of the tree are fitted on, at most: the bound of the sample.
 SAMPLE = 1 << 16
 PIECE_ROWS = 8192
 LEAF_ROWS = 256
-QUERY_BLOCK = 1 << 14
 
 
 def chi_square_limit(p: float, degrees: int) -> float:
@@ -121,34 +122,41 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
     return done
 
 
-def search(ids, vectors, points, query_ids, queries, query_points, start, k, radius2, limit):
-    """(query, id, score) of the k nearest of each query among these rows.
+class Piece:
+    """The rows of one piece of a cell, in the leaves of a kd-tree."""
 
-    ``start`` has the squared distance of each query's k-th neighbour found elsewhere.
-    """
-    leaves = [x for x in _leaves(points) if len(x)]
-    low = np.array([points[x].min(axis=0) for x in leaves])
-    high = np.array([points[x].max(axis=0) for x in leaves])
-    stored = [(ids[x], vectors[x]) for x in leaves]
-    for query, vector, point, worst in zip(query_ids, queries, query_points, start, strict=True):
-        gap = np.maximum(np.maximum(low - point, point - high), 0)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+        leaves = [x for x in _leaves(points) if len(x)]
+        self.low = np.array([points[x].min(axis=0) for x in leaves])
+        self.high = np.array([points[x].max(axis=0) for x in leaves])
+        self.stored = [(ids[x], vectors[x], points[x]) for x in leaves]
+        self.verified = 0
+
+    def search(self, query: int, vector: np.ndarray, point: np.ndarray, worst: float, k: int, radius2: float, limit: float):
+        """(ids, scores) of the k nearest here; ``worst`` is the squared distance of the k-th neighbour found elsewhere."""
+        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         near = (gap * gap).sum(axis=1)
         norm2 = float(vector @ vector)
         have_id, have_score = np.empty(0, np.int64), np.empty(0)
         for leaf in np.argsort(near, kind="stable"):
             if near[leaf] > limit * worst:
                 break  # the chi-square test: all that is left is improbable to be near enough
-            own, rows = stored[leaf]
-            score = np.einsum("ij,j->i", rows, vector)
-            keep = own != query
+            own, rows, points = self.stored[leaf]
+            apart = points - point
+            at = np.flatnonzero((np.einsum("ij,ij->i", apart, apart) <= limit * worst) & (own != query))
+            if not len(at):
+                continue
+            self.verified += len(at)
+            own, score = own[at], np.einsum("ij,j->i", rows[at], vector)
             if len(have_score) >= k:
-                keep &= score >= have_score[k - 1]
-            have_id, have_score = np.append(have_id, own[keep]), np.append(have_score, score[keep])
+                keep = score >= have_score[k - 1]
+                own, score = own[keep], score[keep]
+            have_id, have_score = np.append(have_id, own), np.append(have_score, score)
             order = np.lexsort((have_id, -have_score))[:k]
             have_id, have_score = have_id[order], have_score[order]
             if len(have_score) == k:
                 worst = min(worst, max(radius2 + norm2 - 2 * have_score[-1], 0.0))
-        yield from zip([query] * len(have_id), have_id.tolist(), have_score.tolist(), strict=True)
+        return have_id, have_score
 
 
 def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -189,44 +197,63 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     folder = fresh_dir(spark, "placed")
     clean.mapInArrow(place, "id long, vector array<double>, cell int, own int").write.parquet(folder)
     placed = spark.read.parquet(folder)
-    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    pieces = {r.cell: math.ceil(r.n / PIECE_ROWS) for r in counts.collect()}  # as many as the tree has cells
-    piece_of = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
-    queries = placed.where(is_query(F.col("id")))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-
-    # A task meets one piece of a cell with one block of queries, both of bounded size.
-    stored = placed.select(
-        "id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit("piece")), piece_of[F.col("cell")]).cast("int").alias("piece"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asking = queries.select("id", "vector", "own", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    counts = placed.groupBy(F.col("cell").alias("of")).agg(F.count(F.lit(1)).alias("n"))  # as many as the tree has cells
+    pieces = counts.select("of", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"))
+    folder = fresh_dir(spark, "pieces")
+    pieces.write.parquet(folder)
+    pieces = spark.read.parquet(folder)
+    queries = placed.where(is_query(F.col("id"))).select("id", "vector", "own")
+
+    def in_piece(rows: DataFrame, piece) -> DataFrame:
+        return rows.join(pieces, rows["cell"] == pieces["of"]).select(*rows.columns, piece.alias("piece"))
+
+    stored = in_piece(placed.select("id", "vector", "cell"), F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces")).cast("int"))
+    stored = stored.select("cell", "piece", F.lit(0).alias("asks"), "id", "vector", F.lit(math.inf).alias("worst"))
     limit = chi_square_limit(CONFIDENCE, DIMENSIONS)
     names = ["query_id", "vec_id", "score"]
-    types = [pa.int64(), pa.int64(), pa.float64()]
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if len(left) and len(right):
-            vectors, asked = _matrix(left["vector"], width), _matrix(right["vector"], width)
-            project, _ = index.value
-            found = list(search(left["id"].to_numpy(), vectors, project.points(vectors), right["id"].to_numpy(), asked,
-                                project.queries(asked), right["worst"].to_numpy(), k, project.radius2, limit))
-        columns = zip(*found, strict=True) if found else [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a piece come before the queries that pass by it."""
+        project, _ = index.value
+        key, held, piece = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, number, asks, ids, worst = (batch[x].to_numpy() for x in ("cell", "piece", "asks", "id", "worst"))
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(asks) != 0)) + 1
+            for start, stop in zip(np.r_[0, cuts], np.r_[cuts, len(cell)], strict=True):
+                if (now := (cell[start], number[start])) != key:
+                    key, held, piece = now, [], None
+                vectors = _matrix(batch["vector"].slice(start, stop - start), width)
+                if not asks[start]:
+                    held.append((ids[start:stop], vectors))
+                    continue
+                if piece is None and held:
+                    own, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+                    piece, held = Piece(own, rows, project.points(rows)), []
+                if piece is None:
+                    continue
+                found = [piece.search(*x, k, project.radius2, limit) for x in zip(
+                    ids[start:stop].tolist(), vectors, project.queries(vectors), worst[start:stop].tolist(), strict=True)]
+                asked = np.repeat(ids[start:stop], [len(x) for x, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked, pa.int64()), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def searched(asked: DataFrame) -> DataFrame:
-        """Results of queries (id, vector, block, cell, worst) in their cells."""
-        parts = asked.where(piece_of[F.col("cell")].isNotNull()).withColumn(
-            "piece", F.explode(F.sequence(F.lit(0), piece_of[F.col("cell")] - 1)))
-        keys = ["cell", "piece", "block"]
-        return stored.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(meet, result)
+        """Results of queries (id, vector, cell, worst) in their cells."""
+        asking = in_piece(asked, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
+            "cell", "piece", F.lit(1).alias("asks"), "id", "vector", "worst")
+        met = stored.unionByName(asking).repartition(parts, "cell", "piece").sortWithinPartitions("cell", "piece", "asks")
+        return met.mapInArrow(meet, result)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     first = fresh_dir(spark, "own-cell")
-    best(searched(asking.withColumn("cell", F.col("own")).withColumn("worst", F.lit(math.inf)))).write.parquet(first)
+    best(searched(queries.select("id", "vector", F.col("own").alias("cell"), F.lit(math.inf).alias("worst")))).write.parquet(first)
     known = spark.read.parquet(first)
     kth = known.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
 
@@ -242,9 +269,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
             near[np.arange(len(own)), own] = np.inf
             row, cell = np.nonzero(np.isfinite(near) & (near <= limit * worst[:, None]))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pa.array(row)), batch["vector"].take(pa.array(row)), batch["block"].take(pa.array(row)),
-                 pa.array(cell, pa.int32()), pa.array(worst[row])], ["id", "vector", "block", "cell", "worst"])
+                [batch["id"].take(pa.array(row)), batch["vector"].take(pa.array(row)),
+                 pa.array(cell, pa.int32()), pa.array(worst[row])], ["id", "vector", "cell", "worst"])
 
-    rest = asking.join(kth, "id", "left").select("id", "vector", "own", "block", "kth").mapInArrow(
-        others, "id long, vector array<double>, block int, cell int, worst double")
+    rest = queries.join(kth, "id", "left").select("id", "vector", "own", "kth").mapInArrow(
+        others, "id long, vector array<double>, cell int, worst double")
     return best(known.select(*names).unionByName(searched(rest))).select("query_id", "rank", "vec_id", "score")

@@ -299,6 +299,23 @@ def test_recall_of_the_stop(spark, monkeypatch):
     assert hits / (20 * 30) >= 0.9
 
 
+def test_the_stop_rules_out_half():
+    """A query verifies less than half of as many points as there are, and finds nine of ten of the nearest."""
+    draw = np.random.default_rng(5)
+    vectors = draw.standard_normal((8000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    project = neighbours.Projection(64, 1.0)
+    piece = neighbours.Piece(np.arange(8000), vectors, project.points(vectors))
+    limit, hits = neighbours.chi_square_limit(neighbours.CONFIDENCE, neighbours.DIMENSIONS), 0
+    for q in range(50):
+        ids, scores = piece.search(q, vectors[q], project.queries(vectors[q:q + 1])[0], np.inf, 20, 1.0, limit)
+        exact = vectors @ vectors[q]
+        exact[q] = -np.inf
+        hits += len(set(np.argsort(-exact)[:20]) & set(ids.tolist()))
+        assert np.allclose(scores, exact[ids])
+    assert hits / 1000 >= 0.9 and piece.verified < 50 * 8000 / 2
+
+
 def test_fixity(spark):
     rows = [(i, f"u{i}", "x" * (i % 7)) for i in range(600)] + [(None, "a", "b"), (3, "twice", None), (40, None, ""), (-5, "n", "n")]
     schema = "page_id long, url string, html string"
