@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastlane.llm.catalog import bpe_digests
-from pastlane.llm.components import free_name, written
+from pastlane.llm.components import free_name, small_batches, written
 from pastlane.llm.decontaminate import contamination
 from pastlane.llm.jaccard import jaccard_components
 from pastlane.llm.languages import fit_languages, predict_language
@@ -73,8 +73,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's tokens and of what they decode to."""
-    return bpe_digests(docs.select("doc_id", "text"))
+    """The digests of each document's tokens and of what they decode to, made of small batches of texts."""
+    with small_batches(spark):
+        return written(bpe_digests(docs.select("doc_id", "text")), "tokens")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

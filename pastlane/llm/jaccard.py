@@ -49,9 +49,9 @@ LEAF = 16
 BITS = 1 << 25  # bytes of the shingles of a slice as a table of bits
 MARK_BITS = (16, 27)  # bits of a bitmap of ids, as powers of two: the bound of what is broadcast
 PER_GROUP = 4  # shingles of a set to a group, about
-REMEMBERED_SETS = 200_000
+REMEMBERED_SETS = 100_000
 PART = 20_000  # first shingles that are gathered at once, about
-HELD = 1_000_000  # first shingles that a task holds before it deals them out
+HELD = 400_000  # first shingles that a task holds before it deals them out
 
 _BYTES = 6
 
