@@ -11,7 +11,7 @@ from pastlane.model import LIVE_SCHEMA
 from pastlane.operators import averages, cutting, filters, joins, metrics, windows
 from pastlane.plans import pipelines
 from pastlane.sources.live import StreamSource, find_stream, live_from_json, open_stream
-from pastlane.streaming import length_batch as batches, queries as streams
+from pastlane.streaming import keyed, length_batch as batches, queries as streams
 from pastlane.streaming.run import _span, covering, read_batches, start_batches
 
 FIRST = datetime(2011, 4, 11)
@@ -335,3 +335,20 @@ def test_subscriber_gets_every_joined_row(spark, stream, rows, folders, tmp_path
 def test_idle_limit_has_a_floor():
     assert batches.idle_limit_seconds(8000, 0.038) == 304
     assert batches.idle_limit_seconds(100, 0.038) == 20
+
+
+def test_links_share_keys_and_calls(spark, tmp_path, folders, monkeypatch):
+    """However many links there are, the keys of a micro-batch are bounded; the batches are those of each link."""
+    monkeypatch.setattr(keyed, "BUCKETS", 8)
+    path, first = str(tmp_path / "events"), 1 << 60
+    for n in range(3):
+        data = [(None if k % 50 == 0 else first + k % 50, float(k), k % 7, FIRST + timedelta(minutes=10 * k + n)) for k in range(300)]
+        readings(spark, data).withColumn("event_id", F.col("event_id") + 1000 * n).coalesce(1).write.mode("append").parquet(path)
+    source = StreamSource(spark.createDataFrame([], READING).schema, path)
+    rows = spark.read.schema(source.schema).parquet(path)
+    emitted = batches.batches_of_stream(open_stream(spark, source), 1440, size=5)
+    states = progress_of(emitted, folders)
+    assert 0 < max(s.numRowsTotal for s in states) <= 9
+    want = windows.length_batch(rows, 1440, size=5)
+    got = read_batches(spark, folders["out"], emitted.schema)
+    assert as_rows(got.select(*want.columns)) == as_rows(want) and want.where("link_id is null").count() and want.where(f"link_id > {first}").count()
