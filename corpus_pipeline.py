@@ -73,9 +73,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's tokens and of what they decode to, made of small batches of texts."""
-    with small_batches(spark):
-        return written(bpe_digests(docs.select("doc_id", "text")), "tokens")
+    """The digests of each document's tokens and of what they decode to."""
+    return bpe_digests(docs.select("doc_id", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -94,6 +93,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         folder = fresh_dir(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        with small_batches(spark):  # workers of several stages live side by side
+            stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return docs

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastlane.llm.arrays import slices
+from pastlane.llm.arrays import give_back, slices
 
 # Short pre-tokens that each of two generations remembers: some 200 bytes for each of them.
 REMEMBERED = 220_000
@@ -241,6 +241,8 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
                 found.extend(part)
                 back.extend(b"".join(map(token, x.tolist())) for x in part)
             yield pa.StructArray.from_arrays([_as_lists(found), pa.array(back, pa.binary())], ["ids", "decoded"])
+        del encoder, token  # what the worker remembered is free before it gets another task
+        give_back()
 
     made = docs.withColumn(ids, both(F.col(text)))
     return made.withColumn(decoded, F.col(ids)["decoded"]).withColumn(ids, F.col(ids)["ids"])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pastlane.llm.arrays import give_back
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 # Rows of each language that the weights are fitted on: the bound of the sample.
@@ -87,6 +89,7 @@ def _document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
                 seen[buckets(value.as_py() or "")] = True
                 have += seen
                 rows_seen += 1
+            give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(BUCKETS + 1), pa.int32()), pa.array(np.append(have, rows_seen), pa.int64())],
             ["bucket", "rows"])
@@ -193,5 +196,6 @@ def predict_language(text: Column, model: LanguageModel) -> Column:
             made = [shared.value.predict(x.as_py()) for x in column]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in made], pa.string()),
                                               pa.array([y for _, y in made], pa.float64())], ["lang", "score"])
+            give_back()
 
     return predict(text)

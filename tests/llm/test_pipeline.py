@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as contract
@@ -75,3 +76,18 @@ def test_no_documents(spark, corpus):
         made = stage(spark, frame, folder)
         assert made.count() == 0
         frame = made if "text" in made.columns else frame
+
+
+def test_stages_get_small_batches(spark, tmp_path, monkeypatch):
+    """Every stage, also where it runs only as its rows are written, hands Python few rows at a time."""
+    spark.range(3000).selectExpr("id doc_id", "'text' text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [batch.num_rows], "text": ["text"]})
+
+    stage = lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", stage)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [row.doc_id for row in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [1000] * 3
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
