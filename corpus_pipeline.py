@@ -27,7 +27,9 @@ SURE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are in no language the corpus names."""
-    guess = predict_language(F.col("text"), fit_languages(docs.select("doc_id", "text", "lang")))
+    with small_batches(spark):
+        model = fit_languages(docs.select("doc_id", "text", "lang"))
+    guess = predict_language(F.col("text"), model)
     name = free_name(docs, "guess")
     sure = (F.col(name)["lang"] != "und") & (F.col(name)["score"] >= SURE)
     return docs.withColumn(name, guess).where(sure).select(*docs.columns)
@@ -36,7 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit_toxicity(docs.select("doc_id", "text"), labels)
+    with small_batches(spark):
+        model = fit_toxicity(docs.select("doc_id", "text"), labels)
     name = free_name(docs, "score")
     return docs.withColumn(name, toxicity_score(F.col("text"), model)).where(F.col(name) < 0.5).select(*docs.columns)
 
@@ -73,8 +76,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document's tokens and of what they decode to."""
-    return bpe_digests(docs.select("doc_id", "text"))
+    """The digests of each document's tokens and of what they decode to; written at once, so that whoever runs the stage, texts come in small batches."""
+    with small_batches(spark):
+        return written(bpe_digests(docs.select("doc_id", "text")), "digests")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

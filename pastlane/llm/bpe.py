@@ -195,6 +195,16 @@ def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     return tokens
 
 
+def _round_trips(batches: Iterator[pa.Array], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.StructArray]:
+    """Ids and decoded bytes, a slice at a time: those of a whole batch are several times as large as its texts."""
+    encoder = Encoder(ranks, pattern)
+    token = _tokens(ranks).__getitem__
+    for column in batches:
+        for part in _ids(column, encoder):
+            back = [b"".join(map(token, x.tolist())) for x in part]
+            yield pa.StructArray.from_arrays([_as_lists(part), pa.array(back, pa.binary())], ["ids", "decoded"])
+
+
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
                into: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text's tokens, as array<int> in ``into``.
@@ -207,7 +217,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value, pattern)
         for column in batches:
-            yield _as_lists([x for part in _ids(column, encoder) for x in part])
+            yield from map(_as_lists, _ids(column, encoder))  # a slice at a time
 
     return docs.withColumn(into, encode(F.col(text)))
 
@@ -233,16 +243,8 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value, pattern)
-        token = _tokens(shared.value).__getitem__
-        for column in batches:
-            found, back = [], []
-            for part in _ids(column, encoder):
-                found.extend(part)
-                back.extend(b"".join(map(token, x.tolist())) for x in part)
-            yield pa.StructArray.from_arrays([_as_lists(found), pa.array(back, pa.binary())], ["ids", "decoded"])
-        del encoder, token  # what the worker remembered is free before it gets another task
-        give_back()
+        yield from _round_trips(batches, shared.value, pattern)
+        give_back()  # what the worker remembered is free before it gets another task
 
     made = docs.withColumn(ids, both(F.col(text)))
     return made.withColumn(decoded, F.col(ids)["decoded"]).withColumn(ids, F.col(ids)["ids"])

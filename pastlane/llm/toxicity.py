@@ -353,8 +353,8 @@ def _fit_classifier(docs: DataFrame, gold: DataFrame, voters: Voters, model: Lab
     spark = docs.sparkSession
     clean_rows, toxic_rows = rows[posterior < 0.5].sum(), rows[posterior >= 0.5].sum()
     # P(label) by vote pattern: a table of 2 ** 13 rows at most.
-    table = F.broadcast(spark.createDataFrame(
-        [(int(m), float(p)) for m, p in zip(masks, posterior, strict=True)], "votes int, p double"))
+    # As Arrow: of Python rows Spark would start workers of another kind, which stay beside the others.
+    table = F.broadcast(spark.createDataFrame(pa.table({"votes": pa.array(masks, pa.int32()), "p": pa.array(posterior, pa.float64())})))
     unit = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("posterior")), F.lit(1 << 30)) / float(1 << 30)
     clean, toxic = (min(1.0, POSTERIOR_SAMPLE / 2 / max(n, 1.0)) for n in (clean_rows, toxic_rows))
     # The draw comes first, so that only rows that may be chosen are looked at again.

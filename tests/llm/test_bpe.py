@@ -1,12 +1,14 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pastlane.llm.bpe import Encoder, bpe_decode, bpe_encode, load_ranks
+from pastlane.llm.arrays import SLICE_BYTES
+from pastlane.llm.bpe import Encoder, _round_trips, bpe_decode, bpe_encode, load_ranks
 from pastlane.llm.catalog import RANKS, bpe_digests
 
 PATTERN = public_tokenizers.PATTERN
@@ -56,3 +58,10 @@ def test_odd_rows_and_round_trip(odd_docs, no_docs, ranks, library):
         assert got.ids_sha256 == hashlib.sha256(",".join(map(str, row.ids)).encode()).hexdigest()
         assert got.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
     assert bpe_digests(no_docs).count() == 0
+
+
+def test_round_trips_are_given_away_by_slices(ranks):
+    texts = ["ab " * (SLICE_BYTES // 4)] * 3 + ["c", None]
+    made = list(_round_trips(iter([pa.array(texts)]), ranks, public_tokenizers.PATTERN))
+    assert [len(x) for x in made] == [1, 1, 3]
+    assert [x for part in made for x in part.field("decoded").to_pylist()] == [(x or "").encode() for x in texts]

@@ -91,3 +91,24 @@ def test_stages_get_small_batches(spark, tmp_path, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [row.doc_id for row in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [1000] * 3
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_tokens_come_in_small_batches_whoever_runs_the_stage(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [batch.num_rows], "text": ["text"]})
+
+    monkeypatch.setattr(corpus_pipeline, "bpe_digests", lambda docs: docs.mapInArrow(sizes, "doc_id long, text string"))
+    docs = spark.range(3000).selectExpr("id doc_id", "'text' text").coalesce(1)
+    assert [row.doc_id for row in corpus_pipeline.tokens(spark, docs, "").collect()] == [1000] * 3
+
+
+def test_toxicity_starts_no_workers_for_rows(spark, corpus, monkeypatch):
+    """Rows of Python objects would start workers of another kind in every executor, which stay there."""
+    def refuse(*_, **__):
+        raise AssertionError("rows of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    folder, docs, toxic = corpus
+    kept = corpus_pipeline.toxicity(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert not toxic & {row.doc_id for row in kept.collect()}
