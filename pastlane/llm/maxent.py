@@ -48,6 +48,7 @@ FAN_IN = 64
 BLOCK = 256  # rows of a block of weights
 SIDE_BY_SIDE = 16  # members of the spans that are added up together
 COUNTED = 2_000_000  # words a task holds before it counts them
+NEAR = 1024  # rows of weights that are worked on together: they stay in a core's cache
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -137,9 +138,15 @@ class Model:
 
     @staticmethod
     def _sum(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        total = weights.take(rows[:, 0], axis=0)
-        for k in range(1, rows.shape[1]):
-            total += weights.take(rows[:, k], axis=0)
+        total = np.empty((len(rows), weights.shape[1]), weights.dtype)
+        part = np.empty((min(NEAR, len(rows)), weights.shape[1]), weights.dtype)
+        columns = np.ascontiguousarray(rows.T)
+        for start in range(0, len(rows), NEAR):
+            own = total[start:start + NEAR]
+            more = part[:len(own)]
+            weights.take(columns[0, start:start + NEAR], axis=0, out=own, mode="clip")
+            for column in columns[1:]:
+                own += weights.take(column[start:start + NEAR], axis=0, out=more, mode="clip")
         return total
 
     def word_rows(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -151,8 +158,8 @@ class Model:
         """Natural log probability of each token, but for the count of words that are in tail classes."""
         total = np.zeros(len(tokens.hash))
         classes = self.classes(tokens, number)
-        for start in range(0, len(total), 4 * BATCH):
-            at = np.arange(start, min(start + 4 * BATCH, len(total)))
+        for start in range(0, len(total), BATCH):
+            at = np.arange(start, min(start + BATCH, len(total)))
             features, own = tokens.features(at), classes[at]
             found = _log_softmax(self.class_logits(_weight_rows(features)), own)
             head = np.flatnonzero(own < HEAD_CLASSES)
@@ -165,12 +172,24 @@ class Model:
         return total
 
 
-def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    own = logits[np.arange(len(logits)), chosen] - top
-    logits -= top[:, None]
+def _exponentials(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Makes logits their exponentials in place; the sums of rows, and what was taken from each row before.
+
+    ``own`` has one logit of each row. Logits near logarithms of counts need no shift: a row's largest, which is dear to find,
+    is taken off only if one could overflow or the own one vanish.
+    """
+    top = 0.0
+    if len(own) and not (logits.max() < 75 and own.min() > -60):
+        top = logits.max(axis=1)
+        logits -= top[:, None]
     np.exp(logits, out=logits)
-    return own.astype(float) - np.log(logits.sum(axis=1, dtype=np.float64))
+    return logits @ np.ones(logits.shape[1], logits.dtype), top
+
+
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    own = logits[np.arange(len(logits)), chosen]
+    sums, top = _exponentials(logits, own)
+    return own.astype(float) - top - np.log(sums, dtype=np.float64)
 
 
 class Learner:
@@ -190,13 +209,14 @@ class Learner:
         head = np.flatnonzero(own < HEAD_CLASSES)
         if len(head):
             rows = model.word_rows(features[head], own[head])
-            logits = Model._sum(self.weights[1], rows) + model.word_bias[own[head]]
+            logits = Model._sum(self.weights[1], rows) + model.word_bias.take(own[head], axis=0)
             self._update(1, rows, logits, model.slot[number[at[head]]])
 
     def _update(self, which: int, rows: np.ndarray, logits: np.ndarray, chosen: np.ndarray) -> None:
-        np.exp(np.subtract(logits, logits.max(axis=1, keepdims=True), out=logits), out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(logits)), chosen] -= 1  # the gradient, the same for all features
+        places = np.arange(len(logits)), chosen
+        sums, _ = _exponentials(logits, logits[places])
+        logits *= (1 / sums)[:, None]
+        logits[places] -= 1  # the gradient, the same for all features
         flat = rows.ravel().astype(np.min_scalar_type(ROWS - 1))  # numbers of two bytes are sorted by radix
         order = np.argsort(flat, kind="stable")
         begin = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
@@ -206,12 +226,19 @@ class Learner:
         touched = flat[order[begin]].astype(np.int64)
         gradient = _sums(logits, order // rows.shape[1], begin, times)
         self.met[which][touched] += times
-        squares = gradient * gradient
-        squares += self.squares[which].take(touched, axis=0)
-        self.squares[which][touched] = squares
-        np.divide(gradient, np.sqrt(squares, out=squares), out=gradient)
-        gradient *= np.float32(self.rate)
-        self.weights[which][touched] = self.weights[which].take(touched, axis=0) - gradient
+        weights, squares = self.weights[which], self.squares[which]
+        buffers = np.empty((2, min(NEAR, len(touched)), weights.shape[1]), weights.dtype)
+        for start in range(0, len(touched), NEAR):
+            part, change = touched[start:start + NEAR], gradient[start:start + NEAR]
+            own, square = buffers[:, :len(part)]
+            squares.take(part, axis=0, out=square, mode="clip")
+            square += np.multiply(change, change, out=own)
+            squares[part] = square
+            np.divide(change, np.sqrt(square, out=square), out=change)
+            change *= np.float32(self.rate)
+            weights.take(part, axis=0, out=own, mode="clip")
+            own -= change
+            weights[part] = own
 
 
 def _sums(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -221,13 +248,17 @@ def _sums(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, times: np.nd
     """
     total = values.take(owner[begin], axis=0)
     long = int(np.searchsorted(-times, -SIDE_BY_SIDE))  # spans of more members
+    ones = np.ones(times[0] if long else 0, values.dtype)
     for k in range(long):
-        total[k] = values.take(owner[begin[k]:begin[k] + times[k]], axis=0).sum(axis=0)
+        total[k] = ones[:times[k]] @ values.take(owner[begin[k]:begin[k] + times[k]], axis=0)
+    part = np.empty((NEAR, values.shape[1]), values.dtype)
     for member in range(1, SIDE_BY_SIDE):
         stop = int(np.searchsorted(-times, -member))  # spans that have this member
         if stop <= long:
             break
-        total[long:stop] += values.take(owner[begin[long:stop] + member], axis=0)
+        for start in range(long, stop, NEAR):
+            end = min(start + NEAR, stop)
+            total[start:end] += values.take(owner[begin[start:end] + member], axis=0, out=part[:end - start], mode="clip")
     return total
 
 

@@ -162,6 +162,42 @@ def test_sums_of_spans():
     assert np.allclose(maxent._sums(values, owner, begin, times), np.add.reduceat(values[owner], begin, axis=0))
 
 
+def test_exponentials_shift_rows_only_where_they_must():
+    """Ordinary logits need no largest of each row; one that overflows, or an own one that would vanish, gives the same softmax."""
+    for logits, shifted in (([[1, 2, 3], [20, -1e4, 19]], False), ([[100, 99, 0], [1, 2, 3]], True), ([[-200, -201, -202], [0, 1, 2]], True)):
+        logits, at = np.array(logits, np.float32), np.array([0, 1 if shifted else 0])
+        whole = logits.astype(float) - logits.max(axis=1, keepdims=True)
+        expected = (whole - np.log(np.exp(whole).sum(axis=1, keepdims=True)))[np.arange(2), at]
+        made = logits.copy()
+        sums, top = maxent._exponentials(made, made[np.arange(2), at])
+        assert (np.ndim(top) > 0) == shifted
+        assert np.allclose(np.log(made[np.arange(2), at] / sums), expected, atol=1e-5)
+        assert np.allclose(maxent._log_softmax(logits.copy(), at), expected, atol=1e-5)
+    assert not len(maxent._log_softmax(np.empty((0, 3), np.float32), np.empty(0, np.int64)))
+
+
+@pytest.mark.parametrize("near", [3, 1024])
+def test_steps_by_blocks_are_those_of_the_whole(monkeypatch, near):
+    """An Adagrad step of all touched rows, computed plainly, whatever the size of the blocks."""
+    monkeypatch.setattr(maxent, "NEAR", near)
+    draw = np.random.default_rng(3)
+    weights = draw.normal(size=(maxent.ROWS, 8)).astype(np.float32)
+    learner = maxent.Learner.__new__(maxent.Learner)
+    learner.rate, learner.weights = 0.12, [weights.copy()]
+    learner.squares, learner.met = [np.full_like(weights, 1e-3)], [np.zeros(maxent.ROWS, np.int64)]
+    rows, chosen = draw.integers(0, 40, (100, 5)), draw.integers(0, 8, 100)
+    logits = maxent.Model._sum(weights, rows)
+    assert np.allclose(logits, weights[rows].sum(axis=1), atol=1e-5)
+    p = np.exp(logits.astype(float))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(100), chosen] -= 1
+    gradient = np.zeros((maxent.ROWS, 8))
+    np.add.at(gradient, rows.ravel(), np.repeat(p, 5, axis=0))
+    learner._update(0, rows, logits, chosen)
+    assert np.allclose(learner.weights[0], weights - 0.12 * gradient / np.sqrt(1e-3 + gradient ** 2), atol=1e-4)
+    assert learner.met[0].tolist() == np.bincount(rows.ravel(), minlength=maxent.ROWS).tolist()
+
+
 def test_scores_without_training_rows(no_docs, odd_docs):
     rows = maxent_scores(odd_docs, F.lit(False)).collect()
     assert len(rows) == odd_docs.count() and {r.train_tokens for r in rows} == {0}
