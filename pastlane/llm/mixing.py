@@ -18,6 +18,8 @@ with the smallest seeded tickets are taken, cut in Spark by pieces of the ticket
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,13 +56,13 @@ def with_targets(sources: DataFrame, share: float, most: int) -> DataFrame:
         level = higher
 
 
-def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each size (at most ``counts``) come nearest to ``budget`` words together."""
     taken = np.zeros(len(sizes), np.int64)
     usable = [i for i in np.argsort(-sizes) if 0 < sizes[i] <= 2 * budget and counts[i]]
     if not usable or budget <= 0:
         return taken
-    top = 2 * budget  # a sum above it is further away than nothing
+    top = int(2 * budget)  # a sum above it is further away than nothing
     last = np.where(np.arange(top + 1) == 0, -1, -2)  # the size by which a sum is reached first; -2: not reached
     for i in usable:
         size = int(sizes[i])
@@ -72,7 +74,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         steps = np.arange(rows)[:, None] - np.maximum.accumulate(place, axis=0)
         new = ((steps > 0) & (steps <= counts[i])).reshape(-1)[:top + 1] & (last == -2)
         last[new] = i
-        if last[budget] != -2:
+        if last[math.ceil(budget - 0.5)] != -2:  # no whole number is nearer
             break
     reached = np.flatnonzero(last != -2)
     at = int(reached[np.argmin(np.abs(reached - budget))])
@@ -82,19 +84,20 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+def fitted(sizes: np.ndarray, counts: np.ndarray, budget: float, window: int = WINDOW) -> np.ndarray:
     """How many documents of each size to take, so that their words come near ``budget``."""
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    part = max(0, budget - window)
+    part = max(0, int(budget) - window)
     taken = np.array([int(n) * part // total for n in counts.tolist()], np.int64) if total else np.zeros(len(sizes), np.int64)
     left = budget - int((sizes * taken).sum())
     for i in np.argsort(-sizes):
         if left <= window:
             break
         if sizes[i] <= left and taken[i] < counts[i]:
-            more = min(int(counts[i] - taken[i]), 1 + (left - window - 1) // max(1, int(sizes[i])), left // max(1, int(sizes[i])))
+            size = max(1, int(sizes[i]))
+            more = int(min(counts[i] - taken[i], 1 + (left - window - 1) // size, left // size))
             taken[i] += more
             left -= more * int(sizes[i])
     last = knapsack(sizes, counts - taken, min(left, window))
@@ -135,7 +138,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     lengths = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     by_source = lengths.where("size > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("lengths"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
+    budget = F.round(F.col("target") - epochs * F.col("source_size"), 6)  # halves count: they make ties
     known = by_source.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source"))).select(
         "position", budget.alias("budget"), "lengths")
     chosen = written(_fit(known, window), "chosen")

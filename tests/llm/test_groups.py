@@ -235,6 +235,13 @@ def test_one_long_document_can_be_nearest():
     assert fitted(np.array([310_000]), np.array([1]), 100_000, window=1 << 10).tolist() == [0]
 
 
+@pytest.mark.parametrize("window", [1 << 10, 1 << 18])
+def test_half_a_word_makes_a_tie(window):
+    assert fitted(np.array([100_001]), np.array([1]), 50_000.5, window=window).tolist() == [0]
+    assert fitted(np.array([100_001]), np.array([1]), 50_001.5, window=window).tolist() == [1]
+    assert fitted(np.array([2, 3]), np.array([1, 1]), 2.5, window=window).tolist() == [1, 0]
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = random.Random(4)
     rows = []
